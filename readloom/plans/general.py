@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.functions.cigar import lengths
 from readloom.functions.records import record_end
+from readloom.operators.instants import normalise_instants, utc_text
 from readloom.operators.intervals import merge_intervals
+from readloom.operators.orphans import find_orphans
+from readloom.operators.percentiles import RELATIVE_ERROR, combine_values, exact_percentiles, log_bucket, merge_summaries, summary_percentiles
 from readloom.operators.rejects import reject_lines
+from readloom.operators.skew import aggregate_per_key, dominant_keys, skew_join
 from readloom.session import table
 
 
@@ -37,5 +42,135 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reject_lines(table(spark, sf_dir, "sam_lines"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
-SQL = {"p1_found": P1_SQL}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalise_instants(table(spark, sf_dir, "read_groups"), "date", table(spark, sf_dir, "centers"), "center", ["row_id"])
+    return rows.where("micros IS NOT NULL").select("row_id", utc_text(F.col("micros")).alias("date_utc"))
+
+
+def _tag(tag: str) -> Column:
+    """sval of the first aux element with the tag. By position in the array of tags, so that the scan reads two of aux's fields only."""
+    return F.get(F.col("aux.sval"), (F.array_position(F.col("aux.tag"), tag) - 1).cast("int"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, g = table(spark, sf_dir, "alignments"), table(spark, sf_dir, "read_groups")
+    src = F.col("_src_id").cast("string")
+    one = lambda field, target, scope, key: F.struct(F.lit(field).alias("field"), F.lit(target).alias("target"), scope.alias("scope"), key.alias("key"))
+    of_alignments = a.select(
+        "row_id", F.col("loaded_at").alias("t"),
+        F.inline(F.array(
+            one("ref_id", "ref", F.lit(""), F.col("ref_id").cast("string")), one("mate_ref_id", "ref", F.lit(""), F.col("mate_ref_id").cast("string")),
+            one("rg", "rg", src, _tag("RG")), one("pg", "pg", src, _tag("PG")),
+        )),
+    ).withColumn("tbl", F.lit("alignments"))
+    of_groups = g.select(F.lit("read_groups").alias("tbl"), "row_id", F.lit("program").alias("field"), F.lit("pg").alias("target"), src.alias("scope"), F.col("program").alias("key"), F.col("loaded_at").alias("t"))
+    life = [F.col("loaded_at"), F.col("removed_at")]
+    parents = (
+        table(spark, sf_dir, "ref_seqs").select(F.lit("ref").alias("target"), F.lit("").alias("scope"), F.col("ref_id").cast("string").alias("key"), *life)
+        .unionByName(g.select(F.lit("rg").alias("target"), src.alias("scope"), F.col("id").alias("key"), *life))
+        .unionByName(table(spark, sf_dir, "programs").select(F.lit("pg").alias("target"), src.alias("scope"), F.col("uid").alias("key"), *life))
+    )
+    return find_orphans(of_alignments.unionByName(of_groups), parents)
+
+
+P4_SQL = """
+WITH a AS (SELECT row_id, loaded_at AS t, _src_id AS s, ref_id, mate_ref_id,
+                  aux[list_position(list_transform(aux, lambda x: x.tag), 'RG')].sval AS rg, aux[list_position(list_transform(aux, lambda x: x.tag), 'PG')].sval AS pg FROM alignments),
+r AS (SELECT 'alignments' AS tbl, row_id, 'ref_id' AS field, 'ref' AS k, NULL::INT AS s, ref_id::VARCHAR AS v, t FROM a
+      UNION ALL SELECT 'alignments', row_id, 'mate_ref_id', 'ref', NULL, mate_ref_id::VARCHAR, t FROM a
+      UNION ALL SELECT 'alignments', row_id, 'rg', 'rg', s, rg, t FROM a
+      UNION ALL SELECT 'alignments', row_id, 'pg', 'pg', s, pg, t FROM a
+      UNION ALL SELECT 'read_groups', row_id, 'program', 'pg', _src_id, program, loaded_at FROM read_groups),
+p AS (SELECT 'ref' AS k, NULL::INT AS s, ref_id::VARCHAR AS v, loaded_at, removed_at FROM ref_seqs
+      UNION ALL SELECT 'rg', _src_id, id, loaded_at, removed_at FROM read_groups
+      UNION ALL SELECT 'pg', _src_id, uid, loaded_at, removed_at FROM programs)
+SELECT tbl, row_id, field,
+       CASE WHEN count(p.k) = 0 THEN 'missing' WHEN bool_and(p.loaded_at > r.t) THEN 'late' ELSE 'deleted' END AS status,
+       strftime(any_value(r.t) AT TIME ZONE 'UTC', '%Y-%m') AS period
+FROM r LEFT JOIN p ON r.k = p.k AND r.v = p.v AND r.s IS NOT DISTINCT FROM p.s
+WHERE r.v IS NOT NULL
+GROUP BY tbl, row_id, field
+HAVING NOT coalesce(bool_or(p.loaded_at <= r.t AND (p.removed_at IS NULL OR p.removed_at > r.t)), FALSE)
+"""
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "alignments").where("ref_id IS NOT NULL").select(F.col("_src_id").alias("src_id"), "ref_id")
+    rows = aggregate_per_key(a, ["src_id", "ref_id"], F.count("*").alias("w"))
+    i = table(spark, sf_dir, "index_stats").distinct().select(F.col("_src_id").alias("src_id"), "ref_id", F.coalesce("mapped", F.lit(0).cast("bigint")).alias("mapped"))
+    mapped = aggregate_per_key(i, ["src_id", "ref_id"], F.sum("mapped").alias("w"))
+    found = [dominant_keys(x, "src_id", "ref_id", "w", 30).select(F.lit(scope).alias("scope"), "src_id", "ref_id") for scope, x in (("alignments", rows), ("index_stats", mapped))]
+    return found[0].unionByName(found[1])
+
+
+P5_SQL = """
+WITH c AS (SELECT 'alignments' AS scope, _src_id AS src_id, ref_id, count(*) AS w FROM alignments WHERE ref_id IS NOT NULL GROUP BY ALL
+           UNION ALL
+           SELECT 'index_stats', _src_id, ref_id, sum(coalesce(mapped, 0)) FROM (SELECT DISTINCT * FROM index_stats) GROUP BY ALL),
+t AS (SELECT *, sum(w) OVER (PARTITION BY scope, src_id) AS total FROM c)
+SELECT scope, src_id, ref_id FROM t WHERE w > 0 AND w * 100 >= total * 30 AND ref_id IS NOT NULL
+"""
+
+
+def p5_reference_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, mapped rows and aligned bases of every ref_id, with the name and length of its dictionary entry."""
+    a = table(spark, sf_dir, "alignments").where("ref_id IS NOT NULL")
+    a = a.select("ref_id", F.coalesce("flag", F.lit(0)).bitwiseAND(F.lit(4)).alias("u"), lengths(F.col("cigar"))["ref"].alias("bases"))
+    refs = table(spark, sf_dir, "ref_seqs").groupBy("ref_id").agg(F.min("sn").alias("sn"), F.max("ln").alias("ln"))
+    joined = skew_join(a, refs, ["ref_id"])
+    return aggregate_per_key(joined, ["ref_id", "sn", "ln"], F.count("*").alias("n_rows"), F.count_if(F.col("u") == 0).alias("n_mapped"), F.coalesce(F.sum("bases"), F.lit(0).cast("bigint")).alias("bases"))
+
+
+P5_PROFILE_SQL = """
+WITH r AS (SELECT ref_id, min(sn) AS sn, max(ln) AS ln FROM ref_seqs GROUP BY ref_id)
+SELECT a.ref_id, r.sn, r.ln, count(*) AS n_rows, count(*) FILTER (WHERE coalesce(flag, 0) & 4 = 0) AS n_mapped,
+       CAST(coalesce(sum(list_sum(list_transform(coalesce(cigar, []), lambda x: CASE WHEN x.op IN ('M','D','N','=','X') THEN coalesce(x.len, 0) ELSE 0 END))), 0) AS BIGINT) AS bases
+FROM alignments a LEFT JOIN r ON a.ref_id = r.ref_id WHERE a.ref_id IS NOT NULL GROUP BY ALL
+"""
+
+QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def library_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(_src_id, library, measure, value, cnt): the exact mergeable summary of every source file.
+
+    A read group id with several rows counts by its last loaded one; rows without read group, and groups without library, have a null library."""
+    a = table(spark, sf_dir, "alignments")
+    one = lambda name, v: F.struct(F.lit(name).alias("measure"), v.cast("bigint").alias("value"))
+    v = a.select("_src_id", _tag("RG").alias("id"), F.inline(F.array(one("mapq", F.col("mapq")), one("tlen", F.abs(F.col("tlen").cast("bigint"))))))
+    counts = combine_values(v, ["_src_id", "id", "measure"], "value")
+    g = table(spark, sf_dir, "read_groups").groupBy("_src_id", "id").agg(F.max_by("library", F.struct("loaded_at", "row_id")).alias("library"))
+    return merge_summaries(counts.join(g, ["_src_id", "id"], "left"), ["_src_id", "library", "measure"])
+
+
+def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_percentiles(library_values(spark, sf_dir).drop("_src_id"), ["library", "measure"], QUANTILES)
+    return out.select("library", "measure", "q", "value", "n", F.lit(0).cast("bigint").alias("rank_error"))
+
+
+_P6_VALUES = """
+WITH g AS (SELECT _src_id, id, last(library ORDER BY loaded_at, row_id) AS library FROM read_groups GROUP BY ALL),
+v AS (SELECT a._src_id, g.library, a.mapq, a.tlen
+      FROM (SELECT _src_id, mapq, tlen, aux[list_position(list_transform(aux, lambda x: x.tag), 'RG')].sval AS id FROM alignments) a LEFT JOIN g USING (_src_id, id)),
+m AS (SELECT library, 'mapq' AS measure, mapq::BIGINT AS value FROM v WHERE mapq IS NOT NULL
+      UNION ALL SELECT library, 'tlen', abs(tlen::BIGINT) FROM v WHERE tlen IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY library, measure ORDER BY value) AS i, count(*) OVER (PARTITION BY library, measure) AS n FROM m)
+"""
+P6_SQL = _P6_VALUES + """
+SELECT library, measure, CAST(q AS DOUBLE) AS q, value, n, CAST(0 AS BIGINT) AS rank_error
+FROM r, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q) WHERE i = greatest(1, CAST(ceil(q * n) AS BIGINT))
+"""
+
+
+def p6_merged_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same percentiles within 1 per cent, from logarithmic summaries made per source file and then added up."""
+    v = library_values(spark, sf_dir)
+    per_file = v.groupBy("_src_id", "library", "measure", log_bucket(F.col("value")).alias("bucket")).agg(F.sum("cnt").alias("cnt"))
+    return summary_percentiles(per_file, ["library", "measure"], QUANTILES).withColumn("relative_error", F.lit(RELATIVE_ERROR))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_reference_profile": p5_reference_profile,
+    "p6_percentiles": p6_percentiles, "p6_merged_summaries": p6_merged_summaries,
+}
+SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_reference_profile": P5_PROFILE_SQL, "p6_percentiles": P6_SQL}
