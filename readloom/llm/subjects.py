@@ -29,6 +29,8 @@ TEXTS = 64
 SENTENCE, SURE = 0.5, 0.9
 #: Share of the subject-bearing sentences that a subject must take up; the calibration moves it within these bounds.
 SHARE, SHARE_BOUNDS = 0.25, (0.2, 0.3)
+#: Fewer subject-bearing sentences than this share of all sentences are passing mentions: the text has no subject.
+MENTION = 0.08
 SEED = 7
 
 # words of two letters or more in lower case, or the end of a sentence
@@ -101,7 +103,8 @@ class Model:
         """(text, subject) numbers of the subjects that texts have."""
         feats, starts, text = features(texts)
         share, total = self.shares_of(self.sentences(feats, starts), text, len(texts))
-        return np.nonzero((share >= self.shares) & (total[:, None] > 0))
+        enough = total >= np.maximum(1, MENTION * np.bincount(text, minlength=len(texts)))
+        return np.nonzero((share >= self.shares) & enough[:, None])
 
 
 def _fit(feats, starts, y, weight, passes: int, warm: np.ndarray | None, bias: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
