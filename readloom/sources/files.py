@@ -27,7 +27,7 @@ def open_output(path: str) -> BinaryIO:
     f, p = _at(path)
     if "/" in p:
         f.create_dir(p.rsplit("/", 1)[0], recursive=True)
-    return f.open_output_stream(p)
+    return f.open_output_stream(p, compression=None)  # not by the ending of the name
 
 
 def read_bytes(path: str) -> bytes:
