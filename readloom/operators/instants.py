@@ -15,6 +15,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from readloom.functions import staged
+
 #: Fixed offsets of zone abbreviations, in minutes east of Greenwich.
 ABBREVIATIONS = {
     "Z": 0, "UT": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MET": 60, "MEST": 120, "EET": 120, "EEST": 180, "MSK": 180,
@@ -82,11 +84,6 @@ def zone_table(spark, zones: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "zone STRING, year INT, spans ARRAY<STRUCT<lo: BIGINT, hi: BIGINT, until: BIGINT, off: INT>>")
 
 
-def staged(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with the columns added behind a generator, across which the optimizer neither copies their definitions nor moves filters into them."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-
-
 def _int(c: Column) -> Column:
     return F.when(c != "", c.try_cast("int"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar as C
+from readloom.functions import staged
 
 FIXED = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 RECORD_SCHEMA = (
@@ -77,14 +78,14 @@ def _inside(x: Column) -> Column:
 
 def read_permissive(df: DataFrame, line: str) -> DataFrame:
     """df with __f (raw fields), __u (unwrapped fields) and __corrupt (raw text of lines that cannot be records, else null) and __reason."""
-    lines = df.withColumn("__f", split_line(F.col(line)))
+    lines = staged(df, __f=split_line(F.col(line)))
     f = F.col("__f")
     misquoted = F.exists(
         F.transform(f, lambda x, i: (i != 10) & _quoted(x) & ((F.length(x) < 2) | ~x.endswith('"') | F.replace(_inside(x), F.lit('""'), F.lit("")).contains('"'))), lambda bad: bad
     )
     unwrapped = F.transform(f, lambda x, i: F.when((i != 10) & _quoted(x), F.replace(_inside(x), F.lit('""'), F.lit('"'))).otherwise(x))
     has_quote = F.exists(f, _quoted)
-    staged = lines.withColumn("__q", F.when(F.size(f) < 11, F.lit("fields")).when(has_quote & misquoted, F.lit("quoting"))).withColumn("__u", F.when(has_quote, unwrapped).otherwise(f))
+    fields = staged(lines, __q=F.when(F.size(f) < 11, F.lit("fields")).when(has_quote & misquoted, F.lit("quoting")), __u=F.when(has_quote, unwrapped).otherwise(f))
     v = {name: F.get(F.col("__u"), F.lit(i)) for i, name in enumerate(FIXED)}
     aux = F.slice(F.col("__u"), 12, F.greatest(F.size("__u") - 11, F.lit(0)))
     pos_top, seq_given = (1 << 31) - 1, v["seq"] != "*"
@@ -105,7 +106,7 @@ def read_permissive(df: DataFrame, line: str) -> DataFrame:
     reason = F.when(F.col("__q").isNotNull(), F.col("__q"))
     for name, ok in checks.items():
         reason = reason.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
-    return staged.withColumn("__reason", reason).withColumn("__corrupt", F.when(F.col("__reason").isNotNull(), F.col(line)))
+    return staged(fields, __reason=reason).withColumn("__corrupt", F.when(F.col("__reason").isNotNull(), F.col(line)))
 
 
 def _ops(text: Column) -> Column:
