@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +34,12 @@ def aln(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "alignments")
 
 
-def per_row(name: str, sql: str, **columns: Column) -> None:
+def per_row(name: str, sql: str, **columns: Callable[[], Column]) -> None:
     """A query that maps every alignment to row_id and the columns."""
-    QUERIES[name] = lambda spark, d: aln(spark, d).select("row_id", *[c.alias(k) for k, c in columns.items()])
+    QUERIES[name] = lambda spark, d: aln(spark, d).select("row_id", *[c().alias(k) for k, c in columns.items()])
     SQL[name] = sql
 
 
-flag, pos, cig = F.col("flag"), F.col("pos"), F.col("cigar")
 _L = F.expr
 
 # shared SQL: running reference position of every operation, and the end of every record
@@ -59,14 +60,15 @@ def _bin_sql(b: str, e: str) -> str:
 
 
 # --- scalars of a record
-QUERIES["scl01_flag_filter"] = lambda s, d: aln(s, d).agg(F.count_if(R.flag_filter(flag, 1, 0x904)).alias("n"), F.count_if(R.flag_filter(flag, 0, 4)).alias("mapped"))
+QUERIES["scl01_flag_filter"] = lambda s, d: aln(s, d).agg(F.count_if(R.flag_filter(F.col("flag"), 1, 0x904)).alias("n"), F.count_if(R.flag_filter(F.col("flag"), 0, 4)).alias("mapped"))
 SQL["scl01_flag_filter"] = "SELECT count(*) FILTER (WHERE flag & 1 = 1 AND flag & 2308 = 0) AS n, count(*) FILTER (WHERE flag & 4 = 0) AS mapped FROM alignments"
-per_row("scl02_start_ref", "SELECT row_id, coalesce(pos, -1) AS start, coalesce(ref_id, -1) AS ref FROM alignments", start=F.coalesce(pos, _L("-1L")), ref=F.coalesce("ref_id", F.lit(-1)))
-per_row("scl03_record_end", f"WITH {_OPS} SELECT row_id, e AS \"end\" FROM ends", end=R.record_end(flag, pos, cig))
-per_row("scl04_record_len", f"WITH {_OPS} SELECT row_id, e - pos AS len FROM ends", len=R.record_len(flag, pos, cig))
-per_row("scl05_record_bin", f"WITH {_OPS} SELECT row_id, CAST(CASE WHEN flag & 12 = 12 THEN 4680 ELSE ({_bin_sql('pos', 'e')}) & 65535 END AS BIGINT) AS bin FROM ends", bin=R.record_bin(flag, pos, cig))
-per_row("scl06_strand", "SELECT row_id, CASE WHEN flag & 16 <> 0 THEN -1 ELSE 1 END AS strand FROM alignments", strand=R.strand(flag))
-_cols = {k: F.col(k) for k in ("qname", "flag", "ref_id", "pos", "cigar", "mate_ref_id", "mate_pos", "tlen", "seq", "qual")}
+per_row("scl02_start_ref", "SELECT row_id, coalesce(pos, -1) AS start, coalesce(ref_id, -1) AS ref FROM alignments", start=lambda: F.coalesce(F.col("pos"), _L("-1L")), ref=lambda: F.coalesce("ref_id", F.lit(-1)))
+per_row("scl03_record_end", f"WITH {_OPS} SELECT row_id, e AS \"end\" FROM ends", end=lambda: R.record_end(F.col("flag"), F.col("pos"), F.col("cigar")))
+per_row("scl04_record_len", f"WITH {_OPS} SELECT row_id, e - pos AS len FROM ends", len=lambda: R.record_len(F.col("flag"), F.col("pos"), F.col("cigar")))
+per_row("scl05_record_bin", f"WITH {_OPS} SELECT row_id, CAST(CASE WHEN flag & 12 = 12 THEN 4680 ELSE ({_bin_sql('pos', 'e')}) & 65535 END AS BIGINT) AS bin FROM ends", bin=lambda: R.record_bin(F.col("flag"), F.col("pos"), F.col("cigar")))
+per_row("scl06_strand", "SELECT row_id, CASE WHEN flag & 16 <> 0 THEN -1 ELSE 1 END AS strand FROM alignments", strand=lambda: R.strand(F.col("flag")))
+def _cols() -> dict[str, Column]:
+    return {k: F.col(k) for k in ("qname", "flag", "ref_id", "pos", "cigar", "mate_ref_id", "mate_pos", "tlen", "seq", "qual")}
 per_row(
     "scl07_record_error",
     """SELECT row_id, CASE WHEN NOT coalesce(pos, -1) BETWEEN -1 AND 2147483646 THEN 'position out of range' WHEN NOT coalesce(mate_pos, -1) BETWEEN -1 AND 2147483646 THEN 'mate position out of range'
@@ -75,7 +77,7 @@ per_row(
     WHEN ref_id IS NULL AND coalesce(pos, -1) <> -1 THEN 'position without reference' WHEN ref_id IS NOT NULL AND coalesce(pos, -1) = -1 THEN 'reference without position'
     WHEN mate_ref_id IS NULL AND coalesce(mate_pos, -1) <> -1 THEN 'mate position without reference' WHEN mate_ref_id IS NOT NULL AND coalesce(mate_pos, -1) = -1 THEN 'mate reference without position' END AS error
     FROM alignments""",
-    error=R.record_error(_cols),
+    error=lambda: R.record_error(_cols()),
 )
 per_row(
     "scl08_is_valid_record",
@@ -83,53 +85,53 @@ per_row(
     SELECT row_id, NOT (((ref_id IS NULL OR coalesce(pos, -1) = -1) AND flag & 4 = 0) OR (flag & 1 = 1 AND (mate_ref_id IS NULL OR coalesce(mate_pos, -1) = -1) AND flag & 8 = 0)
       OR flag & 6 = 6 OR flag & 11 = 11 OR (coalesce(len(qual), 0) <> 0 AND coalesce(len(qual), 0) <> coalesce(length(seq), 0))
       OR (coalesce(length(seq), 0) <> 0 AND coalesce(q.q, 0) <> length(seq))) AS ok FROM alignments LEFT JOIN q USING (row_id)""",
-    ok=R.is_valid_record(_cols),
+    ok=lambda: R.is_valid_record(_cols()),
 )
 _TAG = "aux[list_position(list_transform(aux, lambda x: x.tag), '{}')]"
-per_row("scl09_tag", f"SELECT row_id, {_TAG.format('NM')}.ival AS nm, {_TAG.format('RG')}.sval AS rg FROM alignments", nm=R.first_tag(F.col("aux"), "NM")["ival"], rg=R.first_tag(F.col("aux"), "RG")["sval"])
-per_row("scl10_placed_mapped", "SELECT row_id, ref_id IS NOT NULL AND ref_id >= 0 AND coalesce(pos, -1) <> -1 AS placed, flag & 4 = 0 AS mapped FROM alignments", placed=R.is_placed(F.col("ref_id"), pos), mapped=R.is_mapped(flag))
-QUERIES["scl11_overlap"] = lambda s, d: aln(s, d).where("pos IS NOT NULL").select("row_id", C.overlap(pos, cig, pos + 5, pos + 30).alias("bases"))
+per_row("scl09_tag", f"SELECT row_id, {_TAG.format('NM')}.ival AS nm, {_TAG.format('RG')}.sval AS rg FROM alignments", nm=lambda: R.first_tag(F.col("aux"), "NM")["ival"], rg=lambda: R.first_tag(F.col("aux"), "RG")["sval"])
+per_row("scl10_placed_mapped", "SELECT row_id, ref_id IS NOT NULL AND ref_id >= 0 AND coalesce(pos, -1) <> -1 AS placed, flag & 4 = 0 AS mapped FROM alignments", placed=lambda: R.is_placed(F.col("ref_id"), F.col("pos")), mapped=lambda: R.is_mapped(F.col("flag")))
+QUERIES["scl11_overlap"] = lambda s, d: aln(s, d).where("pos IS NOT NULL").select("row_id", C.overlap(F.col("pos"), F.col("cigar"), F.col("pos") + 5, F.col("pos") + 30).alias("bases"))
 SQL["scl11_overlap"] = f"""WITH {_OPS}, o AS (SELECT row_id, sum(CASE WHEN op IN ('M','=','X') THEN greatest(0, least(pos + after, pos + 30) - greatest(pos + after - r, pos + 5)) ELSE 0 END) AS v FROM walk GROUP BY row_id)
     SELECT row_id, CAST(coalesce(o.v, 0) AS BIGINT) AS bases FROM alignments LEFT JOIN o USING (row_id) WHERE pos IS NOT NULL"""
 
 # --- operations
 _CIGTEXT = "CASE WHEN coalesce(len(cigar), 0) = 0 THEN '*' ELSE array_to_string(list_transform(cigar, lambda x: x.len::VARCHAR || x.op), '') END"
 per_row("cig01_parse", "SELECT row_id, coalesce(len(cigar), 0)::INT AS n_ops, coalesce(list_sum(list_transform(cigar, lambda x: x.len)), 0)::BIGINT AS total FROM alignments",
-        n_ops=F.size(C.parse_cigar(C.format_cigar(cig))), total=F.aggregate(C.parse_cigar(C.format_cigar(cig)), _L("0L"), lambda a, x: a + x["len"]))
-per_row("cig02_format", f"SELECT row_id, {_CIGTEXT} AS text FROM alignments", text=C.format_cigar(cig))
+        n_ops=lambda: F.size(C.parse_cigar(C.format_cigar(F.col("cigar")))), total=lambda: F.aggregate(C.parse_cigar(C.format_cigar(F.col("cigar"))), _L("0L"), lambda a, x: a + x["len"]))
+per_row("cig02_format", f"SELECT row_id, {_CIGTEXT} AS text FROM alignments", text=lambda: C.format_cigar(F.col("cigar")))
 per_row(
     "cig03_pack_ops", "SELECT row_id, array_to_string(list_transform(coalesce(cigar, []), lambda x: ((x.len << 4) | (strpos('MIDNSHP=XB', x.op) - 1))::VARCHAR), ',') AS packed FROM alignments",
-    packed=F.array_join(F.transform(C.ops_or_empty(cig), lambda x: C.pack_op(x["len"], x["op"]).cast("string")), ","),
+    packed=lambda: F.array_join(F.transform(C.ops_or_empty(F.col("cigar")), lambda x: C.pack_op(x["len"], x["op"]).cast("string")), ","),
 )
 QUERIES["cig04_consumes"] = lambda s, d: aln(s, d).select(F.explode("cigar").alias("o")).groupBy(F.col("o.op").alias("op")).agg(
     F.max(C.query_consumption(F.col("o.op"))).alias("query"), F.max(C.ref_consumption(F.col("o.op"))).alias("ref"), F.sum("o.len").alias("total")
 )
 SQL["cig04_consumes"] = f"SELECT o.op AS op, max({_QRY})::INT AS query, max({_REF})::INT AS ref, sum(o.len)::BIGINT AS total FROM (SELECT unnest(cigar) AS o FROM alignments) GROUP BY 1"
 per_row("cig05_lengths", f"WITH {_OPS}, l AS (SELECT row_id, sum(CASE WHEN op = 'B' THEN 0 ELSE r END) AS r, sum(q) AS q FROM steps GROUP BY row_id) SELECT row_id, coalesce(r, 0)::BIGINT AS ref, coalesce(q, 0)::BIGINT AS read FROM alignments LEFT JOIN l USING (row_id)",
-        ref=C.lengths(cig)["ref"], read=C.lengths(cig)["read"])
+        ref=lambda: C.lengths(F.col("cigar"))["ref"], read=lambda: C.lengths(F.col("cigar"))["read"])
 per_row(
     "cig06_is_valid",
     f"""WITH {_OPS}, x AS (SELECT *, lag(op) OVER (PARTITION BY row_id ORDER BY i) AS before, lead(op) OVER (PARTITION BY row_id ORDER BY i) AS next FROM walk),
     v AS (SELECT row_id, bool_or((op = 'H' AND before IS NOT NULL AND next IS NOT NULL) OR (op = 'S' AND before IS NOT NULL AND next IS NOT NULL AND before <> 'H' AND next <> 'H')
           OR (after - r < 0 AND op IN ('M','I','S','=','X'))) AS bad, sum(q) AS q FROM x GROUP BY row_id)
     SELECT row_id, NOT coalesce(v.bad, FALSE) AND coalesce(v.q, 0) = coalesce(length(seq), 0) AS ok FROM alignments LEFT JOIN v USING (row_id)""",
-    ok=C.is_valid(cig, F.coalesce(F.length("seq"), F.lit(0)).cast("bigint")),
+    ok=lambda: C.is_valid(F.col("cigar"), F.coalesce(F.length("seq"), F.lit(0)).cast("bigint")),
 )
 
 # --- flags
 _SHOWN = "CASE WHEN flag & 1 = 1 THEN flag ELSE flag & 3861 END"
 _LETTERS = lambda dash: " || ".join(f"CASE WHEN ({_SHOWN}) & {1 << i} <> 0 THEN '{x}' ELSE '{dash}' END" for i, x in enumerate(R.LETTERS))
-QUERIES["flg01_bits"] = lambda s, d: aln(s, d).agg(*[F.count_if(R.has(flag, f)).alias(f.name.lower()) for f in R.Flag])
+QUERIES["flg01_bits"] = lambda s, d: aln(s, d).agg(*[F.count_if(R.has(F.col("flag"), f)).alias(f.name.lower()) for f in R.Flag])
 SQL["flg01_bits"] = "SELECT " + ", ".join(f"count(*) FILTER (WHERE flag & {int(f)} <> 0) AS {f.name.lower()}" for f in R.Flag) + " FROM alignments"
-per_row("flg02_letters", f"SELECT row_id, {_LETTERS('-')} AS letters FROM alignments", letters=R.flag_letters(flag))
-per_row("flg03_text", f"SELECT row_id, flag::VARCHAR AS dec, '0x' || lower(to_hex(flag)) AS hex, {_LETTERS('')} AS str FROM alignments", dec=R.flag_text(flag), hex=R.flag_text(flag, "hex"), str=R.flag_text(flag, "string"))
+per_row("flg02_letters", f"SELECT row_id, {_LETTERS('-')} AS letters FROM alignments", letters=lambda: R.flag_letters(F.col("flag")))
+per_row("flg03_text", f"SELECT row_id, flag::VARCHAR AS dec, '0x' || lower(to_hex(flag)) AS hex, {_LETTERS('')} AS str FROM alignments", dec=lambda: R.flag_text(F.col("flag")), hex=lambda: R.flag_text(F.col("flag"), "hex"), str=lambda: R.flag_text(F.col("flag"), "string"))
 
 # --- bases and qualities
 _NORM = "regexp_replace(translate(upper(seq), '0123', 'ACGT'), '[^=ACMGRSVTWYHKDBN]', 'N', 'g')"
-per_row("seq01_pack", f"SELECT row_id, CASE WHEN length(seq) % 2 = 1 THEN translate({_NORM}, '=ACMGRSVTWYHKDBN', '0123456789ABCDEF') || '0' ELSE translate({_NORM}, '=ACMGRSVTWYHKDBN', '0123456789ABCDEF') END AS packed FROM alignments", packed=F.hex(S.pack_seq(F.col("seq"))))
-per_row("seq02_unpack", f"SELECT row_id, {_NORM} AS seq FROM alignments", seq=S.unpack_seq(S.pack_seq(F.col("seq")), F.length("seq")))
-per_row("seq03_base_at", "SELECT row_id, CASE WHEN length(seq) > 10 THEN substr(seq, 11, 1) END AS base FROM alignments", base=S.base_at(F.col("seq"), F.lit(10)))
-per_row("seq04_qual", "SELECT row_id, CASE WHEN qual IS NULL OR len(qual) = 0 OR list_min(qual) = 255 THEN '*' ELSE array_to_string(list_transform(qual, lambda q: chr((q + 33)::INT)), '') END AS qual FROM alignments", qual=S.encode_qual(F.col("qual")))
+per_row("seq01_pack", f"SELECT row_id, CASE WHEN length(seq) % 2 = 1 THEN translate({_NORM}, '=ACMGRSVTWYHKDBN', '0123456789ABCDEF') || '0' ELSE translate({_NORM}, '=ACMGRSVTWYHKDBN', '0123456789ABCDEF') END AS packed FROM alignments", packed=lambda: F.hex(S.pack_seq(F.col("seq"))))
+per_row("seq02_unpack", f"SELECT row_id, {_NORM} AS seq FROM alignments", seq=lambda: S.unpack_seq(S.pack_seq(F.col("seq")), F.length("seq")))
+per_row("seq03_base_at", "SELECT row_id, CASE WHEN length(seq) > 10 THEN substr(seq, 11, 1) END AS base FROM alignments", base=lambda: S.base_at(F.col("seq"), F.lit(10)))
+per_row("seq04_qual", "SELECT row_id, CASE WHEN qual IS NULL OR len(qual) = 0 OR list_min(qual) = 255 THEN '*' ELSE array_to_string(list_transform(qual, lambda q: chr((q + 33)::INT)), '') END AS qual FROM alignments", qual=lambda: S.encode_qual(F.col("qual")))
 
 # --- optional fields
 _AUXTEXT = """x.tag || ':' || CASE WHEN x.type IN ('c','C','s','S','i','I') THEN 'i' ELSE x.type END || ':' || coalesce(CASE WHEN x.type IN ('c','C','s','S','i','I') THEN x.ival::VARCHAR
@@ -141,7 +143,7 @@ QUERIES["aux01_parse"] = lambda s, d: (
 SQL["aux01_parse"] = f"""SELECT row_id, i, x.tag AS tag, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN CASE WHEN x.ival BETWEEN 0 AND 255 THEN 'C' WHEN x.ival BETWEEN 0 AND 65535 THEN 'S' WHEN x.ival >= 0 THEN 'I'
   WHEN x.ival >= -128 THEN 'c' WHEN x.ival >= -32768 THEN 's' ELSE 'i' END ELSE x.type END AS type, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN x.ival END AS ival FROM {_AUXROWS} WHERE x.type <> 'f' AND coalesce(x.subtype, '') <> 'f'"""
 per_row("aux02_new_int", "SELECT row_id, CASE WHEN tlen BETWEEN 0 AND 255 THEN 'C' WHEN tlen BETWEEN 0 AND 65535 THEN 'S' WHEN tlen >= 0 THEN 'I' WHEN tlen >= -128 THEN 'c' WHEN tlen >= -32768 THEN 's' WHEN tlen IS NOT NULL THEN 'i' END AS type FROM alignments",
-        type=T.new_int_aux("XT", F.col("tlen"))["type"])
+        type=lambda: T.new_int_aux("XT", F.col("tlen"))["type"])
 QUERIES["aux03_kinds"] = lambda s, d: aln(s, d).select(F.explode("aux").alias("x")).groupBy(F.col("x.tag").alias("tag"), T.kind(F.col("x.type")).alias("kind")).agg(F.count("*").alias("n"))
 SQL["aux03_kinds"] = "SELECT x.tag AS tag, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN 'i' ELSE x.type END AS kind, count(*) AS n FROM (SELECT unnest(aux) AS x FROM alignments) GROUP BY 1, 2"
 QUERIES["aux04_format"] = lambda s, d: aln(s, d).select("row_id", F.posexplode("aux").alias("i", "x")).where("x.type <> 'f' AND coalesce(x.subtype, '') <> 'f'").select("row_id", (F.col("i") + 1).cast("bigint").alias("i"), T.format_aux(F.col("x")).alias("text"))
@@ -215,13 +217,16 @@ QUERIES["agg05_reference_names"] = lambda s, d: table(s, d, "index_stats").group
 SQL["agg05_reference_names"] = "SELECT _src_id, count(DISTINCT ref_id) AS n_refs, min(ref_id) AS first_id, max(ref_id) AS last_id FROM index_stats GROUP BY 1"
 
 # --- bins and indexes
-_E = R.record_end(flag, pos, cig)
+def _end() -> Column:
+    return R.record_end(F.col("flag"), F.col("pos"), F.col("cigar"))
+
+
 _KEYS = ["_src_id", "ref_id"]
 
 
 def placed(s: SparkSession, d: str) -> DataFrame:
     a = aln(s, d).where("ref_id >= 0 AND pos >= 0 AND _voff_begin IS NOT NULL AND _voff_end IS NOT NULL")
-    return a.select(*_KEYS, F.col("pos").alias("beg"), _E.alias("end"), "_voff_begin", "_voff_end")
+    return a.select(*_KEYS, F.col("pos").alias("beg"), _end().alias("end"), "_voff_begin", "_voff_end")
 
 
 def regions(s: SparkSession, d: str) -> DataFrame:
@@ -232,17 +237,17 @@ def regions(s: SparkSession, d: str) -> DataFrame:
 
 
 _P = "p AS (SELECT * FROM ends WHERE ref_id >= 0 AND pos >= 0 AND _voff_begin IS NOT NULL AND _voff_end IS NOT NULL)"
-per_row("idx01_bin_for", f"WITH {_OPS} SELECT row_id, CAST({_bin_sql('pos', 'e')} AS BIGINT) AS bin FROM ends", bin=B.bin_for(pos, _E))
+per_row("idx01_bin_for", f"WITH {_OPS} SELECT row_id, CAST({_bin_sql('pos', 'e')} AS BIGINT) AS bin FROM ends", bin=lambda: B.bin_for(F.col("pos"), _end()))
 _LEVELS = ((1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
 QUERIES["idx02_overlapping_bins"] = lambda s, d: regions(s, d).select("_src_id", "ref_id", F.explode(B.overlapping_bins(F.col("beg"), F.col("end"))).alias("bin"))
 _REGION = "r AS (SELECT DISTINCT _src_id, ref_id, (ref_id::BIGINT * 7919 + _src_id * 104729) % 40 * 1000000 AS b FROM index_stats WHERE ref_id IS NOT NULL)"
 _BINS_OF = "list_concat([0::BIGINT], " + ", ".join(f"range({o} + (b >> {s}), {o} + ((b + 2999999) >> {s}) + 1)" for o, s in _LEVELS) + ")"
 SQL["idx02_overlapping_bins"] = f"WITH {_REGION} SELECT _src_id, ref_id, unnest({_BINS_OF}) AS bin FROM r"
 per_row("idx03_csi_bin_for", f"WITH {_OPS} SELECT row_id, CAST(CASE WHEN (pos >> 12) = ((e - 1) >> 12) THEN 37449 + (pos >> 12) WHEN (pos >> 15) = ((e - 1) >> 15) THEN 4681 + (pos >> 15) WHEN (pos >> 18) = ((e - 1) >> 18) THEN 585 + (pos >> 18) WHEN (pos >> 21) = ((e - 1) >> 21) THEN 73 + (pos >> 21) WHEN (pos >> 24) = ((e - 1) >> 24) THEN 9 + (pos >> 24) WHEN (pos >> 27) = ((e - 1) >> 27) THEN 1 + (pos >> 27) ELSE 0 END AS BIGINT) AS bin FROM ends",
-        bin=B.bin_for(pos, _E, 12, 6))
+        bin=lambda: B.bin_for(F.col("pos"), _end(), 12, 6))
 QUERIES["idx04_csi_sizing"] = lambda s, d: table(s, d, "ref_seqs").select("ref_id", B.minimum_shift_col(F.col("ln").cast("bigint"), 5).alias("shift"), B.minimum_depth_col(F.col("ln").cast("bigint"), 14).alias("depth"))
 SQL["idx04_csi_sizing"] = "SELECT ref_id, (SELECT min(s) FROM range(32) t(s) WHERE ln <= (1::BIGINT << (s + 15)::INT) - 2)::INT AS shift, (SELECT min(x) FROM range(15) t(x) WHERE ln <= (1::BIGINT << (14 + 3 * x)::INT) - 2)::INT AS depth FROM ref_seqs WHERE ln IS NOT NULL UNION ALL SELECT ref_id, -1, -1 FROM ref_seqs WHERE ln IS NULL"
-per_row("idx05_valid_pos", "SELECT row_id, pos BETWEEN -1 AND 536870910 AS ok FROM alignments", ok=B.is_valid_index_pos(pos))
+per_row("idx05_valid_pos", "SELECT row_id, pos BETWEEN -1 AND 536870910 AS ok FROM alignments", ok=lambda: B.is_valid_index_pos(F.col("pos")))
 
 
 def _bai(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -313,12 +318,12 @@ QUERIES["str03_squash"] = lambda s, d: X.squash(_chunks(s, d), ["_src_id"])
 SQL["str03_squash"] = f"WITH {_CH} SELECT _src_id, min(chunk_begin) AS chunk_begin, max(chunk_end) AS chunk_end FROM ch GROUP BY 1"
 QUERIES["str04_compressor"] = lambda s, d: X.compressor(1)(_chunks(s, d), ["_src_id"])
 SQL["str04_compressor"] = f"WITH {_CH}, " + _merge_sql("(r >> 16) + 1 < (b >> 16)", "_src_id", "ch")
-per_row("off01_voffset", "SELECT row_id, _voff_begin >> 16 AS file, _voff_begin & 65535 AS block, _voff_begin AS packed FROM alignments", file=B.voffset_file(F.col("_voff_begin")), block=B.voffset_block(F.col("_voff_begin")), packed=B.voffset(B.voffset_file(F.col("_voff_begin")), B.voffset_block(F.col("_voff_begin"))))
+per_row("off01_voffset", "SELECT row_id, _voff_begin >> 16 AS file, _voff_begin & 65535 AS block, _voff_begin AS packed FROM alignments", file=lambda: B.voffset_file(F.col("_voff_begin")), block=lambda: B.voffset_block(F.col("_voff_begin")), packed=lambda: B.voffset(B.voffset_file(F.col("_voff_begin")), B.voffset_block(F.col("_voff_begin"))))
 
 
 def _overlaps(width: int | None):
     def run(s: SparkSession, d: str) -> DataFrame:
-        a = aln(s, d).where("ref_id IS NOT NULL AND pos >= 0").select("row_id", *_KEYS, F.col("pos").alias("beg"), _E.alias("end")).where("end > beg")
+        a = aln(s, d).where("ref_id IS NOT NULL AND pos >= 0").select("row_id", *_KEYS, F.col("pos").alias("beg"), _end().alias("end")).where("end > beg")
         r = regions(s, d).select(*_KEYS, F.col("beg").alias("rbeg"), F.col("end").alias("rend"))
         return X.interval_join(a, r, _KEYS, width).groupBy(*_KEYS).agg(F.count("*").alias("n"), F.sum(F.least("end", "rend") - F.greatest("beg", "rbeg")).alias("bases"))
 
@@ -333,15 +338,15 @@ SQL["ord01_violations"] = "SELECT _src_id, _src_ord, ref_id, pos FROM (SELECT *,
 
 # --- integers and offsets of the other formats
 per_row("enc01_itf8", "SELECT row_id, tlen, octet_length(unhex(CASE WHEN tlen IS NULL THEN NULL WHEN tlen BETWEEN 0 AND 127 THEN '00' WHEN tlen BETWEEN 0 AND 16383 THEN '0000' WHEN tlen BETWEEN 0 AND 2097151 THEN '000000' WHEN tlen BETWEEN 0 AND 268435455 THEN '00000000' ELSE '0000000000' END))::INT AS n FROM alignments",
-        tlen=codecs.itf8_decode(codecs.itf8_encode(F.col("tlen"))), n=F.octet_length(codecs.itf8_encode(F.col("tlen"))))
-per_row("enc02_ltf8", "SELECT row_id, _voff_begin AS v, pos AS p FROM alignments", v=codecs.ltf8_decode(codecs.ltf8_encode(F.col("_voff_begin"))), p=codecs.ltf8_decode(codecs.ltf8_encode(pos)))
+        tlen=lambda: codecs.itf8_decode(codecs.itf8_encode(F.col("tlen"))), n=lambda: F.octet_length(codecs.itf8_encode(F.col("tlen"))))
+per_row("enc02_ltf8", "SELECT row_id, _voff_begin AS v, pos AS p FROM alignments", v=lambda: codecs.ltf8_decode(codecs.ltf8_encode(F.col("_voff_begin"))), p=lambda: codecs.ltf8_decode(codecs.ltf8_encode(F.col("pos"))))
 QUERIES["fai01_offset"] = lambda s, d: aln(s, d).where("pos >= 0").select("row_id", (F.lit(12) + F.expr("pos div 70") * 71 + F.col("pos") % 70).alias("offset"))
 SQL["fai01_offset"] = "SELECT row_id, 12 + pos // 70 * 71 + pos % 70 AS \"offset\" FROM alignments WHERE pos >= 0"
 
 # --- headers
 QUERIES["hdr06_other_tags"] = lambda s, d: table(s, d, "read_groups").select("row_id", F.explode("other_tags").alias("tag", "value"))
 SQL["hdr06_other_tags"] = "SELECT row_id, e.key AS tag, e.value AS value FROM (SELECT row_id, unnest(map_entries(other_tags)) AS e FROM read_groups)"
-QUERIES["hdr07_order_names"] = lambda s, d: aln(s, d).groupBy(H.order_name(flag % 6, H.SORT_ORDERS).alias("name")).agg(F.count("*").alias("n"))
+QUERIES["hdr07_order_names"] = lambda s, d: aln(s, d).groupBy(H.order_name(F.col("flag") % 6, H.SORT_ORDERS).alias("name")).agg(F.count("*").alias("n"))
 SQL["hdr07_order_names"] = "SELECT CASE flag % 6 WHEN 1 THEN 'unsorted' WHEN 2 THEN 'queryname' WHEN 3 THEN 'coordinate' ELSE 'unknown' END AS name, count(*) AS n FROM alignments GROUP BY 1"
 QUERIES["hdr11_accessors"] = lambda s, d: aln(s, d).select("row_id", F.coalesce("rname", F.lit("*")).alias("name"), F.coalesce("ref_id", F.lit(-1)).alias("id"))
 SQL["hdr11_accessors"] = "SELECT row_id, coalesce(rname, '*') AS name, coalesce(ref_id, -1) AS id FROM alignments"
