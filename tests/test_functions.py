@@ -49,7 +49,7 @@ def test_null_parts_of_operations(spark):
     assert tuple(df.select(C.reach(F.lit(10), F.col("c")), C.read_length(F.col("c"))).head()) == (14, 4)
 
 
-@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(1, 10**6), st.sampled_from(C.OPS)), min_size=1, max_size=6))
 def test_format_is_inverse_of_parse(spark, ops):
     text = "".join(f"{n}{o}" for n, o in ops)
@@ -72,7 +72,7 @@ def test_bins(spark):
     assert got == [0, 2, 18, 4680, 4681]
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, (1 << 29) - 2), st.integers(1, 1 << 22))
 def test_bins_cover_overlaps(spark, beg, size):
     a, overlapping = one(spark, B.bin_for(F.lit(beg), F.lit(beg + size)), B.overlapping_bins(F.lit(max(0, beg - 3)), F.lit(beg + 1)))
