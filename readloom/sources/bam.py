@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
@@ -24,7 +25,7 @@ SCHEMA = (
 )
 _PAIRS = [a + b for a in CODES for b in CODES]
 _INT = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I"}  # fixed: struct code of each integer type
-_FIXED = struct.Struct("<iiBBHHHiiii")
+_FIXED, _SIZE = struct.Struct("<iiBBHHHiiii"), struct.Struct("<i")
 #: Records that must follow each other plausibly for a split to trust a record start, and rows of an Arrow batch.
 CHAIN, BATCH = 8, 4096
 
@@ -200,27 +201,35 @@ def _aux(buf: bytes) -> list[dict]:
     return out
 
 
-def decode_record(body: bytes, names: list[str], omit: str) -> tuple:
-    """Columns of SCHEMA up to aux. omit: none, aux, or variable (sequence, qualities and tags left out)."""
+def decode_record(body: bytes, names: list[str], omit: str, want: frozenset[str]) -> dict:
+    """The wanted columns of a record. omit: none, aux, or variable (sequence, qualities and tags left out)."""
     ref, pos, n_name, mapq, _, ops, flag, n, mate, mate_pos, tlen = _FIXED.unpack_from(body)
     if not (-1 <= ref < len(names) and -1 <= mate < len(names)):
         raise FormatError("reference out of range")
     at = 32 + n_name
-    name = body[32 : at - 1].decode("latin-1")
-    packed = struct.unpack_from(f"<{ops}I", body, at)
-    cigar = [{"len": p >> 4, "op": OPS[p & 15]} for p in packed]
+    r = {"flag": flag, "ref_id": ref if ref >= 0 else None, "rname": names[ref] if ref >= 0 else None, "pos": pos, "mapq": mapq}
+    r |= {"mate_ref_id": mate if mate >= 0 else None, "mate_rname": names[mate] if mate >= 0 else None, "mate_pos": mate_pos, "tlen": tlen}
+    if "qname" in want:
+        r["qname"] = body[32 : at - 1].decode("latin-1")
+    if "cigar" in want:
+        r["cigar"] = [{"len": p >> 4, "op": OPS[p & 15]} for p in struct.unpack_from(f"<{ops}I", body, at)]
     at += 4 * ops
-    seq = qual = aux = None
     if omit != "variable":
         half = (n + 1) // 2
-        seq = "".join([_PAIRS[b] for b in body[at : at + half]])[:n] if n else None
-        q = body[at + half : at + half + n]
-        qual = None if not n or q.count(255) == n else list(q)
-        if omit == "none":
-            aux = _aux(body[at + half + n :])
-    return (
-        name, flag, ref if ref >= 0 else None, names[ref] if ref >= 0 else None, pos, mapq, cigar, mate if mate >= 0 else None, names[mate] if mate >= 0 else None, mate_pos, tlen, seq, qual, aux,
-    )
+        if "seq" in want:
+            r["seq"] = "".join([_PAIRS[b] for b in body[at : at + half]])[:n] if n else None
+        if "qual" in want:
+            q = body[at + half : at + half + n]
+            r["qual"] = None if not n or q.count(255) == n else list(q)
+        if omit == "none" and "aux" in want:
+            r["aux"] = _aux(body[at + half + n :])
+    return r
+
+
+#: Columns that lie in the fixed part of a record, as laid out there.
+_HEAD = np.dtype([("ref_id", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("mate_ref_id", "<i4"), ("mate_pos", "<i4"), ("tlen", "<i4")])
+_PLACE = ("_voff_begin", "_voff_end", "_src_id", "_src_ord")
+_FAST = {"flag", "ref_id", "rname", "pos", "mapq", "mate_ref_id", "mate_rname", "mate_pos", "tlen", *_PLACE}
 
 
 class BamReader(DataSourceReader):
@@ -236,28 +245,57 @@ class BamReader(DataSourceReader):
         return bgzf.byte_ranges(self.path, self.split)
 
     def read(self, part: RangePartition) -> Iterator[pa.RecordBatch]:
+        """Only the columns of the schema asked for are decoded; those of the fixed part are cut out for a batch at a time."""
         schema = to_arrow_schema(self.schema)
-        rows: list[tuple] = []
-        for row in self._rows(part):
-            rows.append(row)
-            if len(rows) == BATCH:
-                yield self._batch(rows, schema)
-                rows = []
-        if rows:
-            yield self._batch(rows, schema)
-
-    @staticmethod
-    def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    def _rows(self, part: RangePartition) -> Iterator[tuple]:
+        want = frozenset(schema.names)
+        batch = self._fixed if want <= _FAST else self._decoded
         _, refs, first = file_header(part.path)
         names = [r[0] for r in refs]
+        bodies: list[bytes] = []
+        offsets: list[tuple[int, int]] = []
+        for body, begin, after in self._records(part, names, first, 32 if want <= _FAST else 1 << 30):
+            bodies.append(body)
+            offsets.append((begin, after))
+            if len(bodies) == BATCH:
+                yield batch(bodies, offsets, part.src, names, schema)
+                bodies, offsets = [], []
+        if bodies:
+            yield batch(bodies, offsets, part.src, names, schema)
+
+    def _decoded(self, bodies, offsets, src: int, names: list[str], schema: pa.Schema) -> pa.RecordBatch:
+        want = frozenset(schema.names)
+        rows = [decode_record(b, names, self.omit, want) | {"_voff_begin": x, "_voff_end": y, "_src_id": src, "_src_ord": x} for b, (x, y) in zip(bodies, offsets, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], type=f.type) for f in schema], schema=schema)
+
+    def _fixed(self, bodies, offsets, src: int, names: list[str], schema: pa.Schema) -> pa.RecordBatch:
+        head = np.frombuffer(b"".join(bodies), _HEAD)
+        for c in ("ref_id", "mate_ref_id"):
+            if len(head) and not (-1 <= head[c].min() and head[c].max() < len(names)):
+                raise FormatError("reference out of range")
+        place = np.array(offsets, np.int64)
+        known = pa.array(names, pa.string())
+        out = []
+        for f in schema:
+            if f.name in ("rname", "mate_rname"):
+                ids = head["ref_id" if f.name == "rname" else "mate_ref_id"]
+                out.append(known.take(pa.array(ids, mask=ids < 0)))
+            elif f.name in ("ref_id", "mate_ref_id"):
+                out.append(pa.array(head[f.name], mask=head[f.name] < 0).cast(f.type))
+            elif f.name == "_src_id":
+                out.append(pa.array(np.full(len(head), src)).cast(f.type))
+            elif f.name in _PLACE:
+                out.append(pa.array(place[:, 1 if f.name == "_voff_end" else 0]).cast(f.type))
+            else:
+                out.append(pa.array(head[f.name]).cast(f.type))
+        return pa.RecordBatch.from_arrays(out, schema=schema)
+
+    def _records(self, part: RangePartition, names: list[str], first: int, keep: int) -> Iterator[tuple[bytes, int, int]]:
+        """(the first `keep` bytes of a record, its begin, its end)."""
         size = files.size_of(part.path)
         with files.open_input(part.path) as f:
             if part.first is not None:
-                block, end = part.start >> 16, part.end
-                s, at = Stream(f, block, size), part.start & 0xFFFF
+                end, at = part.end, part.start & 0xFFFF
+                s = Stream(f, part.start >> 16, size)
             else:
                 end = part.end << 16
                 block = bgzf.first_member(f, part.start, size) if part.start else 0
@@ -267,24 +305,24 @@ class BamReader(DataSourceReader):
                     s, at = Stream(f, first >> 16, size), first & 0xFFFF
                 else:
                     s = Stream(f, block, size)
-                    limit = self._length_before(f, block, part.end, size)
-                    found = find_record(s, 0, limit, len(names))
+                    found = find_record(s, 0, self._length_before(f, block, part.end, size), len(names))
                     if found is None:
                         return
                     at = found
-            while s.fill(at + 4):
-                begin = s.voffset(at)
-                if begin >= end:
-                    return
-                n = struct.unpack("<i", s.get(at, 4))[0]
+            if not s.fill(at + 4):
+                return
+            begin = s.voffset(at)
+            while begin < end and s.fill(at + 4):
+                n = _SIZE.unpack_from(s.data, at - s.base)[0]
                 if n == 0:
                     return
                 if n < 32 or not s.fill(at + 4 + n):
                     raise FormatError(f"truncated record at {begin}")
-                body = s.get(at + 4, n)
+                body = s.get(at + 4, min(n, keep))
                 at += 4 + n
                 after = s.voffset(at) if s.fill(at + 1) else size << 16
-                yield (*decode_record(body, names, self.omit), begin, after, part.src, begin)
+                yield body, begin, after
+                begin = after
                 s.forget(at)
 
     @staticmethod
@@ -430,7 +468,8 @@ class BamWriter(PartsWriter):
 
 
 class Bam(DataSource):
-    """spark.read.format("bam"): options path (file or folder), omit (none, aux, variable), chunks, splitBytes. df.write.format("bam"): path, header, level."""
+    """spark.read.format("bam"): options path (file or folder), omit (none, aux, variable), chunks, splitBytes; with
+    .schema(some columns) nothing else is decoded. df.write.format("bam"): path, header, level."""
 
     @classmethod
     def name(cls) -> str:

@@ -13,7 +13,7 @@ from readloom.sources import files
 from readloom.sources.bgzf import RangePartition, byte_ranges
 
 FAI = "name STRING, length BIGINT, start BIGINT, bases_per_line INT, bytes_per_line INT"
-SEGMENT = "_src_id INT, part BIGINT, ord INT, name STRING, header_at BIGINT, seq_at BIGINT, bases BIGINT, first_bases INT, first_bytes INT, short_at BIGINT, long_at BIGINT, last_bases INT, lines BIGINT"
+SEGMENT = "_src_id INT, part BIGINT, ord INT, name STRING, header_at BIGINT, seq_at BIGINT, bases BIGINT, first_bases INT, first_bytes INT, short_bases INT, short_at BIGINT, long_bases INT, long_at BIGINT, last_bases INT, lines BIGINT"
 
 
 class FastaReader(DataSourceReader):
@@ -70,24 +70,23 @@ class FastaReader(DataSourceReader):
 
     @staticmethod
     def _new(name, at) -> dict:
-        return {"name": name, "header_at": at, "seq_at": None, "bases": 0, "first_bases": None, "first_bytes": None, "short_at": None, "long_at": None, "last_bases": None, "lines": 0}
+        return {"name": name, "header_at": at, "seq_at": None, "bases": 0, "first_bases": None, "first_bytes": None, "short_bases": None, "short_at": None, "long_bases": None, "long_at": None, "last_bases": None, "lines": 0}
 
     @staticmethod
     def _add(s: dict, at: int, bases: int, size: int) -> None:
         if s["seq_at"] is None:
             s["seq_at"], s["first_bases"], s["first_bytes"] = at, bases, size
-        else:
-            if s["last_bases"] < s["first_bases"] and bases and s["short_at"] is None:
-                s["short_at"] = at
-            if bases > s["first_bases"] and s["long_at"] is None:
-                s["long_at"] = at
+        elif bases and (s["short_bases"] is None or s["last_bases"] < s["short_bases"]):
+            s["short_bases"], s["short_at"] = s["last_bases"], at  # the narrowest line that another follows, and where that begins
+        if s["long_bases"] is None or bases > s["long_bases"]:
+            s["long_bases"], s["long_at"] = bases, at
         s["bases"] += bases
         s["last_bases"] = bases
         s["lines"] += 1
 
     @staticmethod
     def _row(part: RangePartition, no: int, s: dict) -> tuple:
-        return (part.src, part.start, no, s["name"], s["header_at"], s["seq_at"], s["bases"], s["first_bases"], s["first_bytes"], s["short_at"], s["long_at"], s["last_bases"], s["lines"])
+        return (part.src, part.start, no, s["name"], s["header_at"], s["seq_at"], s["bases"], s["first_bases"], s["first_bytes"], s["short_bases"], s["short_at"], s["long_bases"], s["long_at"], s["last_bases"], s["lines"])
 
 
 class FastaSegments(DataSource):
@@ -112,8 +111,9 @@ def build_fai(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFram
     g = Window.partitionBy("_src_id", "k").orderBy("part", "ord")
     full = F.first("first_bases", ignorenulls=True).over(g.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     s = s.withColumn("full", full).withColumn("before", F.last("last_bases", ignorenulls=True).over(g.rowsBetween(Window.unboundedPreceding, -1)))
-    bad_short = F.coalesce("short_at", F.when((F.col("before") < F.col("full")) & (F.col("bases") > 0), F.col("seq_at")), F.when((F.col("first_bases") < F.col("full")) & (F.col("lines") > 1), F.col("seq_at")))
-    bad_long = F.coalesce("long_at", F.when(F.col("first_bases") > F.col("full"), F.col("seq_at")))
+    # judged against the first line of the sequence, wherever that is
+    bad_short = F.least(F.when(F.col("short_bases") < F.col("full"), F.col("short_at")), F.when((F.col("before") < F.col("full")) & (F.col("bases") > 0), F.col("seq_at")))
+    bad_long = F.when(F.col("long_bases") > F.col("full"), F.col("long_at"))
     rows = s.groupBy("_src_id", "k").agg(
         F.max("name").alias("name"), F.coalesce(F.sum("bases"), F.lit(0)).cast("bigint").alias("length"), F.min("seq_at").alias("start"), F.min("full").alias("bases_per_line"),
         F.min_by("first_bytes", "seq_at").alias("bytes_per_line"), F.min(bad_short).alias("short_at"), F.min(bad_long).alias("long_at"), F.min("header_at").alias("header_at"),
@@ -121,7 +121,7 @@ def build_fai(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFram
     dup = F.row_number().over(Window.partitionBy("_src_id", "name").orderBy("k"))
     problem = (
         F.when(F.coalesce(F.col("name"), F.lit("")) == "", F.concat(F.lit("missing sequence name at "), F.coalesce("header_at", "start").cast("string")))
-        .when(F.col("long_at").isNotNull(), F.concat(F.lit("unexpected long line at offset "), F.col("long_at").cast("string")))
+        .when(F.col("long_at").isNotNull() & (F.col("short_at").isNull() | (F.col("long_at") < F.col("short_at"))), F.concat(F.lit("unexpected long line at offset "), F.col("long_at").cast("string")))
         .when(F.col("short_at").isNotNull(), F.concat(F.lit("unexpected short line before offset "), F.col("short_at").cast("string")))
         .when(F.col("dup") > 1, F.concat(F.lit("duplicate sequence identifier "), F.col("name"), F.lit(" at "), F.col("header_at").cast("string")))
     )
