@@ -104,31 +104,18 @@ def read_length(cigar: Column) -> Column:
 
 def is_valid(cigar: Column, length: Column) -> Column:
     """H only at an end; S at an end or beside an H; nothing that reads bases starts left of the start; read bases add up to length."""
-    c = ops_or_empty(cigar)
-    n = F.size(c)
-    odd = F.exists(
-        F.transform(
-            c,
-            lambda x, i: (i > 0)
-            & (i < n - 1)
-            & (
-                (x["op"] == "H")
-                | ((x["op"] == "S") & (F.get(c, i - 1)["op"] != "H") & (F.get(c, i + 1)["op"] != "H"))
-            ),
-        ),
-        lambda bad: bad,
-    )
-    zero = F.lit(0).cast("bigint")
-    walk = F.aggregate(
-        c,
-        F.struct(zero.alias("p"), zero.alias("q"), F.lit(True).alias("ok")),
-        lambda a, x: F.struct(
-            (a["p"] + _ref_step(x)).alias("p"),
-            (a["q"] + _query_step(x)).alias("q"),
-            (a["ok"] & ((a["p"] >= 0) | (query_consumption(x["op"]) == 0))).alias("ok"),
-        ),
-    )
-    return ~F.coalesce(odd, F.lit(False)) & walk["ok"] & (walk["q"] == length)
+    zero, none = F.lit(0).cast("bigint"), F.lit("")
+
+    def step(a: Column, x: Column) -> Column:
+        op = F.coalesce(x["op"], none)
+        # judged when the next operation is seen: that makes the last one inner, if it was not the first
+        inner = a["i"] >= 2
+        odd = inner & ((a["last"] == "H") | ((a["last"] == "S") & (a["before"] != "H") & (op != "H")))
+        left = (a["p"] < 0) & (query_consumption(op) != 0)
+        return F.struct((a["p"] + _ref_step(x)).alias("p"), (a["q"] + _query_step(x)).alias("q"), (a["ok"] & ~odd & ~left).alias("ok"), op.alias("last"), a["last"].alias("before"), (a["i"] + 1).alias("i"))
+
+    start = F.struct(zero.alias("p"), zero.alias("q"), F.lit(True).alias("ok"), none.alias("last"), none.alias("before"), F.lit(0).alias("i"))
+    return F.aggregate(ops_or_empty(cigar), start, step, lambda a: F.when(a["ok"], a["q"]).otherwise(F.lit(-1).cast("bigint"))) == length
 
 
 def reach(pos: Column, cigar: Column) -> Column:
