@@ -16,11 +16,21 @@ from readloom.functions import bins as B
 Strategy = Callable[[DataFrame, list[str]], DataFrame]
 
 
-def _islands(df: DataFrame, keys: list[str], opens: Callable[[Column, Column], Column], aggs: list[Column]) -> DataFrame:
+#: Bits of a virtual offset below a shard border (16 MB of compressed file).
+SHARD_BITS = 40
+
+
+def _runs(df: DataFrame, keys: list[str], opens: Callable[[Column, Column], Column], sums: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("chunk_begin", "chunk_end")
     run = df.withColumn("__r", F.max("chunk_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     run = run.withColumn("__i", F.sum((F.col("__r").isNull() | opens(F.col("__r"), F.col("chunk_begin"))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return run.groupBy(*keys, "__i").agg(F.min("chunk_begin").alias("chunk_begin"), F.max("chunk_end").alias("chunk_end"), *aggs).drop("__i")
+    return run.groupBy(*keys, "__i").agg(F.min("chunk_begin").alias("chunk_begin"), F.max("chunk_end").alias("chunk_end"), *[F.sum(c).alias(c) for c in sums]).drop("__i")
+
+
+def _islands(df: DataFrame, keys: list[str], opens: Callable[[Column, Column], Column], sums: list[str]) -> DataFrame:
+    """Chunks joined by running maximum of their ends. First within stretches of the file, then across them, so that a hot key is not one task's rows."""
+    local = _runs(df.withColumn("__s", F.shiftright("chunk_begin", SHARD_BITS)), [*keys, "__s"], opens, sums).drop("__s")
+    return _runs(local, keys, opens, sums)
 
 
 def identity(chunks: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,7 +60,7 @@ def build_bins(records: DataFrame, keys: list[str], beg: Column, end: Column, mi
     record's own beginning. records: placed records with _voff_begin and _voff_end."""
     r = records.select(*keys, B.bin_for(beg, end, min_shift, depth).alias("bin"), F.col("_voff_begin").alias("chunk_begin"), F.col("_voff_end").alias("chunk_end"))
     r = r.groupBy(*keys, "bin", "chunk_begin", "chunk_end").agg(F.count("*").alias("n"))
-    chunks = _islands(r, [*keys, "bin"], lambda end, begin: end <= begin, [F.sum("n").alias("n")])
+    chunks = _islands(r, [*keys, "bin"], lambda end, begin: end <= begin, ["n"])
     w = Window.partitionBy(*keys, "bin")
     return chunks.select(*keys, "bin", "chunk_begin", "chunk_end", F.min("chunk_begin").over(w).alias("left_voff"), F.sum("n").over(w).alias("records"))
 

@@ -11,7 +11,7 @@ from readloom.operators.instants import normalise_instants, utc_text
 from readloom.operators.intervals import merge_intervals
 from readloom.operators.orphans import find_orphans
 from readloom.operators.percentiles import RELATIVE_ERROR, combine_values, exact_percentiles, log_bucket, merge_summaries, summary_percentiles
-from readloom.operators.rejects import reject_lines
+from readloom.operators.rejects import INT_RANGES, reject_lines
 from readloom.operators.skew import aggregate_per_key, dominant_keys, skew_join
 from readloom.session import table
 
@@ -38,6 +38,41 @@ SELECT src_id, ref_id, 'gap', e, nb FROM (SELECT *, lead(b) OVER (PARTITION BY s
 """
 
 
+def _number(x: str, top: int) -> str:
+    return f"(regexp_full_match({x}, '[0-9]+') AND length(ltrim({x}, '0')) <= 10 AND coalesce(try_cast(nullif(ltrim({x}, '0'), '') AS BIGINT), 0) <= {top})"
+
+
+def _whole(x: str, low: int, high: int) -> str:
+    bare = f"ltrim(ltrim({x}, '+-'), '0')"
+    sign = f"(CASE WHEN starts_with({x}, '-') THEN -1 ELSE 1 END)"
+    return f"(regexp_full_match({x}, '[+-]?[0-9]+') AND length({bare}) <= 18 AND coalesce(try_cast(nullif({bare}, '') AS BIGINT), 0) * {sign} BETWEEN {low} AND {high})"
+
+
+_FLOAT_SQL = "[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+_B_SQL = " ".join(f"WHEN '{k}' THEN {_whole('v', *r)}" for k, r in INT_RANGES.items())
+#: (line_id, u, reason) of every line: the statement of the problem in SQL.
+P2_CTE = f"""
+l AS (SELECT line_id, coalesce(string_split(CASE WHEN ends_with(line, chr(13)) THEN left(line, -1) ELSE line END, chr(9)), []) AS f FROM sam_lines),
+q AS (SELECT line_id, f, coalesce(list_bool_or(list_transform(f, lambda x, i: i <> 11 AND starts_with(x, '"') AND (length(x) < 2 OR NOT ends_with(x, '"') OR contains(replace(substr(x, 2, length(x) - 2), '""', ''), '"')))), FALSE) AS bad,
+             list_transform(f, lambda x, i: CASE WHEN i <> 11 AND starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS u FROM l),
+n AS (SELECT line_id, u[6] AS c, u[10] AS s FROM q WHERE len(f) >= 11 AND regexp_full_match(u[6], '([0-9]{{1,13}}[MIDNSHP=XB])+') AND u[10] <> '*'),
+o AS (SELECT line_id, s, unnest(regexp_extract_all(c, '([0-9]+)([MIDNSHP=XB])', 1))::BIGINT AS len, unnest(regexp_extract_all(c, '([0-9]+)([MIDNSHP=XB])', 2)) AS op, unnest(range(1, len(regexp_extract_all(c, '[MIDNSHP=XB]')) + 1)) AS i FROM n),
+w AS (SELECT *, lag(op) OVER t AS before, lead(op) OVER t AS next, coalesce(sum(len * CASE WHEN op IN ('M','D','N','=','X') THEN 1 WHEN op = 'B' THEN -1 ELSE 0 END) OVER (PARTITION BY line_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p
+      FROM o WINDOW t AS (PARTITION BY line_id ORDER BY i)),
+v AS (SELECT line_id, bool_or((op = 'H' AND before IS NOT NULL AND next IS NOT NULL) OR (op = 'S' AND before IS NOT NULL AND next IS NOT NULL AND before <> 'H' AND next <> 'H') OR (p < 0 AND op IN ('M','I','S','=','X')))
+      OR sum(CASE WHEN op IN ('M','I','S','=','X') THEN len ELSE 0 END) <> any_value(length(s)) AS invalid FROM w GROUP BY line_id),
+r AS (SELECT q.line_id, u, CASE WHEN len(f) < 11 THEN 'fields' WHEN bad THEN 'quoting'
+  WHEN NOT regexp_full_match(u[1], '[!-?A-~]{{1,254}}') THEN 'qname' WHEN NOT ({_number('u[2]', 65535)} OR regexp_full_match(u[2], '0x[0-9A-Fa-f]{{1,4}}')) THEN 'flag' WHEN u[3] = '' THEN 'rname'
+  WHEN NOT {_number('u[4]', 2**31 - 1)} THEN 'pos' WHEN NOT {_number('u[5]', 255)} THEN 'mapq' WHEN u[6] <> '*' AND (NOT regexp_full_match(u[6], '([0-9]{{1,13}}[MIDNSHP=XB])+') OR coalesce(v.invalid, FALSE)) THEN 'cigar'
+  WHEN u[7] = '' THEN 'rnext' WHEN NOT {_number('u[8]', 2**31 - 1)} THEN 'pnext' WHEN NOT {_whole('u[9]', -(2**31) + 1, 2**31 - 1)} THEN 'tlen' WHEN NOT regexp_full_match(u[10], '[*]|[A-Za-z=.]+') THEN 'seq'
+  WHEN NOT (u[11] = '*' OR (u[10] <> '*' AND regexp_full_match(u[11], '[!-~]+') AND length(u[11]) = length(u[10]))) THEN 'qual'
+  WHEN NOT coalesce(list_bool_and(list_transform(u[12:], lambda a: regexp_matches(a, '^[A-Za-z][A-Za-z0-9]:[AifZHB]:') AND CASE substr(a, 4, 1) WHEN 'A' THEN regexp_full_match(substr(a, 6), '[!-~]') WHEN 'i' THEN {_whole('substr(a, 6)', -(2**31), 2**32 - 1)}
+    WHEN 'f' THEN regexp_full_match(substr(a, 6), '{_FLOAT_SQL}') WHEN 'Z' THEN regexp_full_match(substr(a, 6), '[ -~]*') WHEN 'H' THEN regexp_full_match(substr(a, 6), '([0-9A-Fa-f][0-9A-Fa-f])*')
+    WHEN 'B' THEN substr(a, 7, 1) = ',' AND substr(a, 6, 1) IN ('c','C','s','S','i','I','f') AND list_bool_and(list_transform(string_split(substr(a, 8), ','), lambda v: CASE substr(a, 6, 1) {_B_SQL} ELSE regexp_full_match(v, '{_FLOAT_SQL}') END))
+    ELSE FALSE END)), TRUE) THEN 'aux' END AS reason FROM q LEFT JOIN v USING (line_id))"""
+P2_SQL = f"WITH {P2_CTE} SELECT line_id, reason FROM r WHERE reason IS NOT NULL"
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reject_lines(table(spark, sf_dir, "sam_lines"))
 
@@ -173,4 +208,4 @@ QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_reference_profile": p5_reference_profile,
     "p6_percentiles": p6_percentiles, "p6_merged_summaries": p6_merged_summaries,
 }
-SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_reference_profile": P5_PROFILE_SQL, "p6_percentiles": P6_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_reference_profile": P5_PROFILE_SQL, "p6_percentiles": P6_SQL}

@@ -10,6 +10,7 @@ from readloom.operators import flagstat as FS
 from readloom.operators import index as X
 from readloom.operators.header import SCHEMAS, format_header, parse_header
 from readloom.operators.rejects import load_records
+from readloom.plans.general import P2_CTE, P2_SQL
 from readloom.session import cut, table
 from readloom.sources import bam, cram, fasta, files, indexes, sam
 from readloom.sources.bgzf import BlockWriter, has_eof
@@ -147,6 +148,10 @@ def src03_sam_decode(s: SparkSession, d: str) -> DataFrame:
     return records.select("line_id", "qname", "flag", "rname", "pos", "mapq", F.size("cigar").alias("n_ops"), "mate_rname", "mate_pos", "tlen", "seq", F.size("aux_text").alias("n_aux"))
 
 
+SQL["src03_sam_decode"] = f"""WITH {P2_CTE} SELECT line_id, u[1] AS qname, u[2]::INT AS flag, nullif(u[3], '*') AS rname, u[4]::BIGINT - 1 AS pos, u[5]::SMALLINT AS mapq,
+  len(regexp_extract_all(u[6], '[MIDNSHP=XB]'))::INT AS n_ops, CASE WHEN u[7] = '=' THEN nullif(u[3], '*') ELSE nullif(u[7], '*') END AS mate_rname, u[8]::BIGINT - 1 AS mate_pos, u[9]::INT AS tlen, nullif(u[10], '*') AS seq, (len(u) - 11)::INT AS n_aux FROM r WHERE reason IS NULL"""
+
+
 def src19_bgzf_lines(s: SparkSession, d: str) -> DataFrame:
     """Lines of all records through a block-compressed text written by one BAM-like pass of parts, read by byte ranges."""
     indexes.register(s)
@@ -259,6 +264,8 @@ def stm02_stream_rejects(s: SparkSession, d: str) -> DataFrame:
     return loading.run_once(loading.stream_records(lines, "line_id", "line")[1].select("line_id", "reason"))
 
 
+SQL["stm02_stream_rejects"] = P2_SQL
+
 for _f in (src01_sam_scan, src02_inferred_references, src03_sam_decode, src04_bam_round_trip, src06_bam_omit, src07_region_scan, src10_cram_blocks, src12_fai_build, src13_fai_read, src18_fasta_ranges, src19_bgzf_lines,
            src21_has_eof, snk02_sam_lines, snk04_header_text, stm01_windowed_counts, stm02_stream_rejects):
     QUERIES[_f.__name__] = _f
