@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documented bounds of the training sample: hand-labelled and unlabelled documents, chosen by seeded hash, and characters of each that are learned from.
-LABELLED_DOCS, UNLABELLED_DOCS, TRAIN_CHARS = 2500, 1500, 12_000
+#: Documented bounds of the training sample: hand-labelled and unlabelled documents, chosen by seeded hash among those of at most TRAIN_CHARS characters.
+#: They are learned from whole.
+LABELLED_DOCS, UNLABELLED_DOCS, TRAIN_CHARS = 2500, 1500, 100_000
 #: Hash buckets of the n-grams (a power of two).
 BUCKET_BITS = 18
 #: Training: passes over the labelled sample, rounds of relabelling and their passes, step, and weight decay.
@@ -138,7 +139,7 @@ def train(docs: list[tuple[str, str | None, set[str]]], unlabelled: list[tuple[s
     """docs: (text, title, labels). Labels beyond subjects are ignored. Every fifth labelled document calibrates the shares and is not learned from."""
     k = len(subjects)
     index = {s: i for i, s in enumerate(subjects)}
-    body = lambda text, title: f"{title or ''}\n{text}"[:TRAIN_CHARS]
+    body = lambda text, title: f"{title or ''}\n{text}"
     truth = np.zeros((len(docs), k), bool)
     for i, (_, _, labels) in enumerate(docs):
         truth[i, [index[s] for s in labels if s in index]] = True
@@ -191,16 +192,15 @@ def train(docs: list[tuple[str, str | None, set[str]]], unlabelled: list[tuple[s
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[list, list, list[str]]:
-    """Bounded: at most LABELLED_DOCS and UNLABELLED_DOCS documents come to the driver, TRAIN_CHARS characters of each."""
+    """Bounded: at most LABELLED_DOCS and UNLABELLED_DOCS documents of at most TRAIN_CHARS characters come to the driver."""
     names = sorted(r[0] for r in subjects.where("subject IS NOT NULL").select("subject").distinct().limit(1000).collect())
+    usable = documents.where(F.length("text") <= TRAIN_CHARS)
     by_doc = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
-    pick = by_doc.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(LABELLED_DOCS)
-    short = documents.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"), "title")
-    rows = short.join(F.broadcast(pick), "doc_id").orderBy("doc_id").collect()
-    docs = [(r["text"], r["title"], set(r["labels"])) for r in rows]
-    h = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(1 << 30))
-    other = documents.where("text IS NOT NULL").select(h.alias("h"), "doc_id").orderBy("h", "doc_id").limit(UNLABELLED_DOCS)
-    free = [(r["text"], r["title"]) for r in short.join(F.broadcast(other), "doc_id").orderBy("h", "doc_id").collect()]
+    pick = usable.select("doc_id").join(by_doc, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(LABELLED_DOCS)
+    texts = usable.select("doc_id", "text", "title")
+    docs = [(r["text"], r["title"], set(r["labels"])) for r in texts.join(F.broadcast(pick), "doc_id").orderBy("doc_id").collect()]
+    other = usable.select(F.xxhash64("doc_id", F.lit(SEED + 1)).alias("h"), "doc_id").orderBy("h", "doc_id").limit(UNLABELLED_DOCS)
+    free = [(r["text"], r["title"]) for r in texts.join(F.broadcast(other), "doc_id").orderBy("h", "doc_id").collect()]
     return docs, free, names
 
 
