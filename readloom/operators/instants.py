@@ -161,6 +161,21 @@ def parse_wall_time(df: DataFrame, text: str, day_order: str) -> DataFrame:
     return d.drop("__g", "__layout", "__t", "__y", "__m", "__d", "__name", "__off_ok", "__clock")
 
 
+#: ISO 8601 as header dates use it: a date, perhaps a time, perhaps an offset; colons count for nothing.
+ISO = r"\A\d{4}-\d{2}-\d{2}(?:T\d{2}:?\d{2}(?::?\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?\z"
+
+
+def iso_dates(df: DataFrame, text: str, keep: list[str], local_offset: int = 0) -> DataFrame:
+    """keep + `iso`: the date as yyyy-MM-ddTHH:mm:ss+0000, null for texts of another form and impossible dates.
+
+    A date without zone is local; local_offset is the offset of local time in seconds."""
+    full = F.regexp_replace(F.regexp_replace(F.col(text), r"(T\d{2}):?(\d{2})", "$1:$2"), r"(T\d{2}:\d{2}):?(\d{2})", "$1:$2")
+    d = df.select(*keep, F.when(F.col(text).rlike(ISO), full).alias("__text"), F.lit("ymd").alias("__order"))
+    p = parse_wall_time(d, "__text", "__order")
+    utc = utc_text((F.col("__wall") - F.coalesce("__off", F.lit(local_offset))) * 1_000_000)
+    return p.select(*keep, F.concat(F.substring(utc, 1, 19), F.lit("+0000")).alias("iso"))
+
+
 def utc_text(micros: Column) -> Column:
     """Microseconds since 1970 as yyyy-MM-ddTHH:mm:ss.ffffffZ, whatever the session's zone."""
     rest = F.pmod(micros, F.lit(86_400_000_000))

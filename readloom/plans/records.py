@@ -14,6 +14,7 @@ from readloom.operators import flagstat as FS
 from readloom.operators import header as H
 from readloom.operators import index as X
 from readloom.operators import merging as M
+from readloom.operators.instants import iso_dates
 from readloom.session import table
 
 QUERIES: dict = {}
@@ -388,3 +389,16 @@ QUERIES["hdr15_program_lines"] = lambda s, d: table(s, d, "programs").select("ro
 SQL["hdr15_program_lines"] = """SELECT row_id, concat_ws(chr(9), '@PG', CASE WHEN uid <> '' THEN 'ID:' || uid END, CASE WHEN name <> '' THEN 'PN:' || name END, CASE WHEN command <> '' THEN 'CL:' || command END,
   CASE WHEN previous <> '' THEN 'PP:' || previous END, CASE WHEN version <> '' THEN 'VN:' || version END,
   CASE WHEN cardinality(other_tags) > 0 THEN array_to_string(list_transform(list_sort(map_entries(other_tags)), lambda e: e.key || ':' || e.value), chr(9)) END) AS line FROM programs"""
+
+
+_LINE = lambda tag, col: f"CASE WHEN {col}::VARCHAR <> '' THEN '{tag}:' || {col}::VARCHAR END"
+_OTHER = "CASE WHEN cardinality(other_tags) > 0 THEN array_to_string(list_transform(list_sort(map_entries(other_tags)), lambda e: e.key || ':' || e.value), chr(9)) END"
+QUERIES["hdr15_reference_lines"] = lambda s, d: table(s, d, "ref_seqs").select("ref_id", H.line_expression("SQ").alias("line"))
+SQL["hdr15_reference_lines"] = f"SELECT ref_id, concat_ws(chr(9), '@SQ', {', '.join(_LINE(t, 'lower(hex(md5))' if c == 'md5' else c) for t, c in H.TAGS['SQ'].items())}, {_OTHER}) AS line FROM ref_seqs"
+QUERIES["hdr15_group_lines"] = lambda s, d: table(s, d, "read_groups").select("row_id", H.line_expression("RG").alias("line"))
+SQL["hdr15_group_lines"] = f"SELECT row_id, concat_ws(chr(9), '@RG', {', '.join(_LINE(t, c) for t, c in H.TAGS['RG'].items())}, {_OTHER}) AS line FROM read_groups"
+QUERIES["hdr05_iso_dates"] = lambda s, d: iso_dates(table(s, d, "read_groups"), "date", ["row_id"])
+SQL["hdr05_iso_dates"] = """WITH m AS (SELECT row_id, date, regexp_extract_all(date, '[0-9]{2}') AS n, regexp_full_match(date, '[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:?[0-9]{2}(:?[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?') AS ok FROM read_groups),
+p AS (SELECT row_id, ok, substr(date, 1, 10) AS d, replace(regexp_extract(date, 'T([0-9:]*)', 1), ':', '') AS t, replace(regexp_extract(date, 'T.*([+-][0-9]{2}:?[0-9]{2})$', 1), ':', '') AS z FROM m),
+x AS (SELECT row_id, CASE WHEN ok AND coalesce(try_cast(substr(z, 2, 2) AS INT), 0) * 60 + coalesce(try_cast(substr(z, 4, 2) AS INT), 0) <= 840 AND coalesce(try_cast(substr(z, 4, 2) AS INT), 0) < 60 THEN try_cast(d || ' ' || CASE WHEN t = '' THEN '00:00:00' ELSE substr(t, 1, 2) || ':' || substr(t, 3, 2) || ':' || CASE WHEN length(t) >= 6 THEN substr(t, 5, 2) ELSE '00' END END AS TIMESTAMP) END AS ts, z FROM p)
+SELECT row_id, strftime(ts - CASE WHEN z = '' OR z IS NULL THEN INTERVAL 0 MINUTE ELSE to_minutes((substr(z, 1, 1) || '1')::INT * (substr(z, 2, 2)::INT * 60 + substr(z, 4, 2)::INT)) END, '%Y-%m-%dT%H:%M:%S') || '+0000' AS iso FROM x"""
