@@ -76,6 +76,22 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, starts * 2, text_of
 
 
+#: Features summed at a time: bounds the memory of a pass over the sample.
+BLOCK = 1 << 17
+
+
+def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of rows[index] over each segment that begins at starts; no segment is empty."""
+    out = np.empty((len(starts), rows.shape[1]), np.float32)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK)))
+        end = starts[j] if j < len(starts) else len(index)
+        out[i:j] = np.add.reduceat(np.take(rows, index[starts[i] : end], axis=0), starts[i:j] - starts[i], axis=0)
+        i = j
+    return out
+
+
 class Model:
     """One-versus-rest classifiers. slot maps a hash bucket to its row of weights; row 0 is zero, for buckets not learned."""
 
@@ -87,7 +103,7 @@ class Model:
         if not len(starts):
             return np.empty((0, len(self.subjects)), np.float32)
         size = np.diff(np.r_[starts, len(feats)])
-        z = np.add.reduceat(np.take(self.weights, self.slot[feats], axis=0), starts, axis=0) / np.sqrt(size)[:, None].astype(np.float32) + self.bias
+        z = _sums(self.weights, self.slot[feats], starts) / np.sqrt(size)[:, None].astype(np.float32) + self.bias
         return 1 / (1 + np.exp(-z))
 
     def shares_of(self, p: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +138,10 @@ def _fit(feats, starts, y, weight, passes: int, warm: np.ndarray | None, bias: n
     first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
     by_feature, present = row[order], sorted_[first]
     for _ in range(passes):
-        z = np.add.reduceat(np.take(w, feats, axis=0), starts, axis=0) * scale + b
+        z = _sums(w, feats, starts) * scale + b
         g = ((1 / (1 + np.exp(-z)) - y) * weight[:, None]).astype(np.float32)
         dw = DECAY * len(starts) / d * w
-        dw[present] += np.add.reduceat(np.take(g * scale, by_feature, axis=0), first, axis=0)
+        dw[present] += _sums(g * scale, by_feature, first)
         dw[0] = 0
         db = g.sum(0)
         gw += dw * dw
