@@ -180,8 +180,8 @@ def merge_references(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def add_rows(table: DataFrame, new: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """Dictionary rows with new ones at the end; a name that is there already stays as it is."""
     fresh = new.join(table.select(name_col), name_col, "left_anti").dropDuplicates([name_col])
-    start = table.agg(F.coalesce(F.max(id_col) + 1, F.lit(0)).alias("__n"))
-    numbered = fresh.join(F.broadcast(start)).withColumn(id_col, (F.row_number().over(Window.orderBy(name_col)) - 1 + F.col("__n")).cast("int"))
+    start = table.agg(F.coalesce(F.max(id_col) + 1, F.lit(0)).alias("n")).head()["n"]
+    numbered = fresh.withColumn(id_col, (F.row_number().over(Window.orderBy(name_col)) - 1 + F.lit(start)).cast("int"))
     return table.unionByName(numbered.select(*table.columns))
 
 

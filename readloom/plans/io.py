@@ -11,7 +11,7 @@ from readloom.operators import index as X
 from readloom.operators.header import SCHEMAS, format_header, parse_header
 from readloom.operators.rejects import load_records
 from readloom.plans.general import P2_CTE, P2_SQL
-from readloom.session import cut, table
+from readloom.session import broadcast_if_small, cut, table
 from readloom.sources import bam, cram, fasta, files, indexes, sam
 from readloom.sources.bgzf import BlockWriter, has_eof
 from readloom.streaming import loading
@@ -31,7 +31,7 @@ def _one_file(s: SparkSession, d: str) -> tuple[DataFrame, str, int]:
     dense = cut(ids.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("int").alias("n")))
     n = dense.count()
     one, two = dense.select(F.col("id").alias("ref_id"), F.col("n").alias("r")), dense.select(F.col("id").alias("mate_ref_id"), F.col("n").alias("m"))
-    out = a.join(F.broadcast(one), "ref_id", "left").join(F.broadcast(two), "mate_ref_id", "left")
+    out = a.join(broadcast_if_small(one), "ref_id", "left").join(broadcast_if_small(two), "mate_ref_id", "left")
     name = lambda c: F.concat(F.lit("seq"), c.cast("string"))
     out = out.select(
         "row_id", "qname", "flag", F.col("r").alias("ref_id"), name(F.col("r")).alias("rname"), F.coalesce("pos", F.lit(-1).cast("bigint")).alias("pos"), "mapq", "cigar", F.col("m").alias("mate_ref_id"), name(F.col("m")).alias("mate_rname"),

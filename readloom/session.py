@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "readloom", master: str | None = None, cores: int | None = None) -> SparkSession:
@@ -45,3 +46,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows up to which a side is broadcast after they were counted.
+SMALL_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows (counting stops there); else df, for the planner to shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from readloom.session import broadcast_if_small
 from readloom.sources import files
 from readloom.sources.bgzf import RangePartition, byte_ranges
 
@@ -150,7 +151,7 @@ def byte_offset(pos, start, bases, size):
 def read_ranges(requests: DataFrame, fai: DataFrame, path: str) -> DataFrame:
     """request columns + seq for requests(name, beg, end), 0-based half-open; a null beg means the whole sequence. Unknown names and ranges outside the
     sequence give a null seq and an error text."""
-    j = requests.join(F.broadcast(fai.select("name", "length", "start", "bases_per_line", "bytes_per_line")), "name", "left")
+    j = requests.join(broadcast_if_small(fai.select("name", "length", "start", "bases_per_line", "bytes_per_line")), "name", "left")
     columns = [c for c in requests.columns]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema] + ["seq STRING", "error STRING"])
 
