@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.session import cut
+from readloom.session import broadcast_if_small, cut
 
 #: Tokens that are left to the knapsack; its work is this many bits a length.
 KNAPSACK_TOKENS = 1 << 16
@@ -84,13 +84,13 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     Documents of null or unlisted sources, and documents without tokens, are not used. Repeated doc_ids are chosen together.
     """
     t = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
-    d = cut(docs.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")).join(F.broadcast(t.select("source")), "source"))
+    d = cut(docs.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")).join(broadcast_if_small(t.select("source")), "source"))
     if total_tokens is None:
         total_tokens = d.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).head()["t"]
     budgets = t.withColumn("budget", F.floor(F.col("target_share") * F.lit(total_tokens)).cast("bigint"))
     used = d.where("n_tokens > 0").withColumn("slice", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(SLICES)).cast("int"))
     sliced = cut(used.groupBy("source", "n_tokens", "slice").agg(F.count("*").alias("c")))
-    histogram = sliced.groupBy("source", "n_tokens").agg(F.sum("c").alias("c")).join(F.broadcast(budgets), "source")
+    histogram = sliced.groupBy("source", "n_tokens").agg(F.sum("c").alias("c")).join(broadcast_if_small(budgets), "source")
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n_tokens")
@@ -114,7 +114,7 @@ def mixture_report(selection: DataFrame, budgets: DataFrame) -> DataFrame:
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     r = budgets.join(s, "source", "left").select("source", "target_share", "max_repeats", "budget", zero("documents"), zero("source_tokens"), zero("used_tokens"), zero("most_copies"))
-    total = r.agg(F.sum("used_tokens").alias("all_used"))
-    return r.join(F.broadcast(total)).select(
-        *r.columns, F.when(F.col("all_used") > 0, F.col("used_tokens") / F.col("all_used")).otherwise(F.lit(0.0)).alias("actual_share"), (F.col("budget") - F.col("used_tokens")).alias("missing_tokens")
+    total = r.agg(F.coalesce(F.sum("used_tokens"), F.lit(0)).alias("t")).head()["t"]
+    return r.select(
+        *r.columns, (F.col("used_tokens") / F.lit(max(total, 1))).alias("actual_share"), (F.col("budget") - F.col("used_tokens")).alias("missing_tokens")
     )

@@ -18,6 +18,8 @@ from readloom.session import cut
 
 #: Documents and tokens that a shard has on average; one shard is one task's work.
 SHARD_DOCS, SHARD_TOKENS = 16_384, 32_000_000
+#: Capacities that one call packs for; each packs all documents.
+MAX_PLANS = 100
 #: Cost of a document of n tokens: n + n * n / ATTENTION.
 ATTENTION = 4096.0
 #: Share of the capacity: sequences that an item fills up to so little are preferred, the cheapest of them first.
@@ -99,8 +101,12 @@ def pack_documents(docs: DataFrame, capacities: DataFrame, shard_docs: int = SHA
     totals = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).head()
     shards = max(1, -(-totals["n"] // shard_docs), -(-totals["t"] // shard_tokens))
     sized = docs.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
-    plans = capacities.where("capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct()
-    items = sized.join(F.broadcast(plans))  # a handful of plans, each packs all documents
+    plans = sorted(capacities.where("capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct().limit(MAX_PLANS + 1).collect())
+    if len(plans) > MAX_PLANS:
+        raise ValueError(f"more than {MAX_PLANS} capacities")
+    each = [F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("int").alias("capacity_tokens")) for p, c in plans]
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<pack_id: INT, capacity_tokens: INT>>)")
+    items = sized.select("*", F.inline(F.array(*each) if each else none))  # every plan packs all documents
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pack_id, capacity, shard = (int(k) for k in key)
