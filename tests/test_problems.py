@@ -195,6 +195,56 @@ def test_instants_against_zone_library(spark):
         assert got[i] == int(want) * 1_000_000, (z, t)
 
 
+def brute_instant(text, home):
+    """The statement of TESTDATA.md with strptime. home: (zone, day order) or None."""
+    t = (text or "").strip()
+    if re.fullmatch("[0-9]{9,}", t):
+        n = int(t)
+        us = n * 10**6 if len(t) <= 11 else n * 1000 if len(t) <= 14 else n
+        return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)
+    off = zone = None
+    if m := re.fullmatch(r"(.*?) ?\[?([A-Za-z]+(?:/[A-Za-z_]+)+)\]?", t):
+        t, zone = m[1], m[2]
+    elif m := re.fullmatch(r"(.*\d) ?([A-Z]{3,4}|[Zz])", t):
+        if m[2].upper() not in ("AM", "PM"):
+            t, off = m[1], instants.ABBREVIATIONS.get(m[2].upper(), "bad")
+    if m := re.fullmatch(r"(.*\d\d(?::?\d\d)+(?:[.,]\d+)?) ?([+-])(\d\d):?(\d\d)?", t):
+        if ":" in m[1] or "T" in m[1]:
+            minutes = int(m[3]) * 60 + int(m[4] or 0)
+            t, off = m[1], "bad" if minutes > 840 or int(m[4] or 0) > 59 else minutes * (-1 if m[2] == "-" else 1)
+    if off == "bad":
+        return None
+    micro = 0
+    if m := re.fullmatch(r"(.*:\d\d)[.,](\d+)", t):
+        t, micro = m[1], int((m[2] + "000000")[:6])
+    order = {"mdy": "%m{0}%d{0}%Y", "dmy": "%d{0}%m{0}%Y"}.get(home[1] if home else None)
+    forms = [d + c for d in ("%Y-%m-%d", "%Y%m%d", "%Y/%m/%d") for c in ("", "T%H:%M", "T%H:%M:%S", " %H:%M:%S", " %H:%M", "T%H%M%S", "t%H:%M:%S")] + ["%d-%b-%Y %H:%M:%S", "%a, %d %b %Y %H:%M:%S"]
+    forms += [order.format(x) + c for x in "/." for c in (" %H:%M", " %I:%M %p")] if order else []
+    for f in forms:
+        try:
+            wall = dt.datetime.strptime(t, f)
+        except ValueError:
+            continue
+        if f.startswith("%Y%m%d") and len(re.match("[0-9]+", t)[0]) != 8:
+            continue
+        wall += dt.timedelta(microseconds=micro)
+        if off is not None:
+            return wall - dt.timedelta(minutes=off)
+        name = zone or (home[0] if home else None)
+        if name is None or name not in zoneinfo.available_timezones():
+            return None
+        return (wall.replace(tzinfo=zoneinfo.ZoneInfo(name), fold=0)).astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return None
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_instants_brute_table(spark, scale):
+    d = f"/root/testdata/{scale}"
+    homes = {r["center"]: (r["zone"], r["day_order"]) for r in spark.read.parquet(f"{d}/centers.parquet").collect()}
+    want = {r["row_id"]: v.strftime("%Y-%m-%dT%H:%M:%S.%fZ") for r in spark.read.parquet(f"{d}/read_groups.parquet").collect() if (v := brute_instant(r["date"], homes.get(r["center"])))}
+    assert dict(general.p3_found(spark, d).collect()) == want
+
+
 def test_instants_empty(spark):
     df = spark.createDataFrame([], "row_id LONG, date STRING, center STRING")
     assert instants.normalise_instants(df, "date", spark.createDataFrame([], "center STRING, zone STRING, day_order STRING"), "center", ["row_id"]).count() == 0
