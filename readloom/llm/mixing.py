@@ -1,27 +1,33 @@
 """Mixing sources to target shares of a token budget.
 
 Per source the budget is met by whole passes over its documents as long as they fit, then by a selection for the remaining budget: documents are
-counted by exact token length, a seeded share of each length is taken, and a bounded knapsack over the lengths left closes the rest to the token. Only
-counts by length go into the planning; the documents are then chosen by seeded rank within their length.
+counted by exact token length, about the same share of every length is drawn by seed, and a knapsack over the documents left, in seeded order, closes the
+rest to the token. Only counts by length go into the planning; the documents are then chosen by seeded rank within their length.
 """
 
 from __future__ import annotations
 
+import math
+import random
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.session import broadcast_if_small, cut
 
-#: Tokens that are left to the knapsack; its work is this many bits a length.
+#: Tokens that the knapsack may be given if fewer do not close the budget; twice the longest document if that is more. Its work is this many bits a length.
 KNAPSACK_TOKENS = 1 << 16
+#: Draws for a source whose budget is not met to the token.
+DRAWS = 24
 #: Slices of a length's documents by seeded hash; ranks are made within a slice, so one length may hold any number of documents.
 SLICES = 1024
 SEED = 20240901
 
 
-def subset_sum(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:
-    """How many of each length to take so that the sum is as near under budget as possible. Bitset dynamic programme over binary splits of the counts."""
+def subset_sum(lengths: list[int], counts: list[int], budget: int, rnd: random.Random | None = None) -> dict[int, int]:
+    """How many of each length to take so that the sum is as near under budget as possible. Bitset dynamic programme over binary splits of the counts, in
+    the order of rnd; it ends with the item that reaches the budget, so the order decides which lengths are used."""
     items: list[tuple[int, int]] = []
     for size, count in zip(lengths, counts, strict=True):
         count, part = min(count, budget // size if size else 0), 1
@@ -30,6 +36,8 @@ def subset_sum(lengths: list[int], counts: list[int], budget: int) -> dict[int,
             items.append((size, take))
             count -= take
             part *= 2
+    if rnd:
+        rnd.shuffle(items)
     reach, mask, news = 1, (1 << (budget + 1)) - 1, []
     for size, take in items:
         new = (reach << (size * take)) & mask & ~reach
@@ -46,34 +54,47 @@ def subset_sum(lengths: list[int], counts: list[int], budget: int) -> dict[int,
     return out
 
 
-def plan_lengths(lengths: list[int], counts: list[int], budget: int, max_repeats: int, knapsack: int = KNAPSACK_TOKENS) -> tuple[int, dict[int, int]]:
-    """(whole passes, extra documents by length). The extra documents are used once more than the passes say."""
-    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+def draw_lengths(counts: dict[int, int], rest: int, low: int, high: int, rnd: random.Random) -> tuple[dict[int, int], int]:
+    """(documents by length, tokens left of rest): the same share of every length by seeded rounding, then single documents in seeded order, added or
+    taken back until low to high tokens are left. high - low is at least the longest length. Every length has the same chance."""
+    share = max(0, rest - (low + high) // 2) / sum(n * c for n, c in counts.items())
+    taken = {n: min(c, int(c * share + rnd.random())) for n, c in counts.items()}
+    left = rest - sum(n * c for n, c in taken.items())
+    step = 1 if left > high else -1
+    while (left > high) if step > 0 else (left < low and any(taken.values())):
+        free = {n: c - taken[n] if step > 0 else taken[n] for n, c in counts.items()}
+        for n in sorted((n for n, c in free.items() if c), key=lambda n: rnd.expovariate(free[n])):  # as documents in random order, the first of each length
+            if low <= left <= high:
+                break
+            taken[n] += step
+            left -= step * n
+    return taken, left
+
+
+def plan_lengths(lengths: list[int], counts: list[int], budget: int, max_repeats: int, knapsack: int = KNAPSACK_TOKENS, seed: int | str = SEED) -> tuple[int, dict[int, int]]:
+    """(whole passes, extra documents by length). The extra documents are used once more than the passes say. The knapsack gets one to two times the
+    longest document, so that all lengths may take part, and more only while that does not meet the budget."""
+    have = dict(zip(lengths, counts, strict=True))
+    total = sum(n * c for n, c in have.items())
     if total == 0 or budget <= 0:
         return 0, {}
     passes = min(budget // total, max_repeats)
     rest = budget - passes * total
     if passes == max_repeats or rest == 0:
         return passes, {}
-    share = rest / total
-    taken = {n: min(c, int(c * share)) for n, c in zip(lengths, counts, strict=True)}
-    left = rest - sum(n * c for n, c in taken.items())
-    while left < 0:  # only by rounding of the share
-        n = next(n for n, c in taken.items() if c)
-        taken[n] -= 1
-        left += n
-    spare = {n: c - taken[n] for n, c in zip(lengths, counts, strict=True)}
-    for n in sorted(spare, reverse=True):  # long ones first, until the knapsack can hold what is left
-        if left <= knapsack:
+    high = 2 * max(n for n, c in have.items() if c)
+    most, best, missing, least = max(knapsack, high), {}, rest + 1, rest % math.gcd(*(n for n, c in have.items() if c))
+    for draw in range(DRAWS):
+        rnd = random.Random(f"{seed} {draw}")
+        taken, left = draw_lengths(have, rest, high // 2, high, rnd)
+        spare = {n: c - taken[n] for n, c in have.items() if c > taken[n] and n <= left}
+        close = subset_sum(list(spare), list(spare.values()), left, rnd)
+        if (miss := left - sum(n * c for n, c in close.items())) < missing:
+            missing, best = miss, {n: c + close.get(n, 0) for n, c in taken.items()}
+        if missing == least or left == rest:  # all of the rest was the knapsack's, so nothing is nearer
             break
-        more = min(spare[n], max(0, (left - knapsack // 2) // n))
-        taken[n] += more
-        spare[n] -= more
-        left -= more * n
-    open_ = sorted(n for n, c in spare.items() if c and n <= left)
-    for n, c in subset_sum(open_, [spare[n] for n in open_], min(left, knapsack)).items():
-        taken[n] += c
-    return passes, {n: c for n, c in taken.items() if c}
+        high = min(2 * high, most)
+    return passes, {n: c for n, c in best.items() if c}
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +116,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n_tokens")
         sizes = pdf["n_tokens"].tolist()
-        passes, extra = plan_lengths(sizes, pdf["c"].tolist(), int(pdf["budget"].iloc[0]), int(pdf["max_repeats"].iloc[0]))
+        passes, extra = plan_lengths(sizes, pdf["c"].tolist(), int(pdf["budget"].iloc[0]), int(pdf["max_repeats"].iloc[0]), seed=f"{seed} {pdf['source'].iloc[0]}")
         return pd.DataFrame({"source": pdf["source"], "n_tokens": pdf["n_tokens"], "passes": passes, "extra": [extra.get(n, 0) for n in sizes]})
 
     plans = cut(histogram.groupBy("source").applyInPandas(plan, "source STRING, n_tokens BIGINT, passes INT, extra BIGINT"))

@@ -111,6 +111,29 @@ def test_plan_lengths_meets_budget():
         assert used == min(budget, repeats * total) or min(budget, repeats * total) - used < min(sizes)
 
 
+def test_plan_lengths_draws_all_lengths_by_seed():
+    rnd = random.Random(3)
+    sizes = sorted(rnd.sample(range(40, 9000), 900))  # a document a length, so that count * share is below 1 everywhere
+    budget = int(sum(sizes) * 1.3)
+    picks = []
+    for seed in range(6):
+        passes, extra = mixing.plan_lengths(sizes, [1] * 900, budget, 2, seed=seed)
+        assert passes == 1 and sum(sizes) + sum(n * c for n, c in extra.items()) == budget
+        for i in range(0, 900, 90):
+            assert 0.1 < sum(extra.get(n, 0) for n in sizes[i : i + 90]) / 90 < 0.5
+        picks.append(set(extra))
+    assert all(len(a & b) < 0.5 * len(a) for a, b in itertools.combinations(picks, 2))
+    times = Counter(n for seed in range(400) for n in mixing.plan_lengths([3, 5, 8, 13, 21, 34, 55, 89, 144, 233], [2] * 10, 363, 1, seed=seed)[1])
+    assert len(times) == 10 and min(times.values()) > 20  # small sources too, as far as the exact budget lets them
+
+
+def test_mix_sources_seed_decides(spark):
+    df = spark.createDataFrame([(i, "a", 100 + 7 * i) for i in range(300)], "doc_id LONG, source STRING, n_tokens LONG")
+    targets = spark.createDataFrame([("a", 0.3, 1)], "source STRING, target_share DOUBLE, max_repeats INT")
+    one, two = ({r["doc_id"] for r in mixing.mix_sources(df, targets, seed=s)[0].where("copies > 0").collect()} for s in (1, 2))
+    assert len(one & two) < 0.6 * len(one) and all(len([i for i in x if k <= i < k + 100]) > 10 for x in (one, two) for k in (0, 100, 200))
+
+
 def test_mix_sources(spark):
     docs = [(i, "a", 10 + i % 7) for i in range(300)] + [(1000 + i, "b", 50) for i in range(4)] + [(2000, None, 9), (2001, "other", 9), (2002, "a", 0), (2003, "a", None)]
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id LONG, source STRING, n_tokens LONG, slice STRING")
