@@ -124,6 +124,11 @@ SQL["snk02_sam_lines"] = f"""SELECT row_id, CASE WHEN coalesce(len(qual), 0) = 0
   FROM alignments WHERE NOT coalesce(list_bool_or(list_transform(aux, lambda x: x.type = 'f' OR coalesce(x.subtype, '') = 'f')), FALSE)"""
 
 
+def snk02_sam_lines_all(s: SparkSession, d: str) -> DataFrame:
+    """The line of every alignment, float fields and all; float text differs between engines, so it has no SQL."""
+    return table(s, d, "alignments").select("row_id", sam.format_line().alias("line"))
+
+
 def src01_sam_scan(s: SparkSession, d: str) -> DataFrame:
     """All records as one text file with header, read again: outcome counts by reason."""
     indexes.register(s)
@@ -267,5 +272,5 @@ def stm02_stream_rejects(s: SparkSession, d: str) -> DataFrame:
 SQL["stm02_stream_rejects"] = P2_SQL
 
 for _f in (src01_sam_scan, src02_inferred_references, src03_sam_decode, src04_bam_round_trip, src06_bam_omit, src07_region_scan, src10_cram_blocks, src12_fai_build, src13_fai_read, src18_fasta_ranges, src19_bgzf_lines,
-           src21_has_eof, snk02_sam_lines, snk04_header_text, stm01_windowed_counts, stm02_stream_rejects):
+           src21_has_eof, snk02_sam_lines, snk02_sam_lines_all, snk04_header_text, stm01_windowed_counts, stm02_stream_rejects):
     QUERIES[_f.__name__] = _f

@@ -127,3 +127,44 @@ def test_record_rules(spark):
     got = df.select(R.is_valid_record(r), R.record_error(r)).collect()
     assert [x[0] for x in got] == [True, False, False, True, True, False]
     assert [x[1] for x in got] == [None, None, None, "name length out of range", "mate position without reference", "name length out of range"]
+
+
+def _float_alignments(spark, tmp_path, small):
+    """The small table and records with float fields of every size, as a table of its own."""
+    a = spark.read.parquet(f"{small}/alignments.parquet")
+    values = [0.1, -0.60428715, 1e-5, 1.5e10, 3.4028235e38, 1.4e-45, 0.0, -0.024252644]
+    scalar = [(v, None) for v in values]
+    more = spark.createDataFrame([(-1 - i, f, r) for i, (f, r) in enumerate([*scalar, (None, values), (None, [2.5])])], "row_id LONG, f FLOAT, r ARRAY<FLOAT>")
+    aux = F.array(F.struct(F.lit("XF").alias("tag"), F.when(F.col("f").isNotNull(), "f").otherwise("B").alias("type"), F.when(F.col("f").isNull(), "f").alias("subtype"), F.lit(None).cast("string").alias("sval"), F.lit(None).cast("bigint").alias("ival"),
+                           F.col("f").alias("fval"), F.lit(None).cast("array<bigint>").alias("iarr"), F.col("r").alias("farr"), F.lit(None).cast("binary").alias("bval")))
+    a.unionByName(more.select("row_id", aux.alias("aux")), allowMissingColumns=True).write.parquet(f"{tmp_path}/alignments.parquet")
+    return str(tmp_path)
+
+
+def _float_fields(spark, d):
+    """Every record, and the values of every float field by row and place."""
+    source = {r["row_id"]: r for r in spark.read.parquet(f"{d}/alignments.parquet").select("row_id", "aux", "seq", "qual").collect()}
+    floats = {(k, i): [x["fval"]] if x["type"] == "f" else x["farr"] for k, r in source.items() for i, x in enumerate(r["aux"] or [], 1) if "f" in (x["type"], x["subtype"])}
+    assert len(floats) > 10 and any(k > 0 for k, _ in floats)
+    return source, floats
+
+
+def _numbers(x, text):
+    import numpy as np
+
+    head, value = text[:5], text[5:]
+    assert head == f"{x['tag']}:{x['type']}:" and (x["type"] == "f" or value[:2] == "f,")
+    return [float(np.float32(v)) for v in ([value] if x["type"] == "f" else value[2:].split(","))]
+
+
+def test_float_fields_are_in_the_lines(spark, small, tmp_path):
+    from readloom.plans import io
+
+    d = _float_alignments(spark, tmp_path, small)
+    source, floats = _float_fields(spark, d)
+    lines = {r["row_id"]: r["line"] for r in io.QUERIES["snk02_sam_lines_all"](spark, d).collect()}
+    assert set(lines) == set(source)
+    bad = {k for k, r in source.items() if r["qual"] and len(r["qual"]) != len(r["seq"] or "")}
+    assert {k for k, v in lines.items() if v is None} == bad
+    for (k, i), want in floats.items():
+        assert k in bad or _numbers(source[k]["aux"][i - 1], lines[k].split("\t")[10 + i]) == want
