@@ -150,6 +150,14 @@ SQL["aux03_kinds"] = "SELECT x.tag AS tag, CASE WHEN x.type IN ('c','C','s','S',
 QUERIES["aux04_format"] = lambda s, d: aln(s, d).select("row_id", F.posexplode("aux").alias("i", "x")).where("x.type <> 'f' AND coalesce(x.subtype, '') <> 'f'").select("row_id", (F.col("i") + 1).cast("bigint").alias("i"), T.format_aux(F.col("x")).alias("text"))
 SQL["aux04_format"] = f"SELECT row_id, i, {_AUXTEXT} AS text FROM {_AUXROWS} WHERE x.type <> 'f' AND coalesce(x.subtype, '') <> 'f'"
 
+# the whole job, float fields with all others; the two queries above leave them out, as their SQL does. Float text differs between engines, so aux04 has no SQL here
+_ELEMENTS = lambda s, d: aln(s, d).select("row_id", F.posexplode("aux").alias("i", "x")).withColumn("i", (F.col("i") + 1).cast("bigint"))
+QUERIES["aux01_parse_all"] = lambda s, d: _ELEMENTS(s, d).select("row_id", "i", T.parse_aux(T.format_aux(F.col("x"))).alias("p")).select("row_id", "i", "p.tag", "p.type", "p.subtype", "p.ival", "p.fval", "p.iarr", "p.farr")
+SQL["aux01_parse_all"] = f"""SELECT row_id, i, x.tag AS tag, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN CASE WHEN x.ival BETWEEN 0 AND 255 THEN 'C' WHEN x.ival BETWEEN 0 AND 65535 THEN 'S' WHEN x.ival >= 0 THEN 'I'
+  WHEN x.ival >= -128 THEN 'c' WHEN x.ival >= -32768 THEN 's' ELSE 'i' END ELSE x.type END AS type, x.subtype AS subtype, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN x.ival END AS ival,
+  CASE WHEN x.type = 'f' THEN x.fval END AS fval, CASE WHEN x.type = 'B' AND x.subtype <> 'f' THEN x.iarr END AS iarr, CASE WHEN x.type = 'B' AND x.subtype = 'f' THEN x.farr END AS farr FROM {_AUXROWS}"""
+QUERIES["aux04_format_all"] = lambda s, d: _ELEMENTS(s, d).select("row_id", "i", T.format_aux(F.col("x")).alias("text"))
+
 # --- order
 _COORD = "(ref_id IS NULL OR coalesce(pos, -1) = -1), rname NULLS FIRST, pos NULLS FIRST, _src_id, _src_ord, row_id"
 QUERIES["srt01_name_order"] = lambda s, d: M.with_ordinals(aln(s, d).select("row_id", "qname", "_src_id", "_src_ord"), [*M.name_order(), F.col("_src_id"), F.col("_src_ord"), F.col("row_id")]).select("row_id", "ord")

@@ -168,3 +168,16 @@ def test_float_fields_are_in_the_lines(spark, small, tmp_path):
     assert {k for k, v in lines.items() if v is None} == bad
     for (k, i), want in floats.items():
         assert k in bad or _numbers(source[k]["aux"][i - 1], lines[k].split("\t")[10 + i]) == want
+
+
+def test_float_fields_are_parsed_and_formatted(spark, small, tmp_path):
+    from readloom.plans import records
+
+    d = _float_alignments(spark, tmp_path, small)
+    source, floats = _float_fields(spark, d)
+    parsed = {(r["row_id"], r["i"]): r for r in records.QUERIES["aux01_parse_all"](spark, d).collect()}
+    text = {(r["row_id"], r["i"]): r["text"] for r in records.QUERIES["aux04_format_all"](spark, d).collect()}
+    assert set(parsed) == set(text) == {(k, i) for k, r in source.items() for i in range(1, len(r["aux"] or []) + 1)}
+    for (k, i), want in floats.items():
+        x, p = source[k]["aux"][i - 1], parsed[k, i]
+        assert _numbers(x, text[k, i]) == want == ([p["fval"]] if x["type"] == "f" else p["farr"])
