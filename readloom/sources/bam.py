@@ -141,12 +141,12 @@ def _plausible(s: Stream, at: int, refs: int) -> int:
     size = struct.unpack("<i", s.get(at, 4))[0]
     ref, pos, name, _, _, ops, _, bases, mate, mate_pos, _ = _FIXED.unpack(s.get(at + 4, 32))
     need = 32 + name + 4 * ops + (bases + 1) // 2 + bases
-    if not (-1 <= ref < refs and -1 <= mate < refs and pos >= -1 and mate_pos >= -1 and name >= 2 and bases >= 0 and need <= size < 1 << 28):
+    if not (-1 <= ref < refs and -1 <= mate < refs and pos >= -1 and mate_pos >= -1 and name >= 1 and bases >= 0 and need <= size < 1 << 28):
         return 0
     if not s.fill(at + 36 + name):
         return 0
     text = s.get(at + 36, name)
-    return size + 4 if text[-1] == 0 and all(33 <= c <= 126 for c in text[:-1]) else 0
+    return size + 4 if text.find(0) == name - 1 else 0  # names may hold any byte but NUL, or none
 
 
 def find_record(s: Stream, at: int, limit: int, refs: int) -> int | None:
@@ -298,17 +298,10 @@ class BamReader(DataSourceReader):
                 s = Stream(f, part.start >> 16, size)
             else:
                 end = part.end << 16
-                block = bgzf.first_member(f, part.start, size) if part.start else 0
-                if block >= part.end:
+                found = self._start(f, part.start, part.end, size, len(names), first)
+                if found is None:
                     return
-                if block <= first >> 16:
-                    s, at = Stream(f, first >> 16, size), first & 0xFFFF
-                else:
-                    s = Stream(f, block, size)
-                    found = find_record(s, 0, self._length_before(f, block, part.end, size), len(names))
-                    if found is None:
-                        return
-                    at = found
+                s, at = found
             if not s.fill(at + 4):
                 return
             begin = s.voffset(at)
@@ -324,6 +317,32 @@ class BamReader(DataSourceReader):
                 yield body, begin, after
                 begin = after
                 s.forget(at)
+            if part.first is None:
+                self._check_next(f, part.end, begin, size, len(names), first)
+
+    def _start(self, f, start: int, end: int, size: int, refs: int, first: int) -> tuple[Stream, int] | None:
+        """Stream and position of the first record of a byte range; None if none is found."""
+        block = bgzf.first_member(f, start, size) if start else 0
+        if block >= end:
+            return None
+        if block <= first >> 16:
+            return Stream(f, first >> 16, size), first & 0xFFFF
+        s = Stream(f, block, size)
+        at = find_record(s, 0, self._length_before(f, block, end, size), refs)
+        return None if at is None else (s, at)
+
+    def _check_next(self, f, start: int, begin: int, size: int, refs: int, first: int) -> None:
+        """Raise if the next range does not begin with the record at `begin`, where this one ended: records would be lost or read twice."""
+        while start < size:
+            end = min(start + self.split, size)
+            found = self._start(f, start, end, size, refs, first)
+            if found and found[0].fill(found[1] + 4):
+                if found[0].voffset(found[1]) != begin:
+                    raise FormatError(f"the range at {start} does not begin with the record at {begin}; read with chunks or a larger splitBytes")
+                return
+            if begin < end << 16:
+                raise FormatError(f"no record found in the range at {start}, but there is one at {begin}; read with chunks or a larger splitBytes")
+            start = end
 
     @staticmethod
     def _length_before(f, block: int, end: int, size: int) -> int:

@@ -5,6 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from readloom.functions import tags as T
 from readloom.operators import header as H
 from readloom.operators import index as X
 from readloom.operators import merging as M
@@ -61,6 +62,37 @@ def test_binary_round_trip(spark, specification):
     assert spark.read.format("bam").option("path", path).option("chunks", some).load().count() == 2
 
 
+def _odd_names(spark, path, names):
+    df = spark.createDataFrame([(names[i % len(names)], i) for i in range(3000)], "qname STRING, pos LONG").repartition(1).sortWithinPartitions("pos")
+    df = df.select("qname", F.lit(0).alias("flag"), F.lit(0).alias("ref_id"), F.lit("ref").alias("rname"), "pos", F.lit(9).cast("smallint").alias("mapq"), F.repeat(F.substring(F.md5(F.col("pos").cast("string")), 1, 8), 4).alias("seq"))
+    more = {"cigar": "ARRAY<STRUCT<len: BIGINT, op: STRING>>", "mate_ref_id": "INT", "mate_rname": "STRING", "mate_pos": "BIGINT", "tlen": "INT", "qual": "ARRAY<SMALLINT>", "aux": T.AUX_TYPE}
+    df = df.withColumns({k: F.lit(None).cast(v) for k, v in more.items()})
+    df.write.format("bam").mode("append").option("path", path).option("header", SAM.split("r001")[0]).save()
+
+
+@pytest.mark.parametrize("names", [["a b"], ["caf\u00e9", "ok"]])
+def test_binary_splits_keep_odd_names(spark, tmp_path, names):
+    path = str(tmp_path / "odd.bam")
+    _odd_names(spark, path, names)
+    whole, parts = (sorted(r["pos"] for r in spark.read.format("bam").option("path", path).option("splitBytes", n).load().select("pos").collect()) for n in (1 << 25, 5000))
+    assert files.size_of(path) > 15_000 and whole == parts == list(range(3000))
+
+
+def test_binary_split_without_start_is_an_error(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "lost.bam")
+    _odd_names(spark, path, ["ok"])
+    options, size = {"path": path, "splitBytes": "5000"}, files.size_of(path)
+    reader = bam.BamReader(options, spark.read.format("bam").option("path", path).load().schema)
+    parts = reader.partitions()
+    assert len(parts) > 1 and sum(b.num_rows for p in parts for b in reader.read(p)) == 3000 and size > 15_000
+    for wrong in (lambda *_: None, lambda s, at, *a: (found := find(s, at, *a)) is not None and found + 1 or None):
+        find = bam.find_record
+        with monkeypatch.context() as m:
+            m.setattr(bam, "find_record", wrong)
+            with pytest.raises(bam.FormatError, match="the range at"):
+                list(reader.read(parts[0]))
+
+
 @pytest.mark.parametrize("split", [700, 3000, 1 << 25])
 def test_binary_splits(spark, tmp_path, small, split):
     from readloom.plans import io
