@@ -32,6 +32,8 @@ SENTENCE, SURE = 0.5, 0.9
 SHARE, SHARE_BOUNDS = 0.25, (0.2, 0.3)
 #: Fewer subject-bearing sentences than this share of all sentences are passing mentions: the text has no subject.
 MENTION = 0.08
+#: Subjects that a model may have; more are an error.
+MOST_SUBJECTS = 1000
 SEED = 7
 
 # words of two letters or more in lower case, or the end of a sentence
@@ -209,7 +211,9 @@ def train(docs: list[tuple[str, str | None, set[str]]], unlabelled: list[tuple[s
 
 def training_sample(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[list, list, list[str]]:
     """Bounded: at most LABELLED_DOCS and UNLABELLED_DOCS documents of at most TRAIN_CHARS characters come to the driver."""
-    names = sorted(r[0] for r in subjects.where("subject IS NOT NULL").select("subject").distinct().limit(1000).collect())
+    names = sorted(r[0] for r in subjects.where("subject IS NOT NULL").select("subject").distinct().limit(MOST_SUBJECTS + 1).collect())
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     usable = documents.where(F.length("text") <= TRAIN_CHARS)
     by_doc = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
     pick = usable.select("doc_id").join(by_doc, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(LABELLED_DOCS)

@@ -192,3 +192,15 @@ def test_subject_edge_cases(spark):
     assert {r[0] for r in subjects.subject_areas(docs, labels, names).collect()} <= {4}
     assert subjects.subject_areas(docs, labels.limit(0), names).count() == 0
     assert subjects.subject_areas(docs.limit(0), labels, names).count() == 0
+
+
+def test_too_many_subjects_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "A cat sat here.", "t")], "doc_id LONG, text STRING, title STRING")
+    labels = spark.createDataFrame([(1, "s0001")], "doc_id LONG, subject STRING")
+    for n in (1000, 1001):
+        names = spark.createDataFrame([(f"s{i:04}", None) for i in range(n)], "subject STRING, scope_note STRING")
+        if n > 1000:
+            with pytest.raises(ValueError, match="more than 1000"):
+                subjects.training_sample(docs, labels, names)
+        else:
+            assert len(subjects.training_sample(docs, labels, names)[2]) == n
