@@ -102,7 +102,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
 
     docs: doc_id, source, n_tokens. targets: source, target_share, max_repeats. total_tokens is the size of the mixture, by default all tokens of
     the listed sources. A source that cannot reach its share within max_repeats gives all it may; what is missing is reported, not made up by others.
-    Documents of null or unlisted sources, and documents without tokens, are not used. Repeated doc_ids are chosen together.
+    Documents of null or unlisted sources, and documents without tokens, are not used. Rows of a repeated doc_id are documents of their own.
     """
     t = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     d = cut(docs.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")).join(broadcast_if_small(t.select("source")), "source"))

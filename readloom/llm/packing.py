@@ -8,6 +8,7 @@ them; cost is linear in the tokens plus quadratic in each document, as attention
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,10 @@ from readloom.session import cut
 
 #: Documents and tokens that a shard has on average; one shard is one task's work.
 SHARD_DOCS, SHARD_TOKENS = 16_384, 32_000_000
-#: Capacities that one call packs for; each packs all documents.
-MAX_PLANS = 100
+#: Capacities that one expression lists; more are laid out in several.
+PLANS = 100
+#: Capacity from which open sequences are scanned instead of kept by free room. A shard has few of them then, and memory does not grow with the capacity.
+WIDE = 1 << 20
 #: Cost of a document of n tokens: n + n * n / ATTENTION.
 ATTENTION = 4096.0
 #: Share of the capacity: sequences that an item fills up to so little are preferred, the cheapest of them first.
@@ -30,7 +33,9 @@ def pack(sizes: np.ndarray, capacity: int, attention: float = ATTENTION, snug: f
     """Sequence number of each item; sizes descending, each in 1..capacity.
 
     Starts with the fewest sequences that could hold the total and opens another only when an item has room nowhere. Open sequences lie in heaps by
-    free room, and a tournament tree over the room finds the cheapest one with enough of it in log(capacity) steps."""
+    free room, and a tournament tree over the room finds the cheapest one with enough of it in log(capacity) steps; from WIDE on they are scanned."""
+    if capacity >= WIDE:
+        return _pack_wide(sizes, capacity, attention, snug)
     n = len(sizes)
     out = np.empty(n, dtype=np.int64)
     if not n:
@@ -92,24 +97,43 @@ def pack(sizes: np.ndarray, capacity: int, attention: float = ATTENTION, snug: f
     return out
 
 
+def _pack_wide(sizes: np.ndarray, capacity: int, attention: float, snug: float) -> np.ndarray:
+    """As pack, by a scan of the open sequences."""
+    out = np.empty(len(sizes), dtype=np.int64)
+    room, slack = np.full(-(-int(sizes.sum()) // capacity), capacity, np.int64), int(capacity * snug)
+    cost = np.zeros(len(room))
+    for i, size in enumerate(sizes.tolist()):
+        fits = room >= size
+        near = fits & (room <= size + slack)
+        if near.any():
+            fits = near
+        elif not fits.any():
+            room, cost, fits = np.append(room, capacity), np.append(cost, 0.0), np.append(fits, True)
+        b = int(np.where(fits, cost, np.inf).argmin())
+        out[i] = b
+        room[b] -= size
+        cost[b] += size + size * size / attention
+    return out
+
+
 def pack_documents(docs: DataFrame, capacities: DataFrame, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(pack_id, capacity_tokens, container_id, doc_id, piece, from_token, n_tokens): every token of every document is in one container of each pack.
 
     docs: doc_id, n_tokens. capacities: pack_id, capacity_tokens. A document over the capacity is split into full pieces, each a container, and a rest
     that is packed as any other; no other document is split. A document without tokens has one row with a null container. A null size counts as 0, a
-    null or non-positive capacity packs nothing. Rows of repeated doc_ids are items of their own. container_id is unique within a pack."""
+    null or non-positive capacity packs nothing, a null pack_id is a pack like any other. Rows of repeated doc_ids are items of their own. container_id is unique within a pack."""
     totals = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).head()
     shards = max(1, -(-totals["n"] // shard_docs), -(-totals["t"] // shard_tokens))
     sized = docs.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
-    plans = sorted(capacities.where("capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct().limit(MAX_PLANS + 1).collect())
-    if len(plans) > MAX_PLANS:
-        raise ValueError(f"more than {MAX_PLANS} capacities")
+    # every plan packs all documents, so the plans are few; any number of them is served
+    plans = sorted(capacities.where("capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct().collect(), key=lambda r: (r[0] is not None, *r))
     each = [F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("int").alias("capacity_tokens")) for p, c in plans]
     none = F.expr("CAST(array() AS ARRAY<STRUCT<pack_id: INT, capacity_tokens: INT>>)")
-    items = sized.select("*", F.inline(F.array(*each) if each else none))  # every plan packs all documents
+    blocks = [F.array(*each[i : i + PLANS]) for i in range(0, len(each), PLANS)] or [none]
+    items = reduce(DataFrame.unionByName, [sized.select("*", F.inline(b)) for b in blocks])
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pack_id, capacity, shard = (int(k) for k in key)
+        pack_id, capacity, shard = key[0], int(key[1]), int(key[2])
         n = pdf["n_tokens"].to_numpy()
         full = n // capacity
         rest = n - full * capacity
@@ -127,7 +151,7 @@ def pack_documents(docs: DataFrame, capacities: DataFrame, shard_docs: int = SHA
         pieces = np.concatenate([full[order], piece, np.zeros(len(empty), np.int64)])
         return pd.DataFrame(
             {
-                "pack_id": pack_id,
+                "pack_id": pd.array([pack_id] * len(rows), dtype="Int32"),
                 "capacity_tokens": capacity,
                 "container_id": container,
                 "doc_id": pdf["doc_id"].to_numpy()[rows],
@@ -142,7 +166,7 @@ def pack_documents(docs: DataFrame, capacities: DataFrame, shard_docs: int = SHA
 
 
 def packing_report(packed: DataFrame, attention: float = ATTENTION) -> DataFrame:
-    """A row a pack: containers, tokens, share of unused space and the spread of container costs."""
+    """A row a pack: containers, tokens, share of unused space, and the mean, the largest and the relative spread (deviation over mean) of container costs."""
     c = packed.where("container_id IS NOT NULL").groupBy("pack_id", "capacity_tokens", "container_id").agg(
         F.sum("n_tokens").alias("used"), F.sum(F.col("n_tokens") + F.col("n_tokens") * F.col("n_tokens") / attention).alias("cost")
     )
@@ -152,6 +176,7 @@ def packing_report(packed: DataFrame, attention: float = ATTENTION) -> DataFrame
         (1 - F.sum("used") / (F.count("*") * F.first("capacity_tokens"))).alias("unused_share"),
         F.avg("cost").alias("mean_cost"),
         F.max("cost").alias("max_cost"),
+        (F.stddev_pop("cost") / F.avg("cost")).alias("cost_spread"),
     )
 
 

@@ -12,16 +12,24 @@ from readloom.llm import mixing, packing, queries, subjects, tokens
 
 
 # --- tokens
+LONG = [
+    "abcdefghij\n" * 9000, "x" * 6 + "information\n" * 8000, "alpha,beta;" * 9000, "alpha\tbeta" * 9000, "\u4e2d\u6587\u5b57" * 30000, "\u4e2d\u6587\u3002" * 30000, "x" * 150_000, "12345.678" * 9000,
+    " a" * 3 + " " * 100_000 + "b c", "\u3000" * 90_000 + "\u4e2d", "\n" * 90_000, "it's they'll 're''s " * 4000 + "'" * 70_000, "The  quick brown fox's 12 jumps\n over\t\tit.  " * 2000,
+]
+
+
+@pytest.mark.parametrize("i", range(len(LONG)))
+def test_long_texts_count_as_a_whole(i):
+    assert len(LONG[i]) > tokens.CHUNK
+    assert tokens.count_tokens(LONG[i]) == len(tokens.encoder(tokens.TOKENIZER).encode_ordinary(LONG[i]))
+
+
 def test_chunked_counts_equal_whole(monkeypatch):
-    text = "The  quick brown fox's 12 jumps\n over\t\tit.  " * 400 + "x" * 3000
-    whole = tokens.count_tokens(text)
-    for size in (50, 257, 4096):
-        monkeypatch.setattr(tokens, "CHUNK", size)
-        got = tokens.count_tokens(text)
-        assert got == whole or size < 3000  # only an unbroken run longer than a chunk may be cut inside
-        assert abs(got - whole) <= 2 * 3000 // size
-    monkeypatch.setattr(tokens, "CHUNK", 257)
-    assert tokens.count_tokens("word word  gap\n end " * 300) == len(tokens.encoder(tokens.TOKENIZER).encode_ordinary("word word  gap\n end " * 300))
+    monkeypatch.setattr(tokens, "CHUNK", 40)
+    rnd, letters = random.Random(1), "ab '\u2019,.;\n\t  \r12\u00e9\u4e2d\u3002\u3000 \x1c\u0660\u00df\u01c5_-"
+    for _ in range(3000):
+        s = "".join(rnd.choice(letters) * rnd.choice((1, 1, 1, 2, 5, 30)) for _ in range(rnd.randint(5, 60)))
+        assert tokens.count_tokens(s) == len(tokens.encoder(tokens.TOKENIZER).encode_ordinary(s)), s
 
 
 def test_null_and_empty_texts(spark):
@@ -51,6 +59,25 @@ def test_pack_small_against_brute_force():
         assert got <= best + 1
 
 
+def test_wide_capacities_pack_alike(monkeypatch):
+    rnd = np.random.default_rng(3)
+    for _ in range(20):
+        sizes = np.sort(rnd.integers(1, 1001, 300))[::-1]
+        by_room = np.bincount(packing.pack(sizes, 1000), weights=sizes)
+        with monkeypatch.context() as m:
+            m.setattr(packing, "WIDE", 1)
+            by_scan = np.bincount(packing.pack(sizes, 1000), weights=sizes)
+        assert by_scan.max() <= 1000 and by_scan.sum() == sizes.sum() and abs(len(by_scan) - len(by_room)) <= 3
+    assert set(packing.pack(np.array([9 * 10**7, 10**7, 5 * 10**7]), 10**8).tolist()) == {0, 1}
+
+
+def test_any_number_of_capacities(spark):
+    df = spark.createDataFrame([(i, 10 + i) for i in range(20)], "doc_id LONG, n_tokens LONG")
+    packs = spark.createDataFrame([(i, 50 + i) for i in range(230)] + [(None, 40)], "pack_id INT, capacity_tokens INT")
+    got = packing.pack_documents(df, packs).groupBy("pack_id", "capacity_tokens").agg(F.sum("n_tokens").alias("n")).collect()
+    assert len(got) == 231 and {r["n"] for r in got} == {sum(10 + i for i in range(20))}
+
+
 def test_pack_balances_cost():
     b = packing.pack(np.array([500] * 8), 1000)
     assert sorted(Counter(b.tolist()).values()) == [2, 2, 2, 2]
