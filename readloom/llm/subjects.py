@@ -1,9 +1,9 @@
 """Subject areas of documents by one-versus-rest linear classifiers on hashed word n-grams.
 
-The classifiers judge sentences. Their labels are weak: a sentence takes the hand labels of its document, and its title (the section that names the
-matter of a document) counts as a sentence of its own; two further rounds keep of a document's labels only those that the classifiers find in the
-sentence, and add the sentences of unlabelled documents of which the classifiers are sure. Sentences that occur alike under every subject (boilerplate,
-formulas) get no label in this way. A document has the subjects that take up a calibrated share of its sentences with any subject.
+The classifiers judge sentences. Their labels are weak: a sentence of any section, the title line with which a text begins among them, takes the hand
+labels of its document; two further rounds keep of a document's labels only those that the classifiers find in the sentence. Sentences that occur alike
+under every subject (boilerplate, formulas) get no label in this way. A document has the subjects that take up a calibrated share of its sentences with
+any subject, and none if these are calibrated to be passing mentions.
 """
 
 from __future__ import annotations
@@ -17,21 +17,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documented bounds of the training sample: hand-labelled and unlabelled documents, chosen by seeded hash among those of at most TRAIN_CHARS characters.
-#: They are learned from whole.
-LABELLED_DOCS, UNLABELLED_DOCS, TRAIN_CHARS = 2500, 1500, 100_000
+#: Documented bounds of the labelled training sample: documents, chosen by seeded hash, and characters that one of them may have. They are learned from whole.
+LABELLED_DOCS, TRAIN_CHARS = 4000, 100_000
 #: Hash buckets of the n-grams (a power of two).
 BUCKET_BITS = 18
 #: Training: passes over the labelled sample, rounds of relabelling and their passes, step, and weight decay.
 PASSES, ROUNDS, ROUND_PASSES, STEP, DECAY = 16, 2, 8, 0.25, 1e-4
 #: Texts judged at a time.
 TEXTS = 64
-#: A sentence deals with a subject from this probability on; unlabelled sentences are learned from at SURE.
-SENTENCE, SURE = 0.5, 0.9
+#: A sentence deals with a subject from this probability on.
+SENTENCE = 0.5
 #: Share of the subject-bearing sentences that a subject must take up; the calibration moves it within these bounds.
 SHARE, SHARE_BOUNDS = 0.25, (0.2, 0.3)
-#: Fewer subject-bearing sentences than this share of all sentences are passing mentions: the text has no subject.
-MENTION = 0.08
+#: Subject-bearing sentences are passing mentions where their share of all sentences is under MENTION times that which all but the RARE lowest of the held
+#: out labelled documents reach.
+MENTION, RARE = 0.5, 0.01
 #: Subjects that a model may have; more are an error.
 MOST_SUBJECTS = 1000
 SEED = 7
@@ -97,8 +97,8 @@ def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarray
 class Model:
     """One-versus-rest classifiers. slot maps a hash bucket to its row of weights; row 0 is zero, for buckets not learned."""
 
-    def __init__(self, subjects: list[str], slot: np.ndarray, weights: np.ndarray, bias: np.ndarray, shares: np.ndarray):
-        self.subjects, self.slot, self.weights, self.bias, self.shares = subjects, slot, weights, bias, shares
+    def __init__(self, subjects: list[str], slot: np.ndarray, weights: np.ndarray, bias: np.ndarray, shares: np.ndarray, mention: float = 0.0):
+        self.subjects, self.slot, self.weights, self.bias, self.shares, self.mention = subjects, slot, weights, bias, shares, mention
 
     def sentences(self, feats: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Probability of each subject for each sentence."""
@@ -122,7 +122,7 @@ class Model:
         """(text, subject) numbers of the subjects that texts have."""
         feats, starts, text = features(texts)
         share, total = self.shares_of(self.sentences(feats, starts), text, len(texts))
-        enough = total >= np.maximum(1, MENTION * np.bincount(text, minlength=len(texts)))
+        enough = total >= np.maximum(1, self.mention * np.bincount(text, minlength=len(texts)))
         return np.nonzero((share >= self.shares) & enough[:, None])
 
 
@@ -153,17 +153,15 @@ def _fit(feats, starts, y, weight, passes: int, warm: np.ndarray | None, bias: n
     return w, b
 
 
-def train(docs: list[tuple[str, str | None, set[str]]], unlabelled: list[tuple[str, str | None]], subjects: list[str]) -> Model:
-    """docs: (text, title, labels). Labels beyond subjects are ignored. Every fifth labelled document calibrates the shares and is not learned from."""
+def train(docs: list[tuple[str, set[str]]], subjects: list[str]) -> Model:
+    """docs: (text, labels). Labels beyond subjects are ignored. Every fifth document calibrates the shares and is not learned from."""
     k = len(subjects)
     index = {s: i for i, s in enumerate(subjects)}
-    body = lambda text, title: f"{title or ''}\n{text}"
     truth = np.zeros((len(docs), k), bool)
-    for i, (_, _, labels) in enumerate(docs):
+    for i, (_, labels) in enumerate(docs):
         truth[i, [index[s] for s in labels if s in index]] = True
     held = np.arange(len(docs)) % 5 == 4
-    own, free = [body(*d[:2]) for d, h in zip(docs, held, strict=True) if not h], [body(*d) for d in unlabelled]
-    feats, starts, text = features(own + free)
+    feats, starts, text = features([t for (t, _), h in zip(docs, held, strict=True) if not h])
     slot = np.zeros(1 << BUCKET_BITS, np.int32)
     seen, often = np.unique(feats, return_counts=True)
     seen = seen[often >= 2]
@@ -173,55 +171,38 @@ def train(docs: list[tuple[str, str | None, set[str]]], unlabelled: list[tuple[s
     if not truth.any() or not len(starts):
         return Model(subjects, slot, weights, np.full(k, -9.0, np.float32), shares)
     rows = slot[feats]
-    allowed = np.zeros((len(starts), k), bool)
-    labelled = text < len(own)
-    allowed[labelled] = truth[~held][text[labelled]]
-    upto = int(labelled.sum())
-    cut = starts[upto] if upto < len(starts) else len(rows)
-    y = allowed[:upto].astype(np.float32)
-    weight = np.where(y.sum(1) > 1, 0.5, 1.0).astype(np.float32)
-    weights, bias = _fit(rows[:cut], starts[:upto], y, weight, PASSES, weights, bias)
+    allowed = truth[~held][text]
+    y = allowed.astype(np.float32)
+    weights, bias = _fit(rows, starts, y, np.where(y.sum(1) > 1, 0.5, 1.0).astype(np.float32), PASSES, weights, bias)
     for _ in range(ROUNDS):
-        p = Model(subjects, slot, weights, bias, shares).sentences(feats, starts)
-        kept = np.where(allowed, p, 0)
+        kept = np.where(allowed, Model(subjects, slot, weights, bias, shares).sentences(feats, starts), 0)
         best = kept.max(1)
         y = allowed & (kept >= best[:, None]) & (best >= 0.3)[:, None]
-        weight = np.ones(len(starts), np.float32)
-        # an unlabelled document lends its sentences to the subject that most of its sure sentences have
-        top, strong = p.argmax(1), (p.max(1) >= SURE) & ~labelled
-        votes = np.bincount(text[strong] * k + top[strong], minlength=(len(own) + len(free)) * k).reshape(-1, k)
-        lead, main = votes.max(1) >= np.maximum(2, 0.7 * votes.sum(1)), votes.argmax(1)
-        at = np.flatnonzero(~labelled)
-        y[at, main[text[at]]] = p[at, main[text[at]]] >= 0.3
-        weight[at] = np.where(lead[text[at]], 0.5, 0.0)
-        weights, bias = _fit(rows, starts, y.astype(np.float32), weight, ROUND_PASSES, weights, bias)
+        weights, bias = _fit(rows, starts, y.astype(np.float32), np.ones(len(starts), np.float32), ROUND_PASSES, weights, bias)
     model = Model(subjects, slot, weights, bias, shares)
     if held.any():
-        judged = [body(*d[:2]) for d, h in zip(docs, held, strict=True) if h]
+        judged = [t for (t, _), h in zip(docs, held, strict=True) if h]
         f, s, t = features(judged)
-        share, right = model.shares_of(model.sentences(f, s), t, len(judged))[0], truth[held]
+        (share, total), right = model.shares_of(model.sentences(f, s), t, len(judged)), truth[held]
         grid = np.linspace(*SHARE_BOUNDS, 11)
         for j in range(k):
             if right[:, j].sum() >= 20:
                 score = np.array([2 * ((h := share[:, j] >= c) & right[:, j]).sum() / max(1, h.sum() + right[:, j].sum()) for c in grid])
                 best = np.flatnonzero(score >= score.max() - 1e-9)
                 shares[j] = grid[best[np.abs(grid[best] - SHARE).argmin()]]
+        model.mention = MENTION * float(np.quantile(total / np.maximum(np.bincount(t, minlength=len(judged)), 1), RARE))
     return model
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[list, list, list[str]]:
-    """Bounded: at most LABELLED_DOCS and UNLABELLED_DOCS documents of at most TRAIN_CHARS characters come to the driver."""
+def training_sample(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[list[tuple[str, set[str]]], list[str]]:
+    """Bounded: at most LABELLED_DOCS hand-labelled documents come to the driver; of these, those of at most TRAIN_CHARS characters. Texts are read once."""
     names = sorted(r[0] for r in subjects.where("subject IS NOT NULL").select("subject").distinct().limit(MOST_SUBJECTS + 1).collect())
     if len(names) > MOST_SUBJECTS:
         raise ValueError(f"more than {MOST_SUBJECTS} subjects")
-    usable = documents.where(F.length("text") <= TRAIN_CHARS)
     by_doc = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
-    pick = usable.select("doc_id").join(by_doc, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(LABELLED_DOCS)
-    texts = usable.select("doc_id", "text", "title")
-    docs = [(r["text"], r["title"], set(r["labels"])) for r in texts.join(F.broadcast(pick), "doc_id").orderBy("doc_id").collect()]
-    other = usable.select(F.xxhash64("doc_id", F.lit(SEED + 1)).alias("h"), "doc_id").orderBy("h", "doc_id").limit(UNLABELLED_DOCS)
-    free = [(r["text"], r["title"]) for r in texts.join(F.broadcast(other), "doc_id").orderBy("h", "doc_id").collect()]
-    return docs, free, names
+    pick = by_doc.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(LABELLED_DOCS)
+    texts = documents.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(F.broadcast(pick), "doc_id")
+    return [(r["text"], set(r["labels"])) for r in texts.orderBy("doc_id", "text").collect()], names
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -231,7 +212,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame)
     any usable label no document gets a subject."""
     model = train(*training_sample(documents, labels, subjects))
     names = model.subjects
-    shared = documents.sparkSession.sparkContext.broadcast((model.slot, model.weights, model.bias, model.shares))
+    shared = documents.sparkSession.sparkContext.broadcast((model.slot, model.weights, model.bias, model.shares, model.mention))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(names, *shared.value)
