@@ -202,7 +202,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, subjects: DataFrame
     by_doc = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
     pick = by_doc.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(LABELLED_DOCS)
     texts = documents.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(F.broadcast(pick), "doc_id")
-    return [(r["text"], set(r["labels"])) for r in texts.orderBy("doc_id", "text").collect()], names
+    return [(r["text"], set(r["labels"])) for r in sorted(texts.collect(), key=lambda r: (r["doc_id"], r["text"]))], names
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
