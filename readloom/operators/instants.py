@@ -1,16 +1,24 @@
 """Mixed date texts to one UTC instant.
 
 Texts are parsed by native expressions into a local wall time, and an offset or zone if the text names one. Wall times that only have a zone are
-resolved by an as-of join: for every zone in use the intervals of constant offset are laid out in local time and exploded by year, so that the join is a
-plain equi-join on (zone, year) that finds all intervals around a wall time. Two intervals that hold it mean an ambiguous hour, none a skipped one, one
+resolved by an as-of join: for every zone in use the intervals of constant offset are laid out in local time, as the zone files list them and by their
+yearly rule beyond, and exploded by the years in use, so that the join is a plain equi-join on (zone, year) that finds all intervals around a wall time. Two intervals that hold it mean an ambiguous hour, none a skipped one, one
 gives the offset directly.
 """
 
 from __future__ import annotations
 
+import bisect
+import calendar
 import datetime as dt
+import itertools
+import os
+import re
+import struct
 import zoneinfo
 from functools import lru_cache
+from importlib import resources
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -27,60 +35,110 @@ ABBREVIATIONS = {
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: Largest offset that a text may state, in minutes.
 MAX_OFFSET = 14 * 60
-#: Years for which transitions are laid out; before and after, the first and the last offset hold on.
-FIRST_YEAR, LAST_YEAR = 1850, 2150
-#: Zones beyond this many would make the joined table too large to broadcast unasked; the join is then left to the planner.
-BROADCAST_ZONES = 700
-
-_EPOCH = dt.datetime(1970, 1, 1)
+#: Years that are looked up as they are. Before the first no zone has left its first offset. From the second on only the yearly rules at the end of the zone
+#: files hold, and these repeat with the calendar, so later years are looked up 400 years, or a multiple, before.
+FIRST_YEAR, RULE_YEAR, CYCLE = 1700, 2100, 400
+CYCLE_SECONDS = 146_097 * 86_400
+#: Pairs of zone and year that are broadcast; beyond it the join is left to the planner.
+BROADCAST_PAIRS = 20_000
+_EVER = 1 << 60
+
+_EPOCH = dt.date(1970, 1, 1)
+_ZONE_NAME = r"(?:<[^>]+>|[A-Za-z]{3,})"
+_CLOCK = r"[+-]?\d{1,3}(?::\d{2}){0,2}"
+_RULE = re.compile(rf"{_ZONE_NAME}(?P<std>{_CLOCK})(?:{_ZONE_NAME}(?P<dst>{_CLOCK})?(?:,(?P<start>[^,/]+)(?:/(?P<at>{_CLOCK}))?,(?P<end>[^,/]+)(?:/(?P<till>{_CLOCK}))?)?)?")
+
+
+def _seconds(clock: str) -> int:
+    """Seconds of [+-]h[:mm[:ss]]."""
+    parts = [int(x) for x in clock.lstrip("+-").split(":")]
+    total = sum(x * u for x, u in zip(parts, (3600, 60, 1), strict=False))
+    return -total if clock.startswith("-") else total
+
+
+def _rule_day(rule: str, year: int) -> int:
+    """Days since 1970 of the day that a rule (Mm.w.d, Jn or n) names in a year."""
+    jan = (dt.date(year, 1, 1) - _EPOCH).days
+    if rule[0] == "M":
+        month, week, weekday = (int(x) for x in rule[1:].split("."))
+        first = (dt.date(year, month, 1) - _EPOCH).days
+        day = first + (weekday - first - 4) % 7 + 7 * (week - 1)  # 1970 began on a Thursday
+        after = (dt.date(year + month // 12, month % 12 + 1, 1) - _EPOCH).days
+        return day - 7 if day >= after else day
+    if rule[0] == "J":  # 29 February does not count
+        n = int(rule[1:])
+        return jan + n - 1 + int(n >= 60 and calendar.isleap(year))
+    return jan + int(rule)
+
+
+def _zone_data(zone: str) -> bytes:
+    for root in zoneinfo.TZPATH:
+        if os.path.isfile(path := os.path.join(root, *zone.split("/"))):
+            return Path(path).read_bytes()
+    return resources.files("tzdata").joinpath("zoneinfo", *zone.split("/")).read_bytes()
+
+
+def read_zone(data: bytes) -> tuple[int, list[tuple[int, int]], str]:
+    """(offset before the first change, (UTC second, offset from then on) of every change listed, rule for the time after) of a zone file."""
+    at, width, counts = 0, 4, struct.unpack_from(">6l", data, 20)
+    sizes = lambda c, w: c[3] * (w + 1) + c[4] * 6 + c[5] + c[2] * (w + 4) + c[1] + c[0]
+    if data[4:5] >= b"2":  # the same again with longer numbers
+        at = 44 + sizes(counts, 4)
+        width, counts = 8, struct.unpack_from(">6l", data, at + 20)
+    times, kinds, at = counts[3], counts[4], at + 44
+    when = struct.unpack_from(f">{times}{'q' if width == 8 else 'l'}", data, at)
+    which = data[at + times * width : at + times * (width + 1)]
+    types = [struct.unpack_from(">l?", data, at + times * (width + 1) + 6 * i) for i in range(kinds)]
+    first = next((off for off, summer in types if not summer), types[0][0])
+    footer = data[at + sizes(counts, width) :].strip(b"\n").decode() if width == 8 else ""
+    return first, [(t, types[i][0]) for t, i in zip(when, which, strict=True)], footer
 
 
 @lru_cache(maxsize=1024)
 def zone_intervals(zone: str) -> tuple[tuple[int, int, int], ...]:
-    """(first UTC second, end UTC second, offset seconds) of the stretches of constant offset, found by weekly steps and bisection."""
-    z = zoneinfo.ZoneInfo(zone)
-
-    def offset(s: int) -> int:
-        return int((_EPOCH + dt.timedelta(seconds=s)).replace(tzinfo=dt.timezone.utc).astimezone(z).utcoffset().total_seconds())
-
-    lo, hi = (int((dt.datetime(y, 1, 1) - _EPOCH).total_seconds()) for y in (FIRST_YEAR, LAST_YEAR + 1))
-    out, start, at, now = [], lo, lo, offset(lo)
-    while at < hi:
-        nxt = min(at + 7 * 86400, hi)
-        if (new := offset(nxt)) != now:
-            a, b = at, nxt
-            while b - a > 1:
-                m = (a + b) // 2
-                a, b = (m, b) if offset(m) == now else (a, m)
-            out.append((start, b, now))
-            start, now = b, offset(b)
-            at = b
+    """(first UTC second, end UTC second, offset seconds) of the stretches of constant offset up to RULE_YEAR + CYCLE: the changes that the zone file lists
+    and, after the last of them, those by its yearly rule."""
+    offset, changes, footer = read_zone(_zone_data(zone))
+    last = changes[-1][0] if changes else -_EVER
+    if m := _RULE.fullmatch(footer):
+        std = -_seconds(m["std"])
+        if not m["start"]:
+            changes = changes if changes else [(-_EVER, std)]
         else:
-            at = nxt
-    out.append((start, hi, now))
+            dst = -_seconds(m["dst"]) if m["dst"] else std + 3600
+            begin = (_EPOCH + dt.timedelta(days=max(last, 0) // 86400)).year - 1
+            by_rule = []
+            for year in range(begin, RULE_YEAR + CYCLE + 2):
+                by_rule.append((_rule_day(m["start"], year) * 86400 + _seconds(m["at"] or "2") - std, dst))
+                by_rule.append((_rule_day(m["end"], year) * 86400 + _seconds(m["till"] or "2") - dst, std))
+            changes = changes + [c for c in sorted(by_rule) if c[0] > last]
+    out: list[tuple[int, int, int]] = []
+    start = -_EVER
+    for i, (t, new) in enumerate(changes):
+        if new != offset and not (i + 1 < len(changes) and changes[i + 1][0] == t):
+            if t > start:
+                out.append((start, t, offset))
+            start, offset = t, new
+    out.append((start, _EVER, offset))
     return tuple(out)
 
 
-def zone_table(spark, zones: list[str]) -> DataFrame:
+def zone_table(spark, pairs: list[tuple[str, int]]) -> DataFrame:
     """zone, year, spans ARRAY<STRUCT<lo, hi, until, off>>: local seconds [lo, hi) have offset off; [hi, until) is skipped and read with it.
 
-    One row a zone and year of its local times. Sized by the zones in use: each has some hundred years of at most a few spans."""
+    One row a pair of zone and year of local time, with the few spans that meet the year."""
     rows = []
-    for zone in zones:
-        spans = zone_intervals(zone)
-        by_year: dict[int, list[tuple[int, int, int, int]]] = {}
-        for i, (u0, u1, off) in enumerate(spans):
-            lo, hi = u0 + off, u1 + off
-            until = max(hi, spans[i + 1][0] + spans[i + 1][2]) if i + 1 < len(spans) else hi
-            first = max((_EPOCH + dt.timedelta(seconds=lo)).year, FIRST_YEAR)
-            last = min((_EPOCH + dt.timedelta(seconds=until - 1)).year, LAST_YEAR)
-            if i == 0:
-                lo = -(1 << 60)
-            if i + 1 == len(spans):
-                hi = until = 1 << 60
-            for y in range(first, last + 1):
-                by_year.setdefault(y, []).append((lo, hi, until, off))
-        rows += [Row(zone=zone, year=y, spans=v) for y, v in sorted(by_year.items())]
+    for zone, group in itertools.groupby(sorted(pairs), key=lambda p: p[0]):
+        utc = zone_intervals(zone)
+        spans = []
+        for i, (u0, u1, off) in enumerate(utc):
+            lo, hi = (u0 if u0 == -_EVER else u0 + off), (u1 if u1 == _EVER else u1 + off)
+            spans.append((lo, hi, max(hi, utc[i + 1][0] + utc[i + 1][2]) if i + 1 < len(utc) else hi, off))
+        starts, untils = [s[0] for s in spans], list(itertools.accumulate((s[2] for s in spans), max))
+        for _, year in group:
+            low, high = ((dt.date(y, 1, 1) - _EPOCH).days * 86400 for y in (year, year + 1))
+            low = -_EVER if year == FIRST_YEAR else low
+            rows.append(Row(zone=zone, year=year, spans=spans[bisect.bisect_right(untils, low) : bisect.bisect_left(starts, high)]))
     return spark.createDataFrame(rows, "zone STRING, year INT, spans ARRAY<STRUCT<lo: BIGINT, hi: BIGINT, until: BIGINT, off: INT>>")
 
 
@@ -197,19 +255,19 @@ def normalise_instants(df: DataFrame, text: str, place_zones: DataFrame, place:
     rows = df.select(*keep, F.col(text).alias("__text"), F.col(place).alias("__place")).join(places, "__place", "left")
     parsed = parse_wall_time(rows.withColumn("__order", F.col("__home.day_order")), "__text", "__order")
     zoned = staged(parsed, __z=F.when(F.col("__wall").isNotNull() & F.col("__off").isNull(), F.coalesce("__zone", F.col("__home.zone"))))
+    year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("__wall") / 86400).cast("int")))
+    cycles = F.greatest(F.lit(0), F.floor((year - RULE_YEAR) / CYCLE))
+    zoned = zoned.withColumn("__y", F.greatest(year - cycles * CYCLE, F.lit(FIRST_YEAR)).cast("int")).withColumn("__w", F.col("__wall") - cycles * CYCLE_SECONDS)
     known = sorted(zoneinfo.available_timezones())
-    # at most the number of zones that exist, whatever the size of df
-    named = zoned.where(F.col("__z").isin(known)).select("__z").distinct()
-    used = sorted(r[0] for r in named.collect())
-    spans = zone_table(spark, used).withColumnsRenamed({"zone": "__z", "year": "__y"})
-    if len(used) <= BROADCAST_ZONES:
+    # at most the zones that exist times the years up to RULE_YEAR + CYCLE, whatever the size of df
+    pairs = [(r[0], r[1]) for r in zoned.where(F.col("__z").isin(known)).select("__z", "__y").distinct().collect()]
+    spans = zone_table(spark, pairs).withColumnsRenamed({"zone": "__z", "year": "__y"})
+    if len(pairs) <= BROADCAST_PAIRS:
         spans = F.broadcast(spans)
-    days = F.floor(F.col("__wall") / 86400).cast("int")
-    year = F.least(F.greatest(F.year(F.date_add(F.lit("1970-01-01").cast("date"), days)), F.lit(FIRST_YEAR)), F.lit(LAST_YEAR))
-    joined = zoned.withColumn("__y", year).join(spans, ["__z", "__y"], "left")
-    w = F.col("__wall")
-    holding = F.filter("spans", lambda s: (s["lo"] <= w) & (w < s["hi"]))
-    before = F.filter("spans", lambda s: (s["hi"] <= w) & (w < s["until"]))
+    joined = zoned.join(spans, ["__z", "__y"], "left")
+    w, folded = F.col("__wall"), F.col("__w")
+    holding = F.filter("spans", lambda s: (s["lo"] <= folded) & (folded < s["hi"]))
+    before = F.filter("spans", lambda s: (s["hi"] <= folded) & (folded < s["until"]))
     found = F.when(F.size(holding) > 0, holding).otherwise(before)
     by_zone = F.array_min(F.transform(found, lambda s: w - s["off"]))
     seconds = F.when(F.col("__off").isNotNull(), w - F.col("__off")).otherwise(by_zone)

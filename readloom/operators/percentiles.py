@@ -16,6 +16,8 @@ from readloom.session import cut
 FINISH_VALUES = 2048
 #: Targets (groups times percentiles) up to which their state is broadcast; beyond it the join is left to the planner.
 BROADCAST_TARGETS = 50_000
+#: The data are written anew when the ranges that are left hold less than one part in so many of them.
+SHRINK = 4
 #: Relative error of the logarithmic summaries.
 RELATIVE_ERROR = 0.01
 
@@ -34,14 +36,14 @@ def _local_medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: list[pd.DataFrame] = []
 
     def median(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["target", "v"], kind="stable")
-        t, c = x["target"].to_numpy(), x["w"].to_numpy()
-        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        x = x.sort_values(["gid", "i", "v"], kind="stable")
+        g, i, c = x["gid"].to_numpy(), x["i"].to_numpy(), x["w"].to_numpy()
+        first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])])
         run = np.cumsum(c)
         base = np.r_[0, run][first]
         total = np.add.reduceat(c, first)
         at = np.searchsorted(run, base + (total + 1) // 2)
-        return pd.DataFrame({"target": t[first], "v": x["v"].to_numpy()[at], "w": total})
+        return pd.DataFrame({"gid": g[first], "i": i[first], "v": x["v"].to_numpy()[at], "w": total})
 
     for pdf in batches:
         if len(pdf):
@@ -55,59 +57,71 @@ def _local_medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def exact_percentiles(summary: DataFrame, group: list[str], quantiles: list[float], finish: int = FINISH_VALUES) -> DataFrame:
     """group, q, value, n: the smallest value with at least ceil(q n) of the group's n values at or below it. Rank error 0.
 
-    summary: group, value BIGINT, cnt BIGINT as of combine_values; rows of one value may repeat. Multi-select: partitions propose local medians, their
-    weighted median is a target's pivot, values are counted below, at and above it, the ranges that cannot hold the target are discarded, until each is
-    found or few different values are left. Null groups form a group; an empty summary gives an empty result.
+    summary: group, value (of any numeric type, which is kept; NaN is the largest number), cnt BIGINT as of combine_values; rows of one value may repeat,
+    null values count nothing. Multi-select: partitions propose local medians, their weighted median is a target's pivot, values are counted below, at and
+    above it, the ranges that cannot hold the target are discarded, until each is found or at most `finish` rows of it are left. Null groups form a group;
+    an empty summary gives an empty result. The state is a row a group and percentile: up to BROADCAST_TARGETS they are kept by the driver, beyond it
+    they are a table.
     """
-    data = cut(summary.select(F.struct(*group).alias("g"), F.col("value").cast("bigint").alias("v"), F.col("cnt").cast("bigint").alias("w")))
-    totals = data.groupBy("g").agg(F.sum("w").alias("n"), F.count("*").alias("left"))
-    levels = F.explode(F.array(*[F.struct(F.lit(q).alias("q")) for q in quantiles]))
-    targets = totals.select("g", "n", "left", levels.alias("x")).select(
-        "g", "n", F.col("x.q").alias("q"), F.greatest(F.lit(1), F.ceil(F.round(F.col("x.q") * F.col("n"), 6))).cast("bigint").alias("k"), "left",
-        F.expr(f"CAST({-(2**63)} AS BIGINT)").alias("lo"), F.lit(2**63 - 1).alias("hi"), F.expr("CAST(NULL AS BIGINT)").alias("found"),
-    ).withColumn("target", F.xxhash64("g", "q"))
-    targets = cut(targets)
-    small = targets.count() <= BROADCAST_TARGETS
+    spark = summary.sparkSession
+    kind = summary.schema["value"].dataType.simpleString()
+    base = cut(summary.where("value IS NOT NULL").select(F.struct(*group).alias("g"), F.col("value").alias("v"), F.col("cnt").cast("bigint").alias("w")))
+    # the numbers of groups are fixed by being written
+    groups = cut(base.groupBy("g").agg(F.sum("w").alias("n"), F.count("*").alias("left")).withColumn("gid", F.monotonically_increasing_id()))
+    small = groups.limit(BROADCAST_TARGETS // len(quantiles) + 1).count() <= BROADCAST_TARGETS // len(quantiles)
+    near = F.broadcast if small else (lambda df: df)
+    hold = (lambda df: spark.createDataFrame(df.collect(), df.schema)) if small else cut
+    data = base.join(near(groups.select(F.col("g").alias("g2"), "gid")), F.col("g").eqNullSafe(F.col("g2"))).select("gid", "v", "w")
+    size = groups.agg(F.sum("left").alias("s")).head()["s"] or 0
+    levels = F.posexplode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("i", "q")
+    bound = F.lit(None).cast(kind)
+    targets = hold(
+        groups.select("gid", "n", "left", levels).select(
+            "gid", "i", "q", F.greatest(F.lit(1), F.ceil(F.round(F.col("q") * F.col("n"), 6))).cast("bigint").alias("k"), "left", bound.alias("lo"), bound.alias("hi"), bound.alias("found")
+        )
+    )
+    target = ["gid", "i"]
 
     def ranged(rows: DataFrame, state: DataFrame) -> DataFrame:
-        state = state.select(F.col("g").alias("g2"), *[c for c in state.columns if c != "g"])
-        return rows.join(F.broadcast(state) if small else state, F.col("g").eqNullSafe(F.col("g2")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        """Rows of a group with every target of it in whose open range (lo, hi) they lie."""
+        inside = (F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") < F.col("hi")))
+        return rows.join(near(state), "gid").where(inside)
 
     for _ in range(200):
         busy = targets.where(F.col("found").isNull() & (F.col("left") > finish))
         if busy.isEmpty():
             break
-        ranges = busy.select("g", "target", "lo", "hi")
-        proposals = ranged(data, ranges).select("target", "v", "w").mapInPandas(_local_medians, "target BIGINT, v BIGINT, w BIGINT")
-        by = Window.partitionBy("target")
-        pivots = (
-            proposals.withColumn("run", F.sum("w").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .withColumn("all", F.sum("w").over(by))
-            .where("run * 2 >= all").groupBy("target").agg(F.min("v").alias("p"))
-        )
-        pivots = cut(ranges.join(pivots, "target"))
-        counts = (
-            ranged(data, pivots).groupBy("target", "p")
-            .agg(*[F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0)).alias(n) for n, c in (("below", F.col("v") < F.col("p")), ("at", F.col("v") == F.col("p")))],
-                 F.count_if(F.col("v") < F.col("p")).alias("nb"), F.count_if(F.col("v") > F.col("p")).alias("na"))
+        ranges = busy.select(*target, "lo", "hi")
+        proposals = ranged(data, ranges).select(*target, "v", "w").mapInPandas(_local_medians, f"gid BIGINT, i INT, v {kind}, w BIGINT")
+        by = Window.partitionBy(*target)
+        pivots = hold(
+            ranges.join(
+                proposals.withColumn("run", F.sum("w").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+                .withColumn("all", F.sum("w").over(by)).where("run * 2 >= all").groupBy(*target).agg(F.min("v").alias("p")), target
+            )
         )
-        hit, low = (F.col("k") > F.col("below")) & (F.col("k") <= F.col("below") + F.col("at")), F.col("k") <= F.col("below")
-        same = F.col("p").isNull()
-        targets = cut(
-            targets.join(counts, "target", "left").select(
-                "g", "n", "q", F.when(same | low | hit, F.col("k")).otherwise(F.col("k") - F.col("below") - F.col("at")).alias("k"),
-                F.when(same, F.col("left")).when(low, F.col("nb")).otherwise(F.col("na")).alias("left"),
-                F.when(same | low | hit, F.col("lo")).otherwise(F.col("p") + 1).alias("lo"), F.when(~same & low, F.col("p") - 1).otherwise(F.col("hi")).alias("hi"),
-                F.when(~same & hit, F.col("p")).otherwise(F.col("found")).alias("found"), "target",
+        below, above = F.col("v") < F.col("p"), F.col("v") > F.col("p")
+        weight = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0))
+        counts = ranged(data, pivots).groupBy(*target, "p").agg(weight(below).alias("below"), weight(~below & ~above).alias("at"), F.count_if(below).alias("nb"), F.count_if(above).alias("na"))
+        idle, low = F.col("p").isNull(), F.col("k") <= F.col("below")
+        hit = ~low & (F.col("k") <= F.col("below") + F.col("at"))
+        targets = hold(
+            targets.join(near(counts), target, "left").select(
+                *target, "q", F.when(idle | low | hit, F.col("k")).otherwise(F.col("k") - F.col("below") - F.col("at")).alias("k"),
+                F.when(idle, F.col("left")).when(low, F.col("nb")).otherwise(F.col("na")).alias("left"), F.when(idle | low | hit, F.col("lo")).otherwise(F.col("p")).alias("lo"),
+                F.when(~idle & low, F.col("p")).otherwise(F.col("hi")).alias("hi"), F.when(~idle & hit, F.col("p")).otherwise(F.col("found")).alias("found"),
             )
         )
-        kept = targets.where("found IS NULL").groupBy("g").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).withColumnRenamed("g", "g2")
-        data = cut(data.join(F.broadcast(kept) if small else kept, F.col("g").eqNullSafe(F.col("g2"))).where(F.exists("r", lambda x: F.col("v").between(x["lo"], x["hi"]))).select("g", "v", "w"))
-    open_ = targets.where("found IS NULL").select("g", "target", "lo", "hi", "k")
-    merged = ranged(data, open_).groupBy("target", "k", "v").agg(F.sum("w").alias("w"))
-    rank = Window.partitionBy("target").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = merged.withColumn("run", F.sum("w").over(rank)).where("run >= k").groupBy("target").agg(F.min("v").alias("last"))
-    out = targets.join(last, "target", "left")
+        still = targets.where("found IS NULL")
+        rest = still.agg(F.sum("left").alias("s")).head()["s"] or 0
+        if rest * SHRINK <= size:  # what is discarded is left behind once it is most of the data
+            kept = still.groupBy("gid").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+            inside = F.exists("r", lambda x: (x["lo"].isNull() | (F.col("v") > x["lo"])) & (x["hi"].isNull() | (F.col("v") < x["hi"])))
+            data, size = cut(data.join(near(kept), "gid").where(inside).select("gid", "v", "w")), rest
+    merged = ranged(data, targets.where("found IS NULL").select(*target, "lo", "hi", "k")).groupBy(*target, "k", "v").agg(F.sum("w").alias("w"))
+    rank = Window.partitionBy(*target).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = merged.withColumn("run", F.sum("w").over(rank)).where("run >= k").groupBy(*target).agg(F.min("v").alias("last"))
+    out = targets.join(near(last), target, "left").join(near(groups.select("gid", "g", "n")), "gid")
     return out.select(*[F.col(f"g.{c}").alias(c) for c in group], "q", F.coalesce("found", "last").alias("value"), "n")
 
 

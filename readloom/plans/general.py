@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions.cigar import lengths
 from readloom.functions.records import record_end
-from readloom.operators.instants import normalise_instants, utc_text
+from readloom.operators.instants import ABBREVIATIONS, normalise_instants, utc_text
 from readloom.operators.intervals import merge_intervals
 from readloom.operators.orphans import find_orphans
-from readloom.operators.percentiles import RELATIVE_ERROR, combine_values, exact_percentiles, log_bucket, merge_summaries, summary_percentiles
+from readloom.operators.percentiles import RELATIVE_ERROR, combine_values, exact_percentiles, log_bucket, summary_percentiles
 from readloom.operators.rejects import INT_RANGES, reject_lines
 from readloom.operators.skew import aggregate_per_key, dominant_keys, skew_join
-from readloom.session import table
+from readloom.session import broadcast_if_small, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +84,43 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("micros IS NOT NULL").select("row_id", utc_text(F.col("micros")).alias("date_utc"))
 
 
+_D_NUM, _D_TIME = "([0-9]{{1,2}}){0}([0-9]{{1,2}}){0}([0-9]{{4}})", "([0-9]{1,2}):([0-9]{2})(:([0-9]{2})([.,]([0-9]+))?)?(~([AaPp]))?"
+_D_ZONE = r"( ?([+-][0-9]{2}(:?[0-9]{2})?))?( ?\[?([A-Za-z][A-Za-z0-9_+/-]*)\]?)?"
+#: Layouts of date texts: name, pattern, order of the first three groups as year, month, day (`num`: by the centre).
+_D_LAYOUTS = [
+    ("iso", rf"([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}})(([Tt]| +){_D_TIME})?{_D_ZONE}"),
+    ("basic", rf"([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})(([Tt ])([0-9]{{2}})([0-9]{{2}})(([0-9]{{2}})([.,]([0-9]+))?)?()())?{_D_ZONE}"),
+    ("named", rf"(?:[A-Za-z]{{3,9}},? )?([0-9]{{1,2}})[- ]([A-Za-z]{{3,9}})[- ,]+([0-9]{{4}})(( +){_D_TIME})?{_D_ZONE}"),
+    ("ynum", rf"([0-9]{{4}})[/.]([0-9]{{1,2}})[/.]([0-9]{{1,2}})(([Tt]| +){_D_TIME})?{_D_ZONE}"),
+    ("num", rf"{_D_NUM.format('[-/.]')}(([Tt]| +){_D_TIME})?{_D_ZONE}"),
+]
+_D_NAMES = "['a','b','c','t','t2','h','mi','x1','s','x2','f','x3','ap','x4','o','x5','x6','zn']"
+_D_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_D_LONG = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+P3_SQL = f"""
+WITH t AS (SELECT row_id, regexp_replace(regexp_replace(date, '^\\s+|\\s+$', '', 'g'), '([0-9]) ?([AaPp])[.]?[Mm][.]?([^A-Za-z]|$)', '\\1~\\2\\3') AS t, c.zone, c.day_order AS o FROM read_groups LEFT JOIN centers c USING (center)),
+l AS (SELECT *, CASE WHEN regexp_full_match(t, '[0-9]{{9,17}}') THEN 'count' {' '.join(f"WHEN regexp_full_match(t, '{p}') THEN '{n}'" for n, p in _D_LAYOUTS)} END AS lay FROM t),
+g AS (SELECT *, CASE lay {' '.join(f"WHEN '{n}' THEN regexp_extract(t, '^{p}$', {_D_NAMES})" for n, p in _D_LAYOUTS)} END AS p FROM l WHERE lay IS NOT NULL),
+d AS (SELECT *, CASE WHEN lay IN ('iso', 'basic', 'ynum') THEN p.a WHEN lay = 'named' OR o IN ('mdy', 'dmy') THEN p.c END AS y,
+    CASE WHEN lay IN ('iso', 'basic', 'ynum') THEN p.b WHEN lay = 'named' THEN coalesce(list_position({_D_MONTHS}, lower(p.b)), list_position({_D_LONG}, lower(p.b)), CASE WHEN lower(p.b) = 'sept' THEN 9 END)::VARCHAR WHEN o = 'mdy' THEN p.a WHEN o = 'dmy' THEN p.b END AS m,
+    CASE WHEN lay IN ('iso', 'basic', 'ynum') THEN p.c WHEN lay = 'named' OR o = 'dmy' THEN p.a WHEN o = 'mdy' THEN p.b END AS dd,
+    coalesce(try_cast(nullif(p.h, '') AS INT), 0) AS h, coalesce(try_cast(nullif(p.mi, '') AS INT), 0) AS mi, coalesce(try_cast(nullif(p.s, '') AS INT), 0) AS s, lower(p.ap) AS ap, rpad(left(p.f, 6), 6, '0')::INT AS us,
+    replace(p.o, ':', '') AS off FROM g),
+w AS (SELECT *, CASE WHEN mi <= 59 AND s <= 59 AND CASE WHEN ap <> '' THEN h BETWEEN 1 AND 12 ELSE h <= 23 END THEN
+      try_cast(lpad(y, 4, '0') || '-' || lpad(m, 2, '0') || '-' || lpad(dd, 2, '0') AS DATE)::TIMESTAMP + to_hours(CASE ap WHEN 'a' THEN h % 12 WHEN 'p' THEN h % 12 + 12 ELSE h END) + to_minutes(mi) + to_seconds(s) + to_microseconds(us) END AS wall,
+    coalesce(substr(off, 2, 2)::INT * 60 + coalesce(nullif(substr(off, 4, 2), '')::INT, 0), 0) AS mins,
+    coalesce(nullif(substr(off, 4, 2), '')::INT, 0) AS off_m, list_position({[*ABBREVIATIONS]}, upper(p.zn)) AS ab FROM (SELECT * REPLACE (nullif(off, '') AS off) FROM d WHERE lay <> 'count')),
+n AS (SELECT name FROM pg_timezone_names() WHERE contains(name, '/')),
+x AS (SELECT row_id, wall, CASE WHEN off IS NOT NULL THEN CASE WHEN off_m <= 59 AND mins <= 840 THEN CASE WHEN off[1] = '-' THEN -mins ELSE mins END END WHEN ab > 0 THEN {[*ABBREVIATIONS.values()]}[ab] END AS minutes,
+    off IS NOT NULL AS stated, CASE WHEN p.zn <> '' THEN p.zn ELSE zone END AS z FROM w WHERE wall IS NOT NULL),
+r AS (SELECT row_id, wall - to_minutes(minutes) AS u FROM x WHERE minutes IS NOT NULL
+      UNION ALL SELECT row_id, u FROM (SELECT row_id, wall, z, timezone(z, wall) AS late FROM x JOIN n ON x.z = n.name WHERE minutes IS NULL AND NOT stated),
+        LATERAL (SELECT min(late - to_minutes(k)) AT TIME ZONE 'UTC' AS u FROM (SELECT unnest([0, 20, 30, 40, 60, 120]) AS k) WHERE k = 0 OR timezone(z, late - to_minutes(k)) = wall)
+      UNION ALL SELECT row_id, make_timestamp(CASE WHEN length(t) <= 11 THEN t::BIGINT * 1000000 WHEN length(t) <= 14 THEN t::BIGINT * 1000 ELSE t::BIGINT END) FROM g WHERE lay = 'count')
+SELECT row_id, strftime(u, '%Y-%m-%dT%H:%M:%S.%fZ') AS date_utc FROM r
+"""
+
+
 def _tag(tag: str) -> Column:
     """sval of the first aux element with the tag. By position in the array of tags, so that the scan reads two of aux's fields only."""
     return F.get(F.col("aux.sval"), (F.array_position(F.col("aux.tag"), tag) - 1).cast("int"))
@@ -167,22 +206,29 @@ QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
 def library_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(_src_id, library, measure, value, cnt): the exact mergeable summary of every source file.
+    """(_src_id, library, measure, value) of every alignment.
 
     A read group id with several rows counts by its last loaded one; rows without read group, and groups without library, have a null library."""
-    a = table(spark, sf_dir, "alignments")
-    one = lambda name, v: F.struct(F.lit(name).alias("measure"), v.cast("bigint").alias("value"))
-    v = a.select("_src_id", _tag("RG").alias("id"), F.inline(F.array(one("mapq", F.col("mapq")), one("tlen", F.abs(F.col("tlen").cast("bigint"))))))
-    counts = combine_values(v, ["_src_id", "id", "measure"], "value")
     g = table(spark, sf_dir, "read_groups").groupBy("_src_id", "id").agg(F.max_by("library", F.struct("loaded_at", "row_id")).alias("library"))
-    return merge_summaries(counts.join(g, ["_src_id", "id"], "left"), ["_src_id", "library", "measure"])
+    a = table(spark, sf_dir, "alignments").select("_src_id", _tag("RG").alias("id"), "mapq", "tlen").join(broadcast_if_small(g), ["_src_id", "id"], "left")
+    one = lambda name, v: F.struct(F.lit(name).alias("measure"), v.cast("bigint").alias("value"))
+    return a.select("_src_id", "library", F.inline(F.array(one("mapq", F.col("mapq")), one("tlen", F.abs(F.col("tlen").cast("bigint"))))))
 
 
-def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_percentiles(library_values(spark, sf_dir).drop("_src_id"), ["library", "measure"], QUANTILES)
+def _percentiles(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    out = exact_percentiles(combine_values(library_values(spark, sf_dir), ["library", "measure"], "value"), ["library", "measure"], QUANTILES, **how)
     return out.select("library", "measure", "q", "value", "n", F.lit(0).cast("bigint").alias("rank_error"))
 
 
+def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _percentiles(spark, sf_dir)
+
+
+def p6_multi_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same to the last value by multi-select rounds."""
+    return _percentiles(spark, sf_dir, finish=8)
+
+
 _P6_VALUES = """
 WITH g AS (SELECT _src_id, id, last(library ORDER BY loaded_at, row_id) AS library FROM read_groups GROUP BY ALL),
 v AS (SELECT a._src_id, g.library, a.mapq, a.tlen
@@ -199,13 +245,21 @@ FROM r, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q) WHERE i = grea
 
 def p6_merged_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same percentiles within 1 per cent, from logarithmic summaries made per source file and then added up."""
-    v = library_values(spark, sf_dir)
-    per_file = v.groupBy("_src_id", "library", "measure", log_bucket(F.col("value")).alias("bucket")).agg(F.sum("cnt").alias("cnt"))
-    return summary_percentiles(per_file, ["library", "measure"], QUANTILES).withColumn("relative_error", F.lit(RELATIVE_ERROR))
+    v = library_values(spark, sf_dir).where("value IS NOT NULL")
+    per_file = v.groupBy("_src_id", "library", "measure", log_bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("cnt"))
+    out = summary_percentiles(per_file, ["library", "measure"], QUANTILES)
+    return out.select("library", "measure", "q", F.round("value", 6).alias("value"), "n", F.lit(RELATIVE_ERROR).alias("relative_error"))
+
+
+_GAMMA = (1 + RELATIVE_ERROR) / (1 - RELATIVE_ERROR)
+P6_MERGED_SQL = _P6_VALUES + f"""
+SELECT library, measure, CAST(q AS DOUBLE) AS q, CASE WHEN value = 0 THEN 0 ELSE round(exp(floor(ln(value::DOUBLE) / {math.log(_GAMMA)!r}) * {math.log(_GAMMA)!r}) * {2 * _GAMMA / (1 + _GAMMA)!r}, 6) END AS value, n, {RELATIVE_ERROR}::DOUBLE AS relative_error
+FROM r, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q) WHERE i = greatest(1, CAST(ceil(q * n) AS BIGINT))
+"""
 
 
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_reference_profile": p5_reference_profile,
-    "p6_percentiles": p6_percentiles, "p6_merged_summaries": p6_merged_summaries,
+    "p6_percentiles": p6_percentiles, "p6_multi_select": p6_multi_select, "p6_merged_summaries": p6_merged_summaries,
 }
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_reference_profile": P5_PROFILE_SQL, "p6_percentiles": P6_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_reference_profile": P5_PROFILE_SQL, "p6_percentiles": P6_SQL, "p6_multi_select": P6_SQL, "p6_merged_summaries": P6_MERGED_SQL}

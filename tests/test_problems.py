@@ -1,6 +1,8 @@
 """Problems 1 to 6 against brute force, and their edge cases."""
 
+import bisect
 import datetime as dt
+import math
 import random
 import re
 import zoneinfo
@@ -195,6 +197,44 @@ def test_instants_against_zone_library(spark):
         assert got[i] == int(want) * 1_000_000, (z, t)
 
 
+def test_zone_intervals_against_zone_library():
+    """Every zone, a second before, at and after every change that its file lists or its rule makes."""
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    for z in sorted(zoneinfo.available_timezones()):
+        spans, library = instants.zone_intervals(z), zoneinfo.ZoneInfo(z)
+        starts = [s[0] for s in spans]
+        listed = [u for u, _ in instants.read_zone(instants._zone_data(z))[1] if u > -62_000_000_000]
+        assert not listed or listed[-1] < (dt.date(instants.RULE_YEAR, 1, 1) - dt.date(1970, 1, 1)).days * 86400
+        for u in {u + i for u in listed + starts[1:] for i in (-1, 0, 1)}:
+            want = (epoch + dt.timedelta(seconds=u)).astimezone(library).utcoffset().total_seconds()
+            assert spans[bisect.bisect_right(starts, u) - 1][2] == want, (z, u)
+
+
+def test_instants_of_any_year(spark):
+    texts = [("2200-07-01 12:00", "America/New_York"), ("2000-10-11 12:00", "America/Boa_Vista"), ("2040-10-24 12:00", "Asia/Gaza"), ("0001-01-01 00:00", "Asia/Tokyo"), ("1500-01-01", "America/New_York")]
+    for z in ("America/New_York", "Europe/Dublin", "Asia/Gaza", "Africa/Casablanca", "Australia/Lord_Howe", "Antarctica/Troll", "America/Recife", "Africa/Freetown", "Asia/Manila"):
+        zone = zoneinfo.ZoneInfo(z)
+        for y in (1845, 1900, 1939, 2054, 2072, 2099, 2100, 2151, 2499, 2500, 2501, 9998):
+            for month in (1, 3, 4, 7, 10, 12):
+                texts += [(f"{y}-{month:02}-{d:02} {h}", z) for d, h in ((1, "00:00"), (31 if month != 4 else 30, "02:30"))]
+        for u in [u for u, *_ in instants.zone_intervals(z)[1:]][-60::7]:
+            at = (dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=u)).astimezone(zone).replace(tzinfo=None)
+            texts += [((at + dt.timedelta(minutes=m, days=y * 146_097)).isoformat(), z) for m in (-90, -30, -1, 0, 30, 90) for y in (0, 1, 5)]
+    zones = sorted({z for _, z in texts})
+    homes = spark.createDataFrame([(z, z, "ymd") for z in zones], "center STRING, zone STRING, day_order STRING")
+    df = spark.createDataFrame([(i, t, z) for i, (t, z) in enumerate(texts)], "row_id LONG, date STRING, center STRING")
+    got = {r["row_id"]: r["micros"] for r in instants.normalise_instants(df, "date", homes, "center", ["row_id"]).collect()}
+    for i, (t, z) in enumerate(texts):
+        local = dt.datetime.fromisoformat(t)
+        want = int((local.replace(tzinfo=zoneinfo.ZoneInfo(z), fold=0) - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)).total_seconds())
+        assert got[i] == want * 1_000_000, (z, t)
+    assert [instants_text(got[i]) for i in range(3)] == ["2200-07-01T16:00", "2000-10-11T15:00", "2040-10-24T09:00"]
+
+
+def instants_text(us):
+    return (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)).isoformat()[:16]
+
+
 def brute_instant(text, home):
     """The statement of TESTDATA.md with strptime. home: (zone, day order) or None."""
     t = (text or "").strip()
@@ -320,6 +360,31 @@ def test_exact_percentiles(spark, finish):
     assert got == {(g, q): (brute_percentile(v, q), len(v)) for g, v in by.items() for q in qs}
 
 
+@pytest.mark.parametrize("kind", ["double", "decimal(12,3)", "float", "int"])
+def test_percentiles_keep_the_type(spark, kind):
+    rnd = random.Random(8)
+    data = [(g, rnd.choice([0.25, 0.75, 0.9, -1.5, 1e6, 3.125, 2.0 * rnd.randrange(40) + 0.125])) for g in ["a"] * 300 + [None] * 40 + ["b"] for _ in (0,)]
+    df = spark.createDataFrame([(g, v) for g, v in data] + [("a", None)], "g STRING, x DOUBLE").select("g", F.col("x").cast(kind).alias("x"))
+    summary = percentiles.combine_values(df, ["g"], "x")
+    quantiles = [0.0, 0.1, 0.5, 0.99, 1.0]
+    for targets in (percentiles.BROADCAST_TARGETS, 1):
+        before, percentiles.BROADCAST_TARGETS = percentiles.BROADCAST_TARGETS, targets
+        try:
+            got = {(r["g"], r["q"]): (r["value"], r["n"]) for r in percentiles.exact_percentiles(summary, ["g"], quantiles, finish=2).collect()}
+        finally:
+            percentiles.BROADCAST_TARGETS = before
+        for g in ("a", None, "b"):
+            mine = sorted(r["x"] for r in df.where(F.col("g").eqNullSafe(g) & F.col("x").isNotNull()).collect())
+            for q in quantiles:
+                assert got[(g, q)] == (mine[max(1, math.ceil(round(q * len(mine), 6))) - 1], len(mine)), (g, q)
+
+
+def test_percentiles_of_fractions(spark):
+    df = spark.createDataFrame([(v, 1) for v in (0.25, 0.75, 0.9, float("nan"), float("inf"))], "value DOUBLE, cnt LONG")
+    got = percentiles.exact_percentiles(df.withColumn("g", F.lit(1)), ["g"], [0.5, 0.2, 0.8]).collect()
+    assert {r["q"]: r["value"] for r in got} == {0.5: 0.9, 0.2: 0.25, 0.8: float("inf")}
+
+
 def test_summaries_combine(spark):
     df = spark.range(3000).select((F.col("id") % 3).alias("day"), F.lit("g").alias("g"), (F.col("id") * F.col("id") - 1000).alias("v"))
     parts = percentiles.log_summary(df, ["day", "g"], "v")
