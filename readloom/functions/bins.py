@@ -78,3 +78,25 @@ def voffset_file(v: Column) -> Column:
 
 def voffset_block(v: Column) -> Column:
     return _long(v).bitwiseAND(_long(0xFFFF))
+
+
+#: Children of a node of tiles, and levels: node n of a level stands for the 8 ** level tiles from n * 8 ** level on.
+NODE_BITS = 3
+
+
+def tile_nodes(first: Column, last: Column, levels: int = DEPTH + 1) -> Column:
+    """ARRAY<STRUCT<level, node>>: the fewest whole nodes that make up the tiles first to last; at most 14 a level, whatever the number of tiles. Empty if
+    last < first. The highest level takes what is left, so that it is the longest array."""
+    b, e = _long(first), _long(last) + 1
+    lo, hi = ([F.shiftright(b + ((1 << NODE_BITS * i) - 1), NODE_BITS * i) for i in range(levels)], [F.shiftright(e, NODE_BITS * i) for i in range(levels)])
+
+    def run(level: int, start: Column, stop: Column) -> Column:
+        nodes = F.transform(F.sequence(start, F.greatest(start, stop - 1)), lambda i: F.struct(F.lit(level).alias("level"), i.alias("node")))
+        return F.when(start < stop, nodes).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<level: INT, node: BIGINT>>)"))
+
+    out = [run(levels - 1, lo[-1], hi[-1])]
+    for i in range(levels - 1):
+        up_lo, up_hi = F.shiftleft(lo[i + 1], NODE_BITS), F.shiftleft(hi[i + 1], NODE_BITS)
+        above = up_lo < up_hi
+        out += [run(i, lo[i], F.when(above, up_lo).otherwise(hi[i])), run(i, F.when(above, up_hi).otherwise(hi[i]), hi[i])]
+    return F.concat(*out)

@@ -86,3 +86,17 @@ def read_ltf8(buf: bytes, at: int) -> tuple[int, int]:
     head = b & (0x7F >> more) if more < 8 else 0
     u = int.from_bytes(bytes([head]) + buf[at + 1 : at + 1 + more], "big")
     return u - (1 << 64) if u >> 63 else u, at + more + 1
+
+
+def write_itf8(v: int) -> bytes:
+    u = v & 0xFFFFFFFF
+    more = next((n for n in range(4) if u < 1 << 7 * (n + 1)), 4)
+    if more == 4:
+        return bytes([0xF0 | u >> 28, u >> 20 & 0xFF, u >> 12 & 0xFF, u >> 4 & 0xFF, u & 0xF])
+    return (u | (0xFF << (8 - more) & 0xFF) << 8 * more).to_bytes(more + 1, "big")
+
+
+def write_ltf8(v: int) -> bytes:
+    u = v & (1 << 64) - 1
+    more = next((n for n in range(8) if u < 1 << 7 * (n + 1)), 8)
+    return bytes([0xFF]) + u.to_bytes(8, "big") if more == 8 else (u | (0xFF << (8 - more) & 0xFF) << 8 * more).to_bytes(more + 1, "big")

@@ -49,6 +49,40 @@ def new_int_aux(tag: str, value: Column) -> Column:
     return F.when(t.isNotNull(), F.struct(F.lit(tag).alias("tag"), t.alias("type"), value.cast("bigint").alias("ival")))
 
 
+_RANGES = {"c": (-(1 << 7), (1 << 7) - 1), "C": (0, (1 << 8) - 1), "s": (-(1 << 15), (1 << 15) - 1), "S": (0, (1 << 16) - 1), "i": (-(1 << 31), (1 << 31) - 1), "I": (0, (1 << 32) - 1)}  # fixed
+
+
+def new_aux(tag: str, type_: str, value: Column, subtype: str | None = None) -> Column:
+    """A field of any type: A (one character), c C s S i I (whole numbers), f, Z (text), H (binary), B (an array, with its subtype). Null where the value is null or
+    not of the type. Type `int` takes the smallest signed, `uint` the smallest unsigned integer type that holds the value."""
+    kinds = {"int": "csi", "uint": "CSI"}.get(type_, type_)
+    parts = {"sval": "STRING", "ival": "BIGINT", "fval": "FLOAT", "iarr": "ARRAY<BIGINT>", "farr": "ARRAY<FLOAT>", "bval": "BINARY"}
+    letter, ok = F.lit(type_), value.isNotNull()
+    if kinds[0] in _RANGES:
+        number = value.cast("bigint")
+        part, letter = "ival", F.lit(None).cast("string")
+        for k in reversed(kinds):
+            letter = F.when(number.between(*_RANGES[k]), F.lit(k)).otherwise(letter)
+        ok, value = letter.isNotNull(), number
+    elif type_ in ("A", "Z"):
+        part = "sval"
+        ok = value.rlike(r"\A[!-~]\z" if type_ == "A" else r"\A[ -~]*\z")
+    elif type_ == "f":
+        part = "fval"
+    elif type_ == "H":
+        part = "bval"
+    elif type_ == "B" and subtype == "f":
+        part = "farr"
+        ok = F.size(value) > 0
+    elif type_ == "B" and subtype in _RANGES:
+        part = "iarr"
+        ok = (F.size(value) > 0) & F.forall(value, lambda x: F.coalesce(x.between(*_RANGES[subtype]), F.lit(False)))
+    else:
+        raise ValueError(f"no such type: {type_}{subtype or ''}")
+    fields = [(value if k == part else F.lit(None)).cast(t).alias(k) for k, t in parts.items()]
+    return F.when(ok, F.struct(F.lit(tag).alias("tag"), letter.alias("type"), F.lit(subtype).cast("string").alias("subtype"), *fields))
+
+
 def aux_value_text(a: Column) -> Column:
     return (
         F.when(a["type"].isin(*INTEGER_TYPES), a["ival"].cast("string"))

@@ -61,3 +61,10 @@ def reference_stats(df: DataFrame, source: str = "_src_id") -> DataFrame:
 
 def unplaced_count(df: DataFrame, source: str = "_src_id") -> DataFrame:
     return df.where(~is_placed(F.col("ref_id"), F.col("pos"))).groupBy(source).agg(F.count("*").alias("unplaced"))
+
+
+def flagstat_all(df: DataFrame) -> DataFrame:
+    """As flagstat, with totals of all records: `total` counts records and `mapped` those not unmapped, each with its share of them."""
+    s = flagstat(df).drop("total", "mapped", "mapped_pct")
+    mapped = F.col("rows") - F.col("unmapped")
+    return s.select("*", F.col("rows").alias("total"), mapped.alias("mapped"), _percent(mapped, F.col("rows")).alias("mapped_pct"))

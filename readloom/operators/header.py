@@ -162,31 +162,82 @@ def equal_references(a: str, b: str) -> Column:
     return same & (sorted_tags(a) == sorted_tags(b))
 
 
+_FIELDS = ("md5", "assembly", "species", "uri")
+
+
+def _added(er: Column, r: Column) -> Column:
+    """The reference that a dictionary holds after r is added to it where er has its name: er if both are alike; r with what er knows beyond if r has the same
+    length and no tags of its own kind; else marked as a conflict."""
+    differ = er["ln"] != r["ln"]
+    for k in _FIELDS:
+        differ = differ | (er[k].isNotNull() & r[k].isNotNull() & (er[k] != r[k]))
+    alike = ~differ & (er["tags"] == r["tags"])
+    # one struct of plain choices, so that the fold stays within its type
+    choose = lambda k, new: F.when(alike, er[k]).otherwise(new).alias(k)
+    conflict = er["conflict"] | (~alike & ((er["ln"] != r["ln"]) | (F.size(r["tags"]) > 0)))
+    return F.struct(choose("ln", r["ln"]), *[choose(k, F.coalesce(r[k], er[k])) for k in _FIELDS], choose("tags", r["tags"]), F.coalesce(conflict, F.lit(False)).alias("conflict"))
+
+
 def merge_references(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(merged, links) of the references of several sources: (_src_id, ref_id, sn, ln).
-
-    Merged ids follow the first source and place that names a reference. A reference with different lengths raises when the result is computed. links maps
-    (_src_id, old_id) to new_id."""
-    first = F.min(F.struct("_src_id", "ref_id")).alias("first")
-    by_name = refs.groupBy("sn").agg(first, F.max("ln").alias("ln"), F.min("ln").alias("low"))
-    conflict = F.raise_error(F.concat(F.lit("reference with different lengths: "), F.col("sn")))
-    checked = by_name.withColumn("ln", F.when(F.col("low") == F.col("ln"), F.col("ln")).otherwise(conflict.cast("int"))).drop("low")
-    # one row a reference name; the dictionary of a merged file is bounded by what one header may hold
-    merged = checked.withColumn("new_id", (F.row_number().over(Window.orderBy("first")) - 1).cast("int")).select("new_id", "sn", "ln")
+    """(merged, links) of the references of several sources: _src_id, ref_id, sn, ln and, as far as there are such columns, md5, assembly, species, uri and
+    other_tags.
+
+    A name that several sources have is added in their order as _added says; a conflict, of different lengths above all, raises when the result is
+    computed. Merged ids follow the first source and place that names a reference. links maps (_src_id, old_id) to new_id. Null names are left out.
+    The ids are given by one task: a row a name, bounded by what the header of one file may hold."""
+    have = set(refs.columns)
+    tags = F.array_sort(F.map_entries("other_tags")) if "other_tags" in have else F.lit(None)
+    kind = "ARRAY<STRUCT<key: STRING, value: STRING>>"
+    fields = [F.col(k) if k in have else F.lit(None).cast("binary" if k == "md5" else "string").alias(k) for k in _FIELDS]
+    r = refs.where("sn IS NOT NULL").select("_src_id", "ref_id", "sn", F.col("ln").cast("int").alias("ln"), *fields, F.coalesce(tags.cast(kind), F.expr(f"CAST(array() AS {kind})")).alias("tags"))
+    state = F.struct("ln", *_FIELDS, "tags")
+    # what the source before said in the same words changes nothing
+    changes = r.withColumn("__new", ~F.coalesce(F.lag(state).over(Window.partitionBy("sn").orderBy("_src_id", "ref_id")).eqNullSafe(state), F.lit(False))).where("__new")
+    steps = changes.groupBy("sn").agg(F.array_sort(F.collect_list(F.struct("_src_id", "ref_id", *["ln", *_FIELDS, "tags"], F.lit(False).alias("conflict")))).alias("steps"))
+    keep = lambda x: F.struct(*[x[k].alias(k) for k in ("ln", *_FIELDS, "tags", "conflict")])
+    folded = steps.select(
+        "sn", F.struct(F.col("steps")[0]["_src_id"].alias("_src_id"), F.col("steps")[0]["ref_id"].alias("ref_id")).alias("first"),
+        F.aggregate(F.slice("steps", 2, F.greatest(F.size("steps") - 1, F.lit(0))), keep(F.col("steps")[0]), _added).alias("x"),
+    )
+    failure = F.raise_error(F.concat(F.lit("references of one name with different lengths or fields: "), F.col("sn")))
+    ln = F.when(F.col("x.conflict"), failure.cast("int")).otherwise(F.col("x.ln")).alias("ln")
+    merged = folded.select((F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("new_id"), "sn", ln, *[f"x.{k}" for k in _FIELDS if k in have], *([F.when(F.size("x.tags") > 0, F.map_from_entries("x.tags")).alias("other_tags")] if "other_tags" in have else []))
     links = refs.join(merged.select("sn", "new_id"), "sn").select("_src_id", F.col("ref_id").alias("old_id"), "new_id")
     return merged, links
 
 
-def add_rows(table: DataFrame, new: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """Dictionary rows with new ones at the end; a name that is there already stays as it is."""
-    fresh = new.join(table.select(name_col), name_col, "left_anti").dropDuplicates([name_col])
+def merge_headers(refs: DataFrame, groups: DataFrame, programs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(references, links, groups, programs) of the merged header; sort order and grouping of it are unknown and none. Groups and programs are the first
+    source's. All tables have _src_id."""
+    merged, links = merge_references(refs)
+    first = refs.agg(F.min("_src_id").alias("_src_id"))  # a row
+    return merged, links, groups.join(F.broadcast(first), "_src_id"), programs.join(F.broadcast(first), "_src_id")
+
+
+def add_references(refs: DataFrame, new: DataFrame) -> DataFrame:
+    """Reference dictionary (ref_id, sn, ln, ...) with new ones (ord, sn, ln, ...) at the end, in their order. A known name is checked: nothing happens if both are
+    alike, fields are filled where compatible, else the result raises when computed."""
+    columns = ["sn", "ln", *_FIELDS, "other_tags"]
+    old, add = refs.select(F.lit(0).alias("_src_id"), "ref_id", *columns), new.select(F.lit(1).alias("_src_id"), F.col("ord").cast("int").alias("ref_id"), *columns)
+    return merge_references(old.unionByName(add))[0].withColumnRenamed("new_id", "ref_id")
+
+
+def add_rows(table: DataFrame, new: DataFrame, id_col: str, name_col: str, strict: bool = False) -> DataFrame:
+    """Dictionary rows (groups, programs) with new ones at the end, in name order; a name that is there already stays as it is, or raises with strict when
+    the result is computed. One task numbers the new rows, which one header holds."""
+    known = table.select(name_col).distinct().withColumn("__known", F.lit(True))
+    marked = new.dropDuplicates([name_col]).join(known, name_col, "left")
+    if strict:
+        taken = F.raise_error(F.concat(F.lit("name taken: "), F.col(name_col)))
+        marked = marked.withColumn(name_col, F.when(F.col("__known"), taken.cast("string")).otherwise(F.col(name_col)))
+    fresh = marked.where(F.lit(True) if strict else F.col("__known").isNull())
     start = table.agg(F.coalesce(F.max(id_col) + 1, F.lit(0)).alias("n")).head()["n"]
     numbered = fresh.withColumn(id_col, (F.row_number().over(Window.orderBy(name_col)) - 1 + F.lit(start)).cast("int"))
     return table.unionByName(numbered.select(*table.columns))
 
 
 def remove_rows(table: DataFrame, names: list[str], id_col: str, name_col: str) -> DataFrame:
-    """Dictionary without the names; later ids move down."""
+    """Dictionary without the names; later ids move down. One task numbers the rows, which one header holds."""
     kept = table.where(~F.col(name_col).isin(names))
     return kept.withColumn(id_col, (F.row_number().over(Window.orderBy(id_col)) - 1).cast("int"))
 
@@ -199,6 +250,84 @@ def rename_row(table: DataFrame, old: str, new: str, name_col: str) -> DataFrame
     return table.withColumn(name_col, value)
 
 
+def row_problem(kind: str) -> Column:
+    """What keeps a dictionary row from being one, null if nothing does: no name, a length out of 1..2^31-1, an md5 that is not 16 bytes, an insert size
+    beyond 32 bits."""
+    out = F.when(F.coalesce(F.col(_IDS[kind][1]), F.lit("")) == "", F.lit("no name"))
+    if kind == "SQ":
+        out = out.when(~F.coalesce(F.col("ln").cast("bigint").between(1, (1 << 31) - 1), F.lit(False)), F.lit("length out of range"))
+        out = out.when(F.col("md5").isNotNull() & (F.octet_length("md5") != 16), F.lit("bad md5"))
+    elif kind == "RG":
+        out = out.when(~F.col("insert_size").cast("bigint").between(-(1 << 31), (1 << 31) - 1), F.lit("insert size out of range"))
+    return out
+
+
+def new_rows(df: DataFrame, kind: str, ord_: str) -> DataFrame:
+    """Dictionary of the rows of df in the order of ord_, numbered from 0; columns it lacks are null. Invalid rows raise when computed. One task numbers them."""
+    id_col, name = _IDS[kind]
+    columns = {x.strip().split()[0]: x.strip().split(None, 1)[1] for x in re.split(r",(?![^<]*>)", SCHEMAS[kind])}
+    full = df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns and c != id_col})
+    problem = row_problem(kind)
+    checked = F.when(problem.isNull(), F.col(name)).otherwise(F.raise_error(F.concat_ws(": ", problem, F.col(name))).cast("string"))
+    numbered = full.withColumn(id_col, (F.row_number().over(Window.orderBy(ord_)) - 1).cast("int")).withColumn(name, checked)
+    return numbered.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+
+
+def get_tag(kind: str, tag: str) -> Column:
+    """Text of a tag of a dictionary row, of a known tag or another; null if it has none."""
+    name = TAGS[kind].get(tag)
+    return F.element_at("other_tags", tag) if name is None else F.lower(F.hex(name)) if name == "md5" else F.col(name).cast("string")
+
+
+def set_tag(df: DataFrame, kind: str, tag: str, value: Column) -> DataFrame:
+    """df with the tag set to the text value, or deleted where it is empty; null leaves it as it is. Values are checked and raise when computed; the name of a row
+    is not deleted (see rename_row for a new one)."""
+    name = TAGS[kind].get(tag)
+    if name is None:
+        rest = F.map_filter(F.coalesce("other_tags", F.expr("CAST(map() AS MAP<STRING, STRING>)")), lambda k, _: k != tag)
+        new = F.when(value.isNull(), F.col("other_tags")).when(value == "", rest).otherwise(F.map_concat(rest, F.create_map(F.lit(tag), value)))
+        return df.withColumn("other_tags", new)
+    kind_ = dict(df.dtypes)[name]
+    fail = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), value)).cast(kind_)
+    typed = F.unhex(value) if name == "md5" else value.try_cast(kind_)
+    ok = F.octet_length(typed) == 16 if name == "md5" else typed.between(1, (1 << 31) - 1) if name == "ln" else typed.isNotNull()
+    empty = fail("a row keeps its name and length") if name in (_IDS[kind][1], "ln") else F.lit(None).cast(kind_)
+    return df.withColumn(name, F.when(value.isNull(), F.col(name)).when(value == "", empty).when(F.coalesce(ok, F.lit(False)), typed).otherwise(fail(f"bad {tag}")))
+
+
+def set_length(refs: DataFrame, name: str, length: int) -> DataFrame:
+    """Reference dictionary with a new length of one reference."""
+    if not 1 <= length < 1 << 31:
+        raise HeaderError("length out of range")
+    return refs.withColumn("ln", F.when(F.col("sn") == name, F.lit(length)).otherwise(F.col("ln")))
+
+
+def reference_fields(ref: str) -> dict[str, Column]:
+    """Fields of a reference given as a struct column that may be null: name `*`, id and length -1, texts empty."""
+    out = {"name": F.coalesce(F.col(f"{ref}.sn"), F.lit("*")), "id": F.coalesce(F.col(f"{ref}.ref_id"), F.lit(-1)), "len": F.coalesce(F.col(f"{ref}.ln"), F.lit(-1))}
+    return out | {k: F.coalesce(F.lower(F.hex(f"{ref}.md5")) if k == "md5" else F.col(f"{ref}.{k}"), F.lit("")) for k in _FIELDS}
+
+
+def parse_headers(texts: DataFrame, kind: str, key: str = "_src_id") -> DataFrame:
+    """key and the rows of a kind (SQ, RG, PG) of many headers: a row a header with its whole text in `text`. A bad line raises, with the key and its number."""
+    names = [x.strip().split()[0] for x in re.split(r",(?![^<]*>)", SCHEMAS[kind])]
+    key_type = dict(texts.dtypes)[key]
+
+    def parse(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for k, text in zip(pdf[key], pdf["text"], strict=True):
+                try:
+                    rows += [(k, *[r.get(n) for n in names]) for r in parse_header(text or "").rows[kind]]
+                except HeaderError as e:
+                    raise HeaderError(f"{key} {k}: {e}") from e
+            yield pd.DataFrame(rows, columns=[key, *names]).astype({"insert_size": "Int32"} if kind == "RG" else {})
+
+    return texts.select(key, "text").mapInPandas(parse, f"{key} {key_type}, {SCHEMAS[kind]}")
+
+
 def validate_records(records: DataFrame, groups: DataFrame, programs: DataFrame) -> DataFrame:
     """(row_id, problem) of records whose PG or RG tag is absent or names nothing in their source's header, or whose LB or PU tag differs from their group.
 

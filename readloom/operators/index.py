@@ -65,25 +65,55 @@ def build_bins(records: DataFrame, keys: list[str], beg: Column, end: Column, mi
     return chunks.select(*keys, "bin", "chunk_begin", "chunk_end", F.min("chunk_begin").over(w).alias("left_voff"), F.sum("n").over(w).alias("records"))
 
 
-def build_linear(records: DataFrame, keys: list[str], beg: Column, end: Column) -> DataFrame:
-    """keys, tile, voff: the least offset of a record that overlaps the 16 kb tile."""
-    first, last = F.shiftright(beg.cast("bigint"), B.TILE_SHIFT), F.shiftright(F.greatest(beg.cast("bigint"), end.cast("bigint") - 1), B.TILE_SHIFT)
-    return records.select(*keys, F.explode(F.sequence(first, last)).alias("tile"), "_voff_begin").groupBy(*keys, "tile").agg(F.min("_voff_begin").alias("voff"))
+#: Tiles that the fixed-depth index has; no record has one beyond.
+TILES = (B.MAX_POS >> B.TILE_SHIFT) + 1
 
 
-def lookup(regions: DataFrame, bins: DataFrame, linear: DataFrame | None, keys: list[str], merge: Strategy = adjacent, min_shift: int = B.TILE_SHIFT, depth: int = B.DEPTH) -> DataFrame:
+def build_linear(records: DataFrame, keys: list[str], beg: Column, end: Column) -> DataFrame:
+    """keys, tile, voff: the least offset of a record that overlaps the 16 kb tile.
+
+    Positions beyond the index (over 2^29 - 2) have no tile. A record is laid out as the few nodes that make up its tiles, and nodes are opened into tiles
+    once their offsets are combined, so neither rows nor arrays grow with the length of a record."""
+    first, last = F.shiftright(beg.cast("bigint"), B.TILE_SHIFT), F.shiftright(F.greatest(beg.cast("bigint"), end.cast("bigint") - 1), B.TILE_SHIFT)
+    short = last - first < 2
+    span = F.when(short, F.transform(F.sequence(first, F.when(short, last).otherwise(first)), lambda t: F.struct(F.lit(0).alias("level"), t.alias("node"))))
+    nodes = records.select(*keys, F.explode(span.otherwise(B.tile_nodes(first, F.least(last, F.lit(TILES - 1))))).alias("x"), "_voff_begin")
+    nodes = nodes.groupBy(*keys, "x.level", "x.node").agg(F.min("_voff_begin").alias("voff"))
+    low, wide = F.expr("shiftleft(node, 3 * level)"), F.expr("shiftleft(1L, 3 * level)")
+    tiles = nodes.select(*keys, F.explode(F.sequence(low, low + wide - 1)).alias("tile"), "voff").where(F.col("tile") < TILES)
+    return tiles.groupBy(*keys, "tile").agg(F.min("voff").alias("voff"))
+
+
+def first_offsets(regions: DataFrame, linear: DataFrame, keys: list[str]) -> DataFrame:
+    """region_id, floor: the least offset of the tiles that a region meets; no row for a region without tiles. An equi-join on (keys, node): tiles are
+    combined into nodes of 8, 64 and more, and a region asks for the few nodes that make up its tiles."""
+    t0, t1 = F.shiftright(F.greatest(F.col("beg"), F.lit(0)), B.TILE_SHIFT), F.shiftright(F.least(F.col("end") - 1, F.lit(B.MAX_POS)), B.TILE_SHIFT)
+    asked = regions.where("end > beg").select("region_id", *keys, F.explode(B.tile_nodes(t0, t1)).alias("x")).select("region_id", *keys, "x.level", "x.node")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(B.DEPTH))).alias("level")
+    known = linear.select(*keys, "tile", "voff", levels).groupBy(*keys, "level", F.expr("shiftright(CAST(tile AS BIGINT), 3 * level)").alias("node")).agg(F.min("voff").alias("voff"))
+    return asked.join(known, [*keys, "level", "node"]).groupBy("region_id").agg(F.min("voff").alias("floor"))
+
+
+def lookup(
+    regions: DataFrame, bins: DataFrame, linear: DataFrame | None, keys: list[str], merge: Strategy = adjacent, min_shift: int = B.TILE_SHIFT, depth: int = B.DEPTH, strict: bool = False,
+) -> DataFrame:
     """region_id, chunk_begin, chunk_end: the chunks that may hold records meeting each region (a superset), merged by the strategy.
 
-    regions: region_id, keys, beg, end. With linear tiles a chunk must end after the offset of the first tile the region meets; without, after the bin's left
-    offset. Regions without chunks, past the index or on unknown keys have no row. The join is an equi-join on (keys, bin)."""
+    regions: region_id, keys, beg, end. With linear tiles a chunk must end after the least offset of the tiles that the region meets; without, after the
+    bin's left offset. Regions without chunks, past the index or on unknown keys have no row; with strict the latter two raise when computed. The joins are
+    equi-joins on (keys, bin) and (keys, node)."""
+    if strict:
+        known = bins.select(*keys).distinct().withColumn("__known", F.lit(True))
+        checked = regions.join(known, keys, "left")
+        problem = F.when(F.col("__known").isNull(), "unknown reference: ").when(F.col("beg") >= F.lit(1 << (min_shift + 3 * depth)), "region past the index: ")
+        failure = F.raise_error(F.concat(problem, F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))).cast("bigint")
+        regions = checked.withColumn("beg", F.when(problem.isNull(), F.col("beg").cast("bigint")).otherwise(failure)).drop("__known")
     wanted = regions.where("end > beg").select("region_id", *keys, F.col("beg"), F.explode(B.overlapping_bins(F.col("beg"), F.col("end"), min_shift, depth)).alias("bin"))
     hit = wanted.join(bins.select(*keys, "bin", "chunk_begin", "chunk_end", "left_voff"), [*keys, "bin"])
     if linear is None:
         hit = hit.where("chunk_end > left_voff")
     else:
-        first = regions.select("region_id", *keys, F.shiftright(F.col("beg"), B.TILE_SHIFT).alias("t0"), F.shiftright(F.col("end") - 1, B.TILE_SHIFT).alias("t1"))
-        floor = first.join(linear, keys).where("tile BETWEEN t0 AND t1").groupBy("region_id").agg(F.min("voff").alias("floor"))
-        hit = hit.join(floor, "region_id").where("chunk_end > floor")
+        hit = hit.join(first_offsets(regions, linear, keys), "region_id").where("chunk_end > floor")
     return merge(hit, ["region_id"])
 
 

@@ -22,19 +22,24 @@ def coordinate_order(by: str = "rname") -> list[Column]:
     return [unplaced.asc(), F.col(by).asc(), F.col("pos").asc()]
 
 
-def sort_records(df: DataFrame, order: list[Column]) -> DataFrame:
+def sort_records(df: DataFrame, order: list[Column], ties: list[str] | None = None) -> DataFrame:
     """Global sort: a range exchange and sorted runs that spill."""
-    return df.orderBy(*order, *[F.col(c) for c in TIES])
+    return df.orderBy(*order, *[F.col(c) for c in ties or TIES])
 
 
-def with_ordinals(df: DataFrame, order: list[Column], out: str = "ord") -> DataFrame:
-    """0-based place of every row in the global order. Sorted ranges are written once; only their row counts meet in one place, so no task sees all rows."""
-    sorted_ = cut(sort_records(df, order)).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i"))
+def number_rows(ordered: DataFrame, out: str = "ord") -> DataFrame:
+    """0-based place of every row of a globally ordered df. Its ranges are written once; only their row counts meet in one place, so no task sees all rows."""
+    sorted_ = cut(ordered).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i"))
     sizes = sorted_.groupBy("__p").agg(F.count("*").alias("__n"))
     offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
     return sorted_.join(F.broadcast(offsets), "__p").withColumn(out, F.col("__i") + F.col("__o")).drop("__p", "__i", "__o")
 
 
+def with_ordinals(df: DataFrame, order: list[Column], out: str = "ord") -> DataFrame:
+    """df with the 0-based place of every row in the global order."""
+    return number_rows(sort_records(df, order), out)
+
+
 def reassign_references(df: DataFrame, links: DataFrame) -> DataFrame:
     """ref_id and mate_ref_id replaced through links (_src_id, old_id, new_id); an id without link becomes null."""
     one = links.select("_src_id", F.col("old_id").alias("ref_id"), F.col("new_id").alias("__r"))
@@ -43,18 +48,18 @@ def reassign_references(df: DataFrame, links: DataFrame) -> DataFrame:
     return out.withColumn("ref_id", F.col("__r")).withColumn("mate_ref_id", F.col("__m")).select(*df.columns)
 
 
-def merge_sources(sources: list[DataFrame], order: str = "coordinate", keys: list[Column] | None = None, orders: list[str] | None = None) -> DataFrame:
+def merge_sources(sources: list[DataFrame], order: str = "coordinate", keys: list[Column] | None = None, orders: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Records of several sources in one order: `coordinate`, `queryname`, `unsorted` (concatenation) or `unknown` with sort keys of the caller.
 
-    orders: the sort order each source states; they must agree. Ties go to the lower source, then to its own order."""
+    orders: the sort order each source states; they must agree. Ties go to the lower source, then to its own order (the columns of ties)."""
     if orders and len(set(orders)) > 1:
         raise ValueError(f"sources differ in sort order: {sorted(set(orders))}")
     everything = reduce(lambda a, b: a.unionByName(b), sources)
     if order == "coordinate":
-        return sort_records(everything, coordinate_order())
+        return sort_records(everything, coordinate_order(), ties)
     if order == "queryname":
-        return sort_records(everything, name_order())
-    return sort_records(everything, keys or [])
+        return sort_records(everything, name_order(), ties)
+    return sort_records(everything, keys or [], ties)
 
 
 def drop_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

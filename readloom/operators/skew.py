@@ -7,6 +7,8 @@ union is exact whatever the sketch says, since it only decides the route.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +33,29 @@ def _is_heavy(keys: list[str], heavy: list[int]) -> Column:
     return key_hash(keys).isin(heavy) if heavy else F.lit(False)
 
 
-def aggregate_per_key(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
-    """groupBy(keys).agg(aggs), exact, without a task that waits for the heaviest key. Null keys form a group. An empty df gives an empty result."""
+#: Aggregates without a partial form: a group's values all meet in one task.
+_WHOLE = re.compile(r"collect_list|collect_set|array_agg|listagg|string_agg|percentile\(|median|mode\(|DISTINCT", re.I)
+
+
+def aggregate_per_key(df: DataFrame, keys: list[str], *aggs: Column, merge: list[Column] | None = None) -> DataFrame:
+    """groupBy(keys).agg(aggs), exact, without a task that waits for the heaviest key. Null keys form a group. An empty df gives an empty result.
+
+    The aggregates must have a partial form (count, sum, min, max and the like), so that a heavy key reaches its last task as a row a task. Others (sketches
+    with costly buffers, lists) need merge: heavy keys are then aggregated by key and SALTS salts, and merge, columns over the names of aggs, combines
+    the salts' results. Without merge they are refused."""
+    if merge is None and (bad := next((str(c) for c in aggs if _WHOLE.search(str(c))), None)):
+        raise ValueError(f"no partial form, give merge: {bad}")
     spark = df.sparkSession
     heavy = heavy_hashes(df, keys)
     if not heavy:
         return df.groupBy(*keys).agg(*aggs)
-    marks = F.broadcast(spark.createDataFrame([(h,) for h in heavy], "__h BIGINT"))
+    marks = F.broadcast(spark.createDataFrame([(h,) for h in heavy], "__h BIGINT"))  # at most TOP_KEYS rows
     hashed = df.withColumn("__h", key_hash(keys))
-    hot = hashed.join(marks, "__h", "left_semi").groupBy(*keys).agg(*aggs)
+    hot = hashed.join(marks, "__h", "left_semi")
+    if merge is None:
+        hot = hot.groupBy(*keys).agg(*aggs)
+    else:
+        hot = hot.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).groupBy(*keys, "__salt").agg(*aggs).groupBy(*keys).agg(*merge)
     rest = hashed.join(marks, "__h", "left_anti").groupBy(*keys).agg(*aggs)
     return hot.unionByName(rest)
 

@@ -16,6 +16,7 @@ from readloom.operators import index as X
 from readloom.operators import merging as M
 from readloom.operators.instants import iso_dates
 from readloom.session import table
+from readloom.sources.fasta import byte_offset
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -145,6 +146,15 @@ SQL["aux01_parse"] = f"""SELECT row_id, i, x.tag AS tag, CASE WHEN x.type IN ('c
   WHEN x.ival >= -128 THEN 'c' WHEN x.ival >= -32768 THEN 's' ELSE 'i' END ELSE x.type END AS type, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN x.ival END AS ival FROM {_AUXROWS} WHERE x.type <> 'f' AND coalesce(x.subtype, '') <> 'f'"""
 per_row("aux02_new_int", "SELECT row_id, CASE WHEN tlen BETWEEN 0 AND 255 THEN 'C' WHEN tlen BETWEEN 0 AND 65535 THEN 'S' WHEN tlen >= 0 THEN 'I' WHEN tlen >= -128 THEN 'c' WHEN tlen >= -32768 THEN 's' WHEN tlen IS NOT NULL THEN 'i' END AS type FROM alignments",
         type=lambda: T.new_int_aux("XT", F.col("tlen"))["type"])
+_TYPED = {"c": (-128, 127), "C": (0, 255), "s": (-32768, 32767), "S": (0, 65535), "i": (-(2**31), 2**31 - 1), "I": (0, 2**32 - 1)}
+_BARE = "CASE WHEN tlen BETWEEN -128 AND 127 THEN 'c' WHEN tlen BETWEEN -32768 AND 32767 THEN 's' WHEN tlen IS NOT NULL THEN 'i' END"
+per_row(
+    "aux02_new_typed",
+    "SELECT row_id, " + ", ".join(f"CASE WHEN tlen BETWEEN {a} AND {b} THEN tlen::BIGINT END AS {'n' if k.islower() else 'u'}{k.lower()}" for k, (a, b) in _TYPED.items()) + f""", {_BARE} AS smallest, CASE WHEN regexp_full_match(qname, '[ -~]*') THEN 'XT:Z:' || qname END AS z,
+    CASE WHEN len(qual) > 0 AND list_min(qual) >= 0 AND list_max(qual) <= 127 THEN 'XB:B:c' || array_to_string(list_transform(qual, lambda q: ',' || q::VARCHAR), '') END AS b, 'XH:H:' || hex(encode(qname)) AS h FROM alignments""",
+    **{f"{'n' if k.islower() else 'u'}{k.lower()}": (lambda k=k: T.new_aux("XT", k, F.col("tlen"))["ival"]) for k in _TYPED}, smallest=lambda: T.new_aux("XT", "int", F.col("tlen"))["type"],
+    z=lambda: T.format_aux(T.new_aux("XT", "Z", F.col("qname"))), b=lambda: T.format_aux(T.new_aux("XB", "B", F.col("qual"), "c")), h=lambda: T.format_aux(T.new_aux("XH", "H", F.encode(F.col("qname"), "UTF-8"))),
+)
 QUERIES["aux03_kinds"] = lambda s, d: aln(s, d).select(F.explode("aux").alias("x")).groupBy(F.col("x.tag").alias("tag"), T.kind(F.col("x.type")).alias("kind")).agg(F.count("*").alias("n"))
 SQL["aux03_kinds"] = "SELECT x.tag AS tag, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN 'i' ELSE x.type END AS kind, count(*) AS n FROM (SELECT unnest(aux) AS x FROM alignments) GROUP BY 1, 2"
 QUERIES["aux04_format"] = lambda s, d: aln(s, d).select("row_id", F.posexplode("aux").alias("i", "x")).where("x.type <> 'f' AND coalesce(x.subtype, '') <> 'f'").select("row_id", (F.col("i") + 1).cast("bigint").alias("i"), T.format_aux(F.col("x")).alias("text"))
@@ -166,24 +176,29 @@ QUERIES["srt02_coordinate_order"] = lambda s, d: M.with_ordinals(aln(s, d).selec
 SQL["srt02_coordinate_order"] = f"SELECT row_id, row_number() OVER (ORDER BY {_COORD}) - 1 AS ord FROM alignments"
 
 
+def _sources(s: SparkSession, d: str, *columns: str) -> list[DataFrame]:
+    """The alignments as two sources that share the files."""
+    a = aln(s, d).select("row_id", *columns, "_src_id", "_src_ord")
+    return [a.where("_src_id % 2 = 0"), a.where("NOT (_src_id % 2 <=> 0)")]
+
+
+_TIES = ["_src_id", "_src_ord", "row_id"]
+
+
 @query("srt03_merge_sources", f"SELECT row_id, row_number() OVER (ORDER BY {_COORD}) - 1 AS ord FROM alignments")
 def srt03(s: SparkSession, d: str) -> DataFrame:
-    a = aln(s, d).select("row_id", "ref_id", "rname", "pos", "_src_id", "_src_ord")
-    both = [a.where("_src_id % 2 = 0"), a.where("NOT (_src_id % 2 <=> 0)")]  # two sources that share all files
-    merged = M.merge_sources(both, "coordinate", orders=["coordinate", "coordinate"])
-    return M.with_ordinals(merged, [*M.coordinate_order(), F.col("_src_id"), F.col("_src_ord"), F.col("row_id")]).select("row_id", "ord")
+    return M.number_rows(M.merge_sources(_sources(s, d, "ref_id", "rname", "pos"), "coordinate", orders=["coordinate", "coordinate"], ties=_TIES)).select("row_id", "ord")
 
 
 @query("srt04_concatenate", "SELECT row_id, row_number() OVER (ORDER BY _src_id, _src_ord, row_id) - 1 AS ord FROM alignments")
 def srt04(s: SparkSession, d: str) -> DataFrame:
-    a = aln(s, d).select("row_id", "_src_id", "_src_ord")
-    return M.with_ordinals(a, [F.col("_src_id"), F.col("_src_ord"), F.col("row_id")]).select("row_id", "ord")
+    return M.number_rows(M.merge_sources(_sources(s, d), "unsorted", ties=_TIES)).select("row_id", "ord")
 
 
 @query("srt05_custom_order", "SELECT row_id, row_number() OVER (ORDER BY mapq DESC NULLS LAST, qname NULLS FIRST, _src_id, _src_ord, row_id) - 1 AS ord FROM alignments")
 def srt05(s: SparkSession, d: str) -> DataFrame:
-    a = aln(s, d).select("row_id", "mapq", "qname", "_src_id", "_src_ord")
-    return M.with_ordinals(a, [F.col("mapq").desc_nulls_last(), F.col("qname").asc_nulls_first(), F.col("_src_id"), F.col("_src_ord"), F.col("row_id")]).select("row_id", "ord")
+    keys = [F.col("mapq").desc_nulls_last(), F.col("qname").asc_nulls_first()]
+    return M.number_rows(M.merge_sources(_sources(s, d, "mapq", "qname"), "unknown", keys, ties=_TIES)).select("row_id", "ord")
 
 
 _LINKS = """refs AS (SELECT DISTINCT _src_id, ref_id, rname AS sn FROM alignments WHERE ref_id IS NOT NULL AND rname IS NOT NULL),
@@ -215,6 +230,9 @@ SQL["agg01_flagstat"] = f"""WITH c AS (SELECT flag & 512 <> 0 AS qc_failed, coun
   count(*) FILTER (WHERE flag & 2 <> 0 AND flag & 4 = 0) AS properly_paired, count(*) FILTER (WHERE flag & 12 = 0) AS both_mapped, count(*) FILTER (WHERE flag & 8 <> 0 AND flag & 4 = 0) AS singletons,
   count(*) FILTER (WHERE flag & 12 = 0 AND ref_id <> mate_ref_id) AS mate_other_ref, count(*) FILTER (WHERE flag & 12 = 0 AND ref_id <> mate_ref_id AND mapq > 4) AS mate_other_ref_mapq5 FROM alignments GROUP BY 1)
   SELECT *, paired AS total, paired - unmapped AS mapped, {_PCT('paired - unmapped')} AS mapped_pct, {_PCT('properly_paired')} AS properly_paired_pct, {_PCT('singletons')} AS singletons_pct FROM c"""
+QUERIES["agg01_flagstat_all"] = lambda s, d: FS.flagstat_all(aln(s, d))
+_PCT_ALL = "CASE WHEN n = 0 THEN 'N/A' ELSE printf('%.2f%%', (n - unmapped) * 100.0::DOUBLE / n) END"
+SQL["agg01_flagstat_all"] = SQL["agg01_flagstat"].replace("SELECT *, paired AS total, paired - unmapped AS mapped,", 'SELECT *, "rows" AS total, "rows" - unmapped AS mapped,').replace(_PCT("paired - unmapped") + " AS mapped_pct", _PCT_ALL.replace("n - ", '"rows" - ').replace("/ n)", '/ "rows")').replace("n = 0", '"rows" = 0') + " AS mapped_pct")
 QUERIES["agg02_count"] = lambda s, d: aln(s, d).groupBy("_src_id").agg(F.count("*").alias("n"))
 SQL["agg02_count"] = "SELECT _src_id, count(*) AS n FROM alignments GROUP BY 1"
 QUERIES["agg03_reference_stats"] = lambda s, d: FS.reference_stats(aln(s, d))
@@ -307,14 +325,17 @@ SQL["idx10_csi_lookup"] = _build_sql(_bin_sql("pos", "e")) + f"{_CAND}, hit AS (
 
 def _by_name(s: SparkSession, d: str) -> DataFrame:
     names = aln(s, d).where("ref_id IS NOT NULL AND rname IS NOT NULL").groupBy(*_KEYS).agg(F.min("rname").alias("rname"))
-    bins = _bai(s, d)[0].join(names, _KEYS).drop("ref_id")
+    bins, linear = (x.join(names, _KEYS).drop("ref_id") for x in _bai(s, d))
+    linear = linear.groupBy("_src_id", "rname", "tile").agg(F.min("voff").alias("voff"))
     wanted = regions(s, d).join(names, _KEYS).drop("ref_id")
-    return X.lookup(wanted, bins, None, ["_src_id", "rname"]).join(wanted, "region_id").select("_src_id", "rname", "chunk_begin", "chunk_end")
+    return X.lookup(wanted, bins, linear, ["_src_id", "rname"]).join(wanted, "region_id").select("_src_id", "rname", "chunk_begin", "chunk_end")
 
 
 QUERIES["idx11_tabix_lookup"] = _by_name
 _NAMES = "nm AS (SELECT _src_id, ref_id, min(rname) AS rname FROM alignments WHERE ref_id IS NOT NULL AND rname IS NOT NULL GROUP BY 1, 2)"
-SQL["idx11_tabix_lookup"] = _build_sql(_bin_sql("pos", "e")) + f"{_CAND}, {_NAMES}, nb AS (SELECT rname, x.* FROM bins x JOIN nm USING (_src_id, ref_id)), nc AS (SELECT rname, ref_id AS rid, c._src_id, c.bin FROM cand c JOIN nm USING (_src_id, ref_id)), hit AS (SELECT c._src_id, c.rname, c.rid, x.chunk_begin, x.chunk_end FROM nc c JOIN nb x ON c._src_id = x._src_id AND c.rname = x.rname AND c.bin = x.bin WHERE x.chunk_end > x.left_voff), res AS (" + "WITH " + _merge_sql("r < b", "_src_id, rname, rid", "hit") + ") SELECT _src_id, rname, chunk_begin, chunk_end FROM res"
+SQL["idx11_tabix_lookup"] = _build_sql(_bin_sql("pos", "e")) + f"""{_CAND}, {_NAMES}, nb AS (SELECT rname, x.* FROM bins x JOIN nm USING (_src_id, ref_id)), nc AS (SELECT rname, ref_id AS rid, c._src_id, c.bin FROM cand c JOIN nm USING (_src_id, ref_id)), {_TILES}, nt AS (SELECT t._src_id, rname, tile, min(voff) AS voff FROM tiles t JOIN nm USING (_src_id, ref_id) GROUP BY 1, 2, 3),
+    fl AS (SELECT r._src_id, r.ref_id AS rid, min(voff) AS fl FROM r JOIN nm USING (_src_id, ref_id) JOIN nt ON nt._src_id = r._src_id AND nt.rname = nm.rname AND nt.tile BETWEEN (r.b >> 14) AND ((r.b + 2999999) >> 14) GROUP BY 1, 2),
+    hit AS (SELECT c._src_id, c.rname, c.rid, x.chunk_begin, x.chunk_end FROM nc c JOIN nb x ON c._src_id = x._src_id AND c.rname = x.rname AND c.bin = x.bin JOIN fl ON fl._src_id = c._src_id AND fl.rid = c.rid WHERE x.chunk_end > fl.fl), res AS (""" + "WITH " + _merge_sql("r < b", "_src_id, rname, rid", "hit") + ") SELECT _src_id, rname, chunk_begin, chunk_end FROM res"
 QUERIES["idx12_compact"] = lambda s, d: X.compressor(1 << 16)(_bai(s, d)[0], [*_KEYS, "bin"])
 SQL["idx12_compact"] = _build_sql(_bin_sql("pos", "e")) + ", " + _merge_sql("(r >> 16) + 65536 < (b >> 16)", "_src_id, ref_id, bin", "bins")
 _CH = "ch AS (SELECT _src_id, begin_voff AS chunk_begin, end_voff AS chunk_end FROM index_stats WHERE begin_voff IS NOT NULL AND end_voff IS NOT NULL)"
@@ -346,19 +367,49 @@ QUERIES["ord01_violations"] = lambda s, d: M.order_violations(aln(s, d))
 SQL["ord01_violations"] = "SELECT _src_id, _src_ord, ref_id, pos FROM (SELECT *, max(ref_id::BIGINT * 4294967296 + pos) OVER (PARTITION BY _src_id ORDER BY _src_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT * FROM alignments WHERE ref_id IS NOT NULL AND pos >= 0)) WHERE m > ref_id::BIGINT * 4294967296 + pos"
 
 # --- integers and offsets of the other formats
-per_row("enc01_itf8", "SELECT row_id, tlen, octet_length(unhex(CASE WHEN tlen IS NULL THEN NULL WHEN tlen BETWEEN 0 AND 127 THEN '00' WHEN tlen BETWEEN 0 AND 16383 THEN '0000' WHEN tlen BETWEEN 0 AND 2097151 THEN '000000' WHEN tlen BETWEEN 0 AND 268435455 THEN '00000000' ELSE '0000000000' END))::INT AS n FROM alignments",
-        tlen=lambda: codecs.itf8_decode(codecs.itf8_encode(F.col("tlen"))), n=lambda: F.octet_length(codecs.itf8_encode(F.col("tlen"))))
-per_row("enc02_ltf8", "SELECT row_id, _voff_begin AS v, pos AS p FROM alignments", v=lambda: codecs.ltf8_decode(codecs.ltf8_encode(F.col("_voff_begin"))), p=lambda: codecs.ltf8_decode(codecs.ltf8_encode(F.col("pos"))))
-QUERIES["fai01_offset"] = lambda s, d: aln(s, d).where("pos >= 0").select("row_id", (F.lit(12) + F.expr("pos div 70") * 71 + F.col("pos") % 70).alias("offset"))
-SQL["fai01_offset"] = "SELECT row_id, 12 + pos // 70 * 71 + pos % 70 AS \"offset\" FROM alignments WHERE pos >= 0"
+_U = "(tlen::BIGINT & 4294967295)"
+per_row(
+    "enc01_itf8",
+    f"""SELECT row_id, tlen, CASE WHEN {_U} < 128 THEN lpad(to_hex({_U}), 2, '0') WHEN {_U} < 16384 THEN to_hex({_U} | 32768) WHEN {_U} < 2097152 THEN to_hex({_U} | 12582912)
+    WHEN {_U} < 268435456 THEN to_hex({_U} | 3758096384) ELSE to_hex(240 | ({_U} >> 28)) || lpad(to_hex(({_U} >> 4) & 16777215), 6, '0') || lpad(to_hex({_U} & 15), 2, '0') END AS bytes FROM alignments""",
+    tlen=lambda: codecs.itf8_decode(codecs.itf8_encode(F.col("tlen"))), bytes=lambda: F.hex(codecs.itf8_encode(F.col("tlen"))),
+)
+_LTF8 = lambda v: "CASE " + " ".join(f"WHEN {v} >= 0 AND {v} < {1 << 7 * n} THEN lpad(to_hex({v} | {((0xFF << (9 - n)) & 0xFF) << 8 * (n - 1)}), {2 * n}, '0')" for n in range(1, 8)) + f" WHEN {v} >= 0 AND {v} < {1 << 56} THEN 'FE' || lpad(to_hex({v}), 14, '0') WHEN {v} IS NOT NULL THEN 'FF' || lpad(to_hex({v}), 16, '0') END"
+per_row(
+    "enc02_ltf8", f"SELECT row_id, _voff_begin AS v, pos AS p, {_LTF8('_voff_begin')} AS v_bytes, {_LTF8('pos')} AS p_bytes, {_LTF8('(_voff_begin * 6151)')} AS w_bytes FROM alignments",
+    v=lambda: codecs.ltf8_decode(codecs.ltf8_encode(F.col("_voff_begin"))), p=lambda: codecs.ltf8_decode(codecs.ltf8_encode(F.col("pos"))),
+    v_bytes=lambda: F.hex(codecs.ltf8_encode(F.col("_voff_begin"))), p_bytes=lambda: F.hex(codecs.ltf8_encode(F.col("pos"))), w_bytes=lambda: F.hex(codecs.ltf8_encode(F.col("_voff_begin") * 6151)),
+)
+QUERIES["fai01_offset"] = lambda s, d: aln(s, d).where("pos >= 0").select("row_id", byte_offset(F.col("pos"), 12, 70, 71).alias("offset"), byte_offset(F.col("pos") + (1 << 60), 12, 70, 71).alias("far"))
+SQL["fai01_offset"] = f"SELECT row_id, 12 + pos // 70 * 71 + pos % 70 AS \"offset\", 12 + (pos + {1 << 60}) // 70 * 71 + (pos + {1 << 60}) % 70 AS far FROM alignments WHERE pos >= 0"
 
 # --- headers
 QUERIES["hdr06_other_tags"] = lambda s, d: table(s, d, "read_groups").select("row_id", F.explode("other_tags").alias("tag", "value"))
 SQL["hdr06_other_tags"] = "SELECT row_id, e.key AS tag, e.value AS value FROM (SELECT row_id, unnest(map_entries(other_tags)) AS e FROM read_groups)"
+QUERIES["hdr06_set_get"] = lambda s, d: H.set_tag(H.set_tag(H.set_tag(table(s, d, "read_groups"), "RG", "LB", F.concat(F.lit("L"), F.col("id"))), "RG", "XY", F.col("center")), "RG", "DS", F.when(F.col("row_id") % 2 == 0, F.lit(""))).select(
+    "row_id", *[H.get_tag("RG", t).alias(t.lower()) for t in ("LB", "XY", "DS", "ID", "PI")], F.size("other_tags").alias("n_other")
+)
+SQL["hdr06_set_get"] = """SELECT row_id, coalesce('L' || id, library) AS lb, CASE WHEN center IS NULL THEN other_tags['XY'] ELSE nullif(center, '') END AS xy, CASE WHEN row_id % 2 <> 0 THEN description END AS ds, id, insert_size::VARCHAR AS pi,
+  CASE WHEN center IS NULL THEN cardinality(other_tags) ELSE len(list_filter(coalesce(map_keys(other_tags), []), lambda k: k <> 'XY')) + CASE WHEN center <> '' THEN 1 ELSE 0 END END::INT AS n_other FROM read_groups"""
 QUERIES["hdr07_order_names"] = lambda s, d: aln(s, d).groupBy(H.order_name(F.col("flag") % 6, H.SORT_ORDERS).alias("name")).agg(F.count("*").alias("n"))
 SQL["hdr07_order_names"] = "SELECT CASE flag % 6 WHEN 1 THEN 'unsorted' WHEN 2 THEN 'queryname' WHEN 3 THEN 'coordinate' ELSE 'unknown' END AS name, count(*) AS n FROM alignments GROUP BY 1"
-QUERIES["hdr11_accessors"] = lambda s, d: aln(s, d).select("row_id", F.coalesce("rname", F.lit("*")).alias("name"), F.coalesce("ref_id", F.lit(-1)).alias("id"))
-SQL["hdr11_accessors"] = "SELECT row_id, coalesce(rname, '*') AS name, coalesce(ref_id, -1) AS id FROM alignments"
+@query("hdr11_accessors", """WITH r AS (SELECT DISTINCT ON (ref_id) * FROM ref_seqs ORDER BY ref_id)
+SELECT row_id, coalesce(r.sn, '*') AS name, coalesce(r.ref_id, -1) AS id, coalesce(r.ln, -1) AS len, coalesce(lower(hex(r.md5)), '') AS md5, coalesce(r.assembly, '') AS assembly, coalesce(r.species, '') AS species, coalesce(r.uri, '') AS uri
+FROM alignments a LEFT JOIN r USING (ref_id)""")
+def hdr11(s: SparkSession, d: str) -> DataFrame:
+    """Reference fields of every record, of the nil reference where it has none."""
+    refs = table(s, d, "ref_seqs").dropDuplicates(["ref_id"])
+    return aln(s, d).select("row_id", "ref_id").join(refs.select("ref_id", F.struct(*refs.columns).alias("r")), "ref_id", "left").select("row_id", *[c.alias(k) for k, c in H.reference_fields("r").items()])
+
+
+@query("hdr08_new_references", """WITH p AS (SELECT ref_id, sn, ln, md5, CASE WHEN coalesce(sn, '') = '' THEN 'no name' WHEN NOT coalesce(ln BETWEEN 1 AND 2147483647, FALSE) THEN 'length out of range' WHEN octet_length(md5) <> 16 THEN 'bad md5' END AS problem FROM ref_seqs)
+SELECT CASE WHEN problem IS NULL THEN (row_number() OVER (PARTITION BY problem IS NULL ORDER BY ref_id) - 1)::INT END AS new_id, ref_id, problem FROM p""")
+def hdr08(s: SparkSession, d: str) -> DataFrame:
+    """Valid rows as a new dictionary, the others with their problem."""
+    r = table(s, d, "ref_seqs").withColumn("problem", H.row_problem("SQ"))
+    good, bad = r.where("problem IS NULL"), r.where("problem IS NOT NULL")
+    new = H.new_rows(good.select("sn", "ln", "md5", F.col("ref_id").cast("string").alias("assembly"), F.col("ref_id").alias("place")), "SQ", "place")
+    return new.select(F.col("ref_id").alias("new_id"), F.col("assembly").cast("int").alias("ref_id"), F.lit(None).cast("string").alias("problem")).unionByName(bad.select(F.lit(None).cast("int").alias("new_id"), "ref_id", "problem"))
 
 
 @query("hdr09_remove", "SELECT sn, (row_number() OVER (ORDER BY ref_id) - 1)::INT AS ref_id FROM ref_seqs WHERE sn NOT IN ('qtg000', 'qtg010')")
@@ -381,6 +432,72 @@ def hdr12(s: SparkSession, d: str) -> DataFrame:
     return a.join(b, "k").select("ref_id", H.equal_references("a", "b").alias("same"))
 
 
+_REFS2 = """r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sn ORDER BY ref_id) AS i FROM ref_seqs WHERE sn IS NOT NULL AND ln > 0) WHERE i = 1),
+b AS (SELECT sn, ln, CASE WHEN ref_id % 3 = 0 THEN NULL ELSE md5 END AS md5, CASE WHEN ref_id % 5 = 0 THEN 'other' ELSE assembly END AS assembly, species, uri FROM r),
+m AS (SELECT r.ref_id, sn, r.ln, coalesce(b.md5, r.md5) AS md5, coalesce(b.assembly, r.assembly) AS assembly, coalesce(b.species, r.species) AS species, coalesce(b.uri, r.uri) AS uri,
+      coalesce(r.md5 <> b.md5, FALSE) OR coalesce(r.assembly <> b.assembly, FALSE) OR coalesce(cardinality(r.other_tags), 0) > 0 AS replaced, r.md5 AS m0, r.assembly AS a0, r.species AS s0, r.uri AS u0 FROM r JOIN b USING (sn))"""
+
+
+def _two_versions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The reference dictionary, and a second version of it without some checksums and tags and with some assemblies changed."""
+    refs = table(s, d, "ref_seqs").where("sn IS NOT NULL AND ln > 0")
+    columns = ["ref_id", "ln", "md5", "assembly", "species", "uri", "other_tags"]
+    r = refs.groupBy("sn").agg(F.min_by(F.struct(*columns), "ref_id").alias("x")).select("sn", "x.*")
+    b = r.withColumns({"md5": F.when(F.col("ref_id") % 3 != 0, F.col("md5")), "assembly": F.when(F.col("ref_id") % 5 == 0, "other").otherwise(F.col("assembly")), "other_tags": F.lit(None).cast("MAP<STRING, STRING>")})
+    return r, b
+
+
+@query("hdr13_merged_references", f"""WITH {_REFS2} SELECT (row_number() OVER (ORDER BY ref_id) - 1)::INT AS new_id, sn, ln, hex(CASE WHEN replaced THEN md5 ELSE m0 END) AS md5, CASE WHEN replaced THEN assembly ELSE a0 END AS assembly,
+  CASE WHEN replaced THEN species ELSE s0 END AS species, CASE WHEN replaced THEN uri ELSE u0 END AS uri, 0 AS n_other FROM m""")
+def hdr13_merged(s: SparkSession, d: str) -> DataFrame:
+    """The dictionaries of two sources that tell different things of the same references."""
+    a, b = _two_versions(s, d)
+    none = s.createDataFrame([], "_src_id INT")
+    merged = H.merge_headers(a.withColumn("_src_id", F.lit(1)).unionByName(b.withColumn("_src_id", F.lit(2))), none, none)[0]
+    return merged.select("new_id", "sn", "ln", F.hex("md5").alias("md5"), "assembly", "species", "uri", F.coalesce(F.size("other_tags"), F.lit(0)).alias("n_other"))
+
+
+@query("hdr09_add_checked", f"""WITH {_REFS2} SELECT (row_number() OVER (ORDER BY ref_id) - 1)::INT AS ref_id, sn, ln, CASE WHEN replaced THEN assembly ELSE a0 END AS assembly FROM m
+  UNION ALL SELECT ((SELECT count(*) FROM m) + row_number() OVER (ORDER BY ref_id) - 1)::INT, 'new_' || sn, ln, NULL FROM m WHERE ref_id % 7 = 0""")
+def hdr09_add(s: SparkSession, d: str) -> DataFrame:
+    a, b = _two_versions(s, d)
+    fresh = b.where("ref_id % 7 = 0").withColumns({"sn": F.concat(F.lit("new_"), F.col("sn")), "assembly": F.lit(None).cast("string"), "ref_id": F.col("ref_id") + 1_000_000})
+    return H.add_references(a, b.unionByName(fresh).withColumnRenamed("ref_id", "ord")).select("ref_id", "sn", "ln", "assembly")
+
+
+@query("hdr09_add_groups", """WITH u AS (SELECT uid, min(row_id) AS r FROM programs WHERE uid IS NOT NULL GROUP BY 1), t AS (SELECT uid, (row_number() OVER (ORDER BY uid) - 1)::INT AS pg_id FROM u WHERE r % 2 = 0)
+  SELECT uid, pg_id FROM t UNION ALL SELECT uid, ((SELECT count(*) FROM t) + row_number() OVER (ORDER BY uid) - 1)::INT FROM u WHERE r % 2 <> 0""")
+def hdr09_groups(s: SparkSession, d: str) -> DataFrame:
+    """Program names of all sources: half as a dictionary, all others added to it."""
+    u = table(s, d, "programs").where("uid IS NOT NULL").groupBy("uid").agg(F.min("row_id").alias("r"))
+    known = H.new_rows(u.where("r % 2 = 0").select("uid", F.col("uid").alias("place")), "PG", "place").select("pg_id", "uid")
+    return H.add_rows(known, u.where("r % 2 <> 0").select(F.lit(0).alias("pg_id"), "uid"), "pg_id", "uid", strict=True).select("uid", "pg_id")
+
+
+@query("hdr10_set_length", "SELECT ref_id, CASE WHEN sn = 'qtg000' THEN 77 ELSE ln END AS ln FROM ref_seqs")
+def hdr10_length(s: SparkSession, d: str) -> DataFrame:
+    return H.set_length(table(s, d, "ref_seqs"), "qtg000", 77).select("ref_id", "ln")
+
+
+def _parsed(kind: str, name: str, table_: str, columns: list[str]):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        """One row a source and name as header lines, one text a source, parsed again."""
+        t = table(s, d, table_).where(f"coalesce({name}, '') <> ''")
+        one = t.groupBy("_src_id", name).agg(F.min_by(F.struct(*[c for c in t.columns if c not in ("_src_id", name)]), "row_id").alias("x")).select("_src_id", name, "x.*")
+        lines = one.select("_src_id", name, H.line_expression(kind).alias("line"))
+        texts = lines.groupBy("_src_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, "line"))), lambda x: x["line"]), "\n").alias("text"))  # a header a file
+        return H.parse_headers(texts, kind).select("_src_id", *columns, F.coalesce(F.size("other_tags"), F.lit(0)).alias("n_other"))
+
+    return run
+
+
+_RG_COLUMNS = ["rg_id", "id", "center", "description", "date", "flow_order", "key_seq", "library", "program", "insert_size", "platform", "platform_unit", "sample"]
+_PG_COLUMNS = ["pg_id", "uid", "name", "command", "previous", "version"]
+for _q, _k, _n, _t, _c in (("hdr03_read_groups", "RG", "id", "read_groups", _RG_COLUMNS), ("hdr04_programs", "PG", "uid", "programs", _PG_COLUMNS)):
+    QUERIES[_q] = _parsed(_k, _n, _t, _c)
+    _cols = ", ".join(c if c in (_n, "insert_size") else f"nullif({c}, '') AS {c}" for c in _c[1:])
+    SQL[_q] = f"SELECT _src_id, (row_number() OVER (PARTITION BY _src_id ORDER BY {_n}) - 1)::INT AS {_c[0]}, {_cols}, coalesce(cardinality(other_tags), 0)::INT AS n_other FROM (SELECT *, row_number() OVER (PARTITION BY _src_id, {_n} ORDER BY row_id) AS i FROM {_t} WHERE {_n} <> '') WHERE i = 1"
+
 QUERIES["hdr13_merge"] = lambda s, d: _links(s, d)[1]
 SQL["hdr13_merge"] = f"WITH {_LINKS} SELECT * FROM links"
 
@@ -405,6 +522,7 @@ QUERIES["hdr15_reference_lines"] = lambda s, d: table(s, d, "ref_seqs").select("
 SQL["hdr15_reference_lines"] = f"SELECT ref_id, concat_ws(chr(9), '@SQ', {', '.join(_LINE(t, 'lower(hex(md5))' if c == 'md5' else c) for t, c in H.TAGS['SQ'].items())}, {_OTHER}) AS line FROM ref_seqs"
 QUERIES["hdr15_group_lines"] = lambda s, d: table(s, d, "read_groups").select("row_id", H.line_expression("RG").alias("line"))
 SQL["hdr15_group_lines"] = f"SELECT row_id, concat_ws(chr(9), '@RG', {', '.join(_LINE(t, c) for t, c in H.TAGS['RG'].items())}, {_OTHER}) AS line FROM read_groups"
+LINE_SQL = {k: SQL[q].split("SELECT ", 1)[1].split(", ", 1)[1].rsplit(" FROM ", 1)[0] for k, q in (("SQ", "hdr15_reference_lines"), ("RG", "hdr15_group_lines"), ("PG", "hdr15_program_lines"))}
 QUERIES["hdr05_iso_dates"] = lambda s, d: iso_dates(table(s, d, "read_groups"), "date", ["row_id"])
 SQL["hdr05_iso_dates"] = """WITH m AS (SELECT row_id, date, regexp_extract_all(date, '[0-9]{2}') AS n, regexp_full_match(date, '[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:?[0-9]{2}(:?[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?') AS ok FROM read_groups),
 p AS (SELECT row_id, ok, substr(date, 1, 10) AS d, replace(regexp_extract(date, 'T([0-9:]*)', 1), ':', '') AS t, replace(regexp_extract(date, 'T.*([+-][0-9]{2}:?[0-9]{2})$', 1), ':', '') AS z FROM m),

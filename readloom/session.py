@@ -17,6 +17,7 @@ def build_session(app: str = "readloom", master: str | None = None, cores: int |
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.python.filterPushdown.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -27,12 +28,14 @@ def build_session(app: str = "readloom", master: str | None = None, cores: int |
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Where none is set, a temporary one of a local session, as in tests; a cluster without it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     target = configured or tempfile.mkdtemp(prefix="readloom-checkpoint-")
     sc.setCheckpointDir(target)
     return target

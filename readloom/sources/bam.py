@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from readloom.functions.cigar import OPS
 from readloom.functions.sequences import CODES
 from readloom.operators.header import Header, parse_header
-from readloom.sources import bgzf, files
+from readloom.sources import bgzf, columns, files
 from readloom.sources.bgzf import FormatError, RangePartition
 
 SCHEMA = (
@@ -23,11 +23,10 @@ SCHEMA = (
     "seq STRING, qual ARRAY<SMALLINT>, aux ARRAY<STRUCT<tag: STRING, type: STRING, subtype: STRING, sval: STRING, ival: BIGINT, fval: FLOAT, iarr: ARRAY<BIGINT>, farr: ARRAY<FLOAT>, bval: BINARY>>, "
     "_voff_begin BIGINT, _voff_end BIGINT, _src_id INT, _src_ord BIGINT"
 )
-_PAIRS = [a + b for a in CODES for b in CODES]
 _INT = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I"}  # fixed: struct code of each integer type
 _FIXED, _SIZE = struct.Struct("<iiBBHHHiiii"), struct.Struct("<i")
-#: Records that must follow each other plausibly for a split to trust a record start, and rows of an Arrow batch.
-CHAIN, BATCH = 8, 4096
+#: Records that must follow each other plausibly for a split to trust a record start, rows of an Arrow batch, and raw bytes that are walked at a time.
+CHAIN, BATCH, STRETCH = 8, 8192, 2 << 20
 
 
 def read_header(data: bytes) -> tuple[Header, list[tuple[str, int]], int]:
@@ -120,6 +119,12 @@ class Stream:
                 return off << 16 | (at - begin)
         raise IndexError(at)
 
+    def voffsets(self, at: np.ndarray) -> np.ndarray:
+        """Virtual offsets of absolute positions that are available, ascending."""
+        begins, offs = (np.array(x, np.int64) for x in zip(*self.marks, strict=True))
+        mark = np.searchsorted(begins, at, "right") - 1
+        return offs[mark] << 16 | (at - begins[mark])
+
     def forget(self, before: int) -> None:
         drop = before - self.base
         if drop > 1 << 20:
@@ -161,77 +166,6 @@ def find_record(s: Stream, at: int, limit: int, refs: int) -> int | None:
     return None
 
 
-def _aux(buf: bytes) -> list[dict]:
-    out, at = [], 0
-    while at < len(buf):
-        if at + 3 > len(buf):
-            raise FormatError("truncated tag")
-        a = dict.fromkeys(("tag", "type", "subtype", "sval", "ival", "fval", "iarr", "farr", "bval"))
-        a["tag"], t = buf[at : at + 2].decode("latin-1"), chr(buf[at + 2])
-        a["type"] = t
-        at += 3
-        try:
-            if t in _INT:
-                a["ival"] = struct.unpack_from("<" + _INT[t], buf, at)[0]
-                at += struct.calcsize(_INT[t])
-            elif t == "A":
-                a["sval"] = chr(buf[at])
-                at += 1
-            elif t == "f":
-                a["fval"] = struct.unpack_from("<f", buf, at)[0]
-                at += 4
-            elif t in "ZH":
-                end = buf.index(0, at)
-                if t == "Z":
-                    a["sval"] = buf[at:end].decode("utf-8", "replace")
-                else:
-                    a["bval"] = bytes.fromhex(buf[at:end].decode("ascii"))
-                at = end + 1
-            elif t == "B":
-                sub, n = chr(buf[at]), struct.unpack_from("<i", buf, at + 1)[0]
-                code = "f" if sub == "f" else _INT[sub]
-                values = list(struct.unpack_from(f"<{n}{code}", buf, at + 5))
-                a["subtype"], a["farr" if sub == "f" else "iarr"] = sub, values
-                at += 5 + n * struct.calcsize(code)
-            else:
-                raise FormatError(f"unknown tag type {t!r}")
-        except (struct.error, IndexError, KeyError, ValueError) as e:
-            raise FormatError(f"bad tag {a['tag']}: {e}") from e
-        out.append(a)
-    return out
-
-
-def decode_record(body: bytes, names: list[str], omit: str, want: frozenset[str]) -> dict:
-    """The wanted columns of a record. omit: none, aux, or variable (sequence, qualities and tags left out)."""
-    ref, pos, n_name, mapq, _, ops, flag, n, mate, mate_pos, tlen = _FIXED.unpack_from(body)
-    if not (-1 <= ref < len(names) and -1 <= mate < len(names)):
-        raise FormatError("reference out of range")
-    at = 32 + n_name
-    r = {"flag": flag, "ref_id": ref if ref >= 0 else None, "rname": names[ref] if ref >= 0 else None, "pos": pos, "mapq": mapq}
-    r |= {"mate_ref_id": mate if mate >= 0 else None, "mate_rname": names[mate] if mate >= 0 else None, "mate_pos": mate_pos, "tlen": tlen}
-    if "qname" in want:
-        r["qname"] = body[32 : at - 1].decode("latin-1")
-    if "cigar" in want:
-        r["cigar"] = [{"len": p >> 4, "op": OPS[p & 15]} for p in struct.unpack_from(f"<{ops}I", body, at)]
-    at += 4 * ops
-    if omit != "variable":
-        half = (n + 1) // 2
-        if "seq" in want:
-            r["seq"] = "".join([_PAIRS[b] for b in body[at : at + half]])[:n] if n else None
-        if "qual" in want:
-            q = body[at + half : at + half + n]
-            r["qual"] = None if not n or q.count(255) == n else list(q)
-        if omit == "none" and "aux" in want:
-            r["aux"] = _aux(body[at + half + n :])
-    return r
-
-
-#: Columns that lie in the fixed part of a record, as laid out there.
-_HEAD = np.dtype([("ref_id", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("mate_ref_id", "<i4"), ("mate_pos", "<i4"), ("tlen", "<i4")])
-_PLACE = ("_voff_begin", "_voff_end", "_src_id", "_src_ord")
-_FAST = {"flag", "ref_id", "rname", "pos", "mapq", "mate_ref_id", "mate_rname", "mate_pos", "tlen", *_PLACE}
-
-
 class BamReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.split, self.omit = options["path"], int(options.get("splitBytes", bgzf.SPLIT_BYTES)), options.get("omit", "none")
@@ -245,52 +179,18 @@ class BamReader(DataSourceReader):
         return bgzf.byte_ranges(self.path, self.split)
 
     def read(self, part: RangePartition) -> Iterator[pa.RecordBatch]:
-        """Only the columns of the schema asked for are decoded; those of the fixed part are cut out for a batch at a time."""
+        """Only the columns of the schema asked for are decoded, a stretch of records at a time."""
         schema = to_arrow_schema(self.schema)
-        want = frozenset(schema.names)
-        batch = self._fixed if want <= _FAST else self._decoded
         _, refs, first = file_header(part.path)
         names = [r[0] for r in refs]
-        bodies: list[bytes] = []
-        offsets: list[tuple[int, int]] = []
-        for body, begin, after in self._records(part, names, first, 32 if want <= _FAST else 1 << 30):
-            bodies.append(body)
-            offsets.append((begin, after))
-            if len(bodies) == BATCH:
-                yield batch(bodies, offsets, part.src, names, schema)
-                bodies, offsets = [], []
-        if bodies:
-            yield batch(bodies, offsets, part.src, names, schema)
-
-    def _decoded(self, bodies, offsets, src: int, names: list[str], schema: pa.Schema) -> pa.RecordBatch:
-        want = frozenset(schema.names)
-        rows = [decode_record(b, names, self.omit, want) | {"_voff_begin": x, "_voff_end": y, "_src_id": src, "_src_ord": x} for b, (x, y) in zip(bodies, offsets, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], type=f.type) for f in schema], schema=schema)
-
-    def _fixed(self, bodies, offsets, src: int, names: list[str], schema: pa.Schema) -> pa.RecordBatch:
-        head = np.frombuffer(b"".join(bodies), _HEAD)
-        for c in ("ref_id", "mate_ref_id"):
-            if len(head) and not (-1 <= head[c].min() and head[c].max() < len(names)):
-                raise FormatError("reference out of range")
-        place = np.array(offsets, np.int64)
-        known = pa.array(names, pa.string())
-        out = []
-        for f in schema:
-            if f.name in ("rname", "mate_rname"):
-                ids = head["ref_id" if f.name == "rname" else "mate_ref_id"]
-                out.append(known.take(pa.array(ids, mask=ids < 0)))
-            elif f.name in ("ref_id", "mate_ref_id"):
-                out.append(pa.array(head[f.name], mask=head[f.name] < 0).cast(f.type))
-            elif f.name == "_src_id":
-                out.append(pa.array(np.full(len(head), src)).cast(f.type))
-            elif f.name in _PLACE:
-                out.append(pa.array(place[:, 1 if f.name == "_voff_end" else 0]).cast(f.type))
-            else:
-                out.append(pa.array(head[f.name]).cast(f.type))
-        return pa.RecordBatch.from_arrays(out, schema=schema)
-
-    def _records(self, part: RangePartition, names: list[str], first: int, keep: int) -> Iterator[tuple[bytes, int, int]]:
-        """(the first `keep` bytes of a record, its begin, its end)."""
+        for data, starts, sizes, begin, after in self._stretches(part, names, first):
+            for i in range(0, len(starts), BATCH):
+                j = slice(i, i + BATCH)
+                low, high = int(starts[j][0]), int(starts[j][-1] + sizes[j][-1])
+                yield columns.decode(np.frombuffer(data, np.uint8, high - low, low), starts[j] - low, sizes[j], begin[j], after[j], part.src, names, self.omit, schema)
+
+    def _stretches(self, part: RangePartition, names: list[str], first: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bytes, place of the record bodies in them, their sizes, their virtual begins, their virtual ends)."""
         size = files.size_of(part.path)
         with files.open_input(part.path) as f:
             if part.first is not None:
@@ -306,20 +206,37 @@ class BamReader(DataSourceReader):
                 return
             begin = s.voffset(at)
             while begin < end and s.fill(at + 4):
-                n = _SIZE.unpack_from(s.data, at - s.base)[0]
-                if n == 0:
-                    return
-                if n < 32 or not s.fill(at + 4 + n):
-                    raise FormatError(f"truncated record at {begin}")
-                body = s.get(at + 4, min(n, keep))
-                at += 4 + n
+                s.fill(at + STRETCH)
+                places, at = self._walk(s, at)
                 after = s.voffset(at) if s.fill(at + 1) else size << 16
-                yield body, begin, after
-                begin = after
+                if not places:  # an empty record ends the data
+                    return
+                starts, sizes = np.array(places, np.int64), np.diff(np.array([*places, at + 4])) - 4
+                begins = s.voffsets(starts - 4)
+                mine = int(np.searchsorted(begins, end))  # what begins at or after the end is the next range's
+                if mine:
+                    low = places[0]
+                    yield s.get(low, at - low), starts[:mine] - low, sizes[:mine], begins[:mine], np.r_[begins[1:], after][:mine]
+                begin = int(begins[mine]) if mine < len(begins) else after
                 s.forget(at)
             if part.first is None:
                 self._check_next(f, part.end, begin, size, len(names), first)
 
+    @staticmethod
+    def _walk(s: Stream, at: int) -> tuple[list[int], int]:
+        """Places of the bodies of the whole records from `at` on that are available, at least one; and where the one after them begins."""
+        take = _SIZE.unpack_from
+        n = take(s.data, at - s.base)[0]
+        if n == 0:
+            return [], at
+        if n < 32 or not s.fill(at + 4 + n):
+            raise FormatError(f"truncated record at {s.voffset(at)}")
+        out, data, p, stop, base = [], s.data, at - s.base, len(s.data), s.base
+        while p + 4 <= stop and (n := take(data, p)[0]) >= 32 and p + 4 + n <= stop:
+            out.append(base + p + 4)
+            p += 4 + n
+        return out, base + p
+
     def _start(self, f, start: int, end: int, size: int, refs: int, first: int) -> tuple[Stream, int] | None:
         """Stream and position of the first record of a byte range; None if none is found."""
         block = bgzf.first_member(f, start, size) if start else 0
@@ -356,78 +273,22 @@ class BamReader(DataSourceReader):
         return total
 
 
-def _bin(beg: int, end: int) -> int:
-    end -= 1
-    for shift, off in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if beg >> shift == end >> shift:
-            return off + (beg >> shift)
-    return 0
-
-
-_CODE = {c: i for i, c in enumerate(CODES)}
-_RMOVE = {"M": 1, "D": 1, "N": 1, "=": 1, "X": 1, "B": -1}
-
-
-def encode_record(r: dict) -> bytes:
-    """A record with its size prefix; the bin is worked out again."""
-    name = (r["qname"] or "").encode()
-    if not 1 <= len(name) <= 254:
-        raise ValueError("name length out of range")
-    cigar = r["cigar"] or []
-    if len(cigar) > 0xFFFF:
-        raise ValueError("too many operations")
-    seq = (r["seq"] or "").upper()
-    qual = r["qual"]
-    if qual and len(qual) != len(seq):
-        raise ValueError("sequence/quality length mismatch")
-    pos, flag = -1 if r["pos"] is None else r["pos"], r["flag"] or 0
-    at = top = pos
-    for o in cigar:
-        at += (o["len"] or 0) * _RMOVE.get(o["op"], 0)
-        top = max(top, at)
-    end = pos + 1 if flag & 4 or not cigar else top
-    b = 4680 if flag & 12 == 12 else _bin(pos, end) & 0xFFFF
-    codes = [_CODE.get(c, 15) for c in seq] + ([0] if len(seq) % 2 else [])
-    packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
-    q = bytes(qual) if qual else b"\xff" * len(seq)
-    out = [
-        _FIXED.pack(_or(r["ref_id"]), pos, len(name) + 1, r["mapq"] or 0, b, len(cigar), flag, len(seq), _or(r["mate_ref_id"]), _or(r["mate_pos"]), r["tlen"] or 0),
-        name, b"\0", struct.pack(f"<{len(cigar)}I", *[o["len"] << 4 | OPS.index(o["op"]) for o in cigar]), packed, q,
-    ]
-    for a in r["aux"] or []:
-        t = a["type"]
-        out.append(a["tag"].encode("latin-1") + t.encode())
-        if t in _INT:
-            out.append(struct.pack("<" + _INT[t], a["ival"]))
-        elif t == "f":
-            out.append(struct.pack("<f", a["fval"]))
-        elif t == "A":
-            out.append(a["sval"].encode("latin-1")[:1])
-        elif t == "Z":
-            out.append((a["sval"] or "").encode() + b"\0")
-        elif t == "H":
-            out.append((a["bval"] or b"").hex().upper().encode() + b"\0")
-        else:
-            v = a["farr"] if a["subtype"] == "f" else a["iarr"]
-            out.append(a["subtype"].encode() + struct.pack("<i", len(v)) + struct.pack(f"<{len(v)}{'f' if a['subtype'] == 'f' else _INT[a['subtype']]}", *v))
-    body = b"".join(out)
-    return struct.pack("<i", len(body)) + body
-
-
-def _or(v):
-    return -1 if v is None else v
-
-
 class Part(WriterCommitMessage):
     def __init__(self, index: int, path: str):
         self.index, self.path = index, path
 
 
 class PartsWriter(DataSourceArrowWriter):
-    """Every task writes a part into a hidden folder beside the target; the commit puts head, parts in partition order and tail together."""
+    """Option layout: with `folder` every task writes a complete file, which the commit only renames, so that no content passes through the driver; the readers
+    take such a folder as they take a file. With `file` (the default) every task writes a part into a hidden folder beside the target, and the commit
+    puts head, parts in partition order and tail together: all bytes pass through the driver, for those who need the one file."""
+
+    ending = ""
 
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.layout = options["path"], options.get("layout", "file")
+        if self.layout not in ("file", "folder"):
+            raise ValueError("layout is file or folder")
         self.parts = f"{self.path}.parts"
 
     def head(self) -> bytes:
@@ -441,15 +302,25 @@ class PartsWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         c = TaskContext.get()
-        path = f"{self.parts}/{c.partitionId():06d}-{c.taskAttemptId()}"
+        whole = self.layout == "folder"
+        path = f"{self.path if whole else self.parts}/_{c.partitionId():06d}-{c.taskAttemptId()}"
         with files.open_output(path) as out:
+            if whole:
+                out.write(self.head())
             self.encode(iterator, out)
+            if whole:
+                out.write(self.tail())
         return Part(c.partitionId(), path)
 
     def commit(self, messages: list[Part | None]) -> None:
+        done = sorted((m for m in messages if m), key=lambda m: m.index)
+        if self.layout == "folder":
+            for m in done:
+                files.move(m.path, f"{self.path}/part-{m.index:06d}{self.ending}")
+            return
         with files.open_output(self.path) as out:
             out.write(self.head())
-            for m in sorted((m for m in messages if m), key=lambda m: m.index):
+            for m in done:
                 with files.open_input(m.path) as f:
                     while chunk := f.read(8 << 20):
                         out.write(chunk)
@@ -457,6 +328,11 @@ class PartsWriter(DataSourceArrowWriter):
         self._clean()
 
     def abort(self, messages) -> None:
+        if self.layout == "folder":
+            for m in messages:
+                if m:
+                    files.delete_file(m.path)
+            return
         self._clean()
 
     def _clean(self) -> None:
@@ -467,6 +343,8 @@ class PartsWriter(DataSourceArrowWriter):
 
 
 class BamWriter(PartsWriter):
+    ending = ".bam"
+
     def __init__(self, options: dict):
         super().__init__(options)
         self.level, self.header = int(options.get("level", 6)), options["header"]
@@ -481,14 +359,15 @@ class BamWriter(PartsWriter):
     def encode(self, batches, out) -> None:
         w = bgzf.BlockWriter(out, self.level)
         for b in batches:
-            for r in b.to_pylist():
-                w.write(encode_record(r))
+            for i in range(0, b.num_rows, BATCH):
+                data, ends = columns.encode(b.slice(i, BATCH))
+                w.write_records(data, ends)
         w.flush()
 
 
 class Bam(DataSource):
     """spark.read.format("bam"): options path (file or folder), omit (none, aux, variable), chunks, splitBytes; with
-    .schema(some columns) nothing else is decoded. df.write.format("bam"): path, header, level."""
+    .schema(some columns) nothing else is decoded. df.write.format("bam"): path, header, level, layout."""
 
     @classmethod
     def name(cls) -> str:

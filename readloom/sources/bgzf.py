@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 from collections.abc import Iterator
@@ -74,6 +75,18 @@ class BlockWriter:
             self.out.write(deflate(bytes(self.buf[:MAX_RAW]), self.level))
             del self.buf[:MAX_RAW]
 
+    def write_records(self, data: bytes, ends: list[int]) -> None:
+        """Records that end at the given places of data, as if each was written alone."""
+        done, i = 0, 0
+        while i < len(ends):
+            j = bisect.bisect_right(ends, done + MAX_RAW - len(self.buf), i)
+            if j == i and self.buf:
+                self.flush()
+                continue
+            j = max(j, i + 1)
+            self.write(data[done : ends[j - 1]])
+            done, i = ends[j - 1], j
+
     def flush(self) -> None:
         if self.buf:
             self.out.write(deflate(bytes(self.buf), self.level))

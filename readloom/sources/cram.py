@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bz2
+import gzip
 import lzma
 import struct
 import zlib
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from readloom.functions.codecs import read_itf8, read_ltf8
+from readloom.functions.codecs import read_itf8, read_ltf8, write_itf8, write_ltf8
 from readloom.sources import files
 from readloom.sources.bgzf import FormatError
 
@@ -19,6 +20,8 @@ SCHEMA = (
 )
 #: Fixed value: the container that ends a complete file.
 EOF_CONTAINER = bytes.fromhex("0f000000ffffffff0fe0454f4600000000010005bdd94f0001000606010001000100ee63014b")
+#: What a file begins with: magic, version 3.0 and an empty name.
+FILE_HEAD = b"CRAM\x03\x00" + bytes(20)
 _METHODS = ("raw", "gzip", "bzip2", "lzma", "rans")
 
 
@@ -93,6 +96,26 @@ def expand(method: int, data: bytes, raw_size: int) -> bytes:
     return out
 
 
+def encode_container(blocks: list[tuple[int, int, int, bytes]], ref_id: int = -1, start: int = 0, span: int = 0, n_rec: int = 0, rec_count: int = 0, bases: int = 0) -> bytes:
+    """A container of blocks (method, type, content id, data), which are compressed here. The range coder is not implemented."""
+    body = bytearray()
+    for method, kind, content, data in blocks:
+        if method == 0:
+            stored = data
+        elif method == 1:
+            stored = gzip.compress(data, mtime=0)
+        elif method == 2:
+            stored = bz2.compress(data)
+        elif method == 3:
+            stored = lzma.compress(data)
+        else:
+            raise NotImplementedError(f"block method {method}")
+        one = bytes([method, kind]) + write_itf8(content) + write_itf8(len(stored)) + write_itf8(len(data)) + stored
+        body += one + struct.pack("<I", zlib.crc32(one))
+    head = struct.pack("<i", len(body)) + b"".join(write_itf8(x) for x in (ref_id, start, span, n_rec)) + write_ltf8(rec_count) + write_ltf8(bases) + write_itf8(len(blocks)) + write_itf8(0)
+    return head + struct.pack("<I", zlib.crc32(head)) + bytes(body)
+
+
 def header_text(data: bytes) -> str:
     """Header text of a block of type 0."""
     n = struct.unpack_from("<i", data)[0]

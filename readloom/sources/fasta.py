@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -144,8 +144,12 @@ def write_fai(fai: DataFrame, path: str) -> None:
 
 
 def byte_offset(pos, start, bases, size):
-    """Byte of base pos (columns or numbers)."""
-    return start + (pos - pos % bases) / bases * size + pos % bases
+    """Byte of base pos (columns or numbers), in whole numbers."""
+    if not any(isinstance(x, Column) for x in (pos, start, bases, size)):
+        return start + pos // bases * size + pos % bases
+    pos, start, bases, size = (x if isinstance(x, Column) else F.lit(x).cast("bigint") for x in (pos, start, bases, size))
+    # the division of whole numbers, which has no function of its own
+    return start + F.call_function("div", pos, bases) * size + pos % bases
 
 
 def read_ranges(requests: DataFrame, fai: DataFrame, path: str) -> DataFrame:
@@ -170,7 +174,7 @@ def read_ranges(requests: DataFrame, fai: DataFrame, path: str) -> DataFrame:
                         seqs.append(None)
                         errors.append("out of range")
                         continue
-                    at = lambda p: start + p // bases * size + p % bases  # noqa: B023, E731
+                    at = lambda p: byte_offset(p, start, bases, size)  # noqa: B023, E731
                     f.seek(at(beg) if beg < end else 0)
                     raw = f.read(at(end - 1) + 1 - at(beg)) if beg < end else b""
                     seqs.append(raw.replace(b"\n", b"").replace(b"\r", b"").decode())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from typing import BinaryIO
 
@@ -53,11 +54,31 @@ def size_of(path: str) -> int:
     return f.get_file_info(p).size
 
 
+def move(path: str, target: str) -> None:
+    """By name only where the store can."""
+    f, p = _at(path)
+    f.move(p, _at(target)[1])
+
+
+def delete_file(path: str) -> None:
+    f, p = _at(path)
+    f.delete_file(p)
+
+
 def delete_folder(path: str) -> None:
     f, p = _at(path)
     f.delete_dir(p)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of the session."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/readloom-{uuid.uuid4().hex}/{name}"
+    """A fresh path in the shared folder of the session; its folder is removed when the driver ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/readloom-{uuid.uuid4().hex}"
+    atexit.register(_forget, folder)
+    return f"{folder}/{name}"
+
+
+def _forget(folder: str) -> None:
+    try:
+        delete_folder(folder)
+    except OSError:
+        pass

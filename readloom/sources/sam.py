@@ -17,9 +17,9 @@ from readloom.sources.bam import PartsWriter
 
 
 def header_text(path: str) -> str:
-    """Leading `@` lines of a file. Only they are read."""
+    """Leading `@` lines of a file, of the first one of a folder. Only they are read."""
     out, rest = [], b""
-    with files.open_input(path) as f:
+    with files.open_input(files.list_files(path)[0]) as f:
         while chunk := f.read(1 << 16):
             lines = (rest + chunk).split(b"\n")
             rest = lines.pop()
@@ -74,12 +74,14 @@ def format_line(flag_style: str = "decimal") -> Column:
     return F.when(~F.coalesce(bad, F.lit(False)), F.concat(fixed, F.coalesce(tags, F.lit(""))))
 
 
-def write_sam(df: DataFrame, path: str, header: str, flag_style: str = "decimal") -> None:
-    """One text file: header, then the lines in the order of df's partitions."""
-    df.select(format_line(flag_style).alias("line")).write.format("sam_text").mode("append").option("path", path).option("header", header).save()
+def write_sam(df: DataFrame, path: str, header: str, flag_style: str = "decimal", layout: str = "file") -> None:
+    """One text file: header, then the lines in the order of df's partitions; or, with layout folder, such a file a partition."""
+    df.select(format_line(flag_style).alias("line")).write.format("sam_text").mode("append").option("path", path).option("header", header).option("layout", layout).save()
 
 
 class _TextWriter(PartsWriter):
+    ending = ".sam"
+
     def __init__(self, options: dict):
         super().__init__(options)
         self.text = options.get("header", "")
@@ -97,7 +99,7 @@ class _TextWriter(PartsWriter):
 
 
 class SamText(DataSource):
-    """df.write.format("sam_text"): a line column, options path and header."""
+    """df.write.format("sam_text"): a line column, options path, header and layout."""
 
     @classmethod
     def name(cls) -> str:

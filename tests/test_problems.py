@@ -308,6 +308,19 @@ def test_orphans(spark):
     assert orphans.find_orphans(r, p.limit(0)).count() == 13
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_orphans_beyond_broadcast(spark, monkeypatch, few):
+    """The bitmap of open pairs and the spread of hot ones give what the broadcast gives."""
+    monkeypatch.setattr(orphans, "PAIR_ROWS", 50)
+    monkeypatch.setattr(orphans, "FILTER_WORDS", 4)
+    r = spark.range(6000).select(F.lit("x").alias("tbl"), F.col("id").alias("row_id"), F.lit("f").alias("field"), F.lit("p").alias("target"), F.lit("").alias("scope"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 400).cast("string")).alias("key"), F.timestamp_seconds(F.col("id") * 3600).alias("t"))
+    p = spark.range(300).select(F.lit("p").alias("target"), F.lit("").alias("scope"), F.col("id").cast("string").alias("key"), F.timestamp_seconds(F.col("id") * 20_000).alias("loaded_at"), F.timestamp_seconds(F.col("id") * 50_000 + 900_000).alias("removed_at"))
+    got = orphans.find_orphans(r, p, few)
+    joined = r.join(p, ["target", "scope", "key"], "left").groupBy("row_id").agg(F.count("loaded_at").alias("n"), F.min(F.col("loaded_at") > F.col("t")).alias("late"), F.max((F.col("loaded_at") <= F.col("t")) & (F.col("removed_at") > F.col("t"))).alias("live"))
+    want = joined.where("NOT coalesce(live, false)").select("row_id", F.when(F.col("n") == 0, "missing").when(F.col("late"), "late").otherwise("deleted").alias("status"))
+    assert sorted(tuple(x) for x in got.select("row_id", "status").collect()) == sorted(tuple(x) for x in want.collect())
+
+
 def test_orphans_hot_key(spark):
     r = spark.range(4000).select(F.lit("x").alias("tbl"), F.col("id").alias("row_id"), F.lit("f").alias("field"), F.lit("p").alias("target"), F.lit("").alias("scope"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"), F.timestamp_seconds(F.col("id") * 3600).alias("t"))
     p = spark.createDataFrame([("p", "", "hot", dt.datetime(1970, 2, 1), None)], "target STRING, scope STRING, key STRING, loaded_at TIMESTAMP, removed_at TIMESTAMP")
@@ -331,6 +344,10 @@ def test_skew(spark):
     finally:
         skew.BROADCAST_ROWS = limit
     assert skew.aggregate_per_key(df.limit(0), ["k"], F.count("*").alias("n")).count() == 0
+    with pytest.raises(ValueError, match="no partial form"):
+        skew.aggregate_per_key(df, ["k"], F.collect_list("v").alias("x"))
+    lists = skew.aggregate_per_key(df, ["k"], F.collect_list("v").alias("x"), merge=[F.flatten(F.collect_list("x")).alias("x")])
+    assert {r["k"]: sorted(r["x"]) for r in lists.collect()} == {r["k"]: sorted(r["x"]) for r in df.groupBy("k").agg(F.collect_list("v").alias("x")).collect()}
 
 
 def test_dominant_keys(spark):

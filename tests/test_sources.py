@@ -1,15 +1,19 @@
 """Formats: golden bytes, splits, damaged input, headers."""
 
+import random
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from readloom.functions import tags as T
 from readloom.operators import header as H
 from readloom.operators import index as X
 from readloom.operators import merging as M
-from readloom.sources import bam, bgzf, cram, fasta, files, indexes, sam
+from readloom.sources import bam, bgzf, columns, cram, fasta, files, indexes, sam
 
 SAM = """@HD\tVN:1.5\tSO:coordinate
 @SQ\tSN:ref\tLN:45
@@ -93,6 +97,134 @@ def test_binary_split_without_start_is_an_error(spark, tmp_path, monkeypatch):
                 list(reader.read(parts[0]))
 
 
+def _random_records(seed, n):
+    """Records of every kind of content: odd names, no or many operations, every tag type, bytes that look like records in tags."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        seq = "".join(rnd.choice("=ACMGRSVTWYHKDBN") for _ in range(rnd.choice((0, 1, 2, 7, 50, 301))))
+        name = rnd.choice(("a b", "@x", "q", "n" * 254, "caf\u00e9", f"r{i}"))
+        fake = bytes(rnd.randrange(256) for _ in range(40)) + struct.pack("<iiiBBHHHiiii", 40, 0, 5, 2, 0, 0, 0, 0, 0, -1, -1, 0) + b"x\0"
+        aux = []
+        for _ in range(rnd.choice((0, 0, 1, 3, 9))):
+            t = rnd.choice("AcCsSiIfZHB")
+            a = dict.fromkeys(("tag", "type", "subtype", "sval", "ival", "fval", "iarr", "farr", "bval")) | {"tag": rnd.choice("XYZ") + rnd.choice("ab0"), "type": t}
+            low, high = {"c": (-128, 127), "C": (0, 255), "s": (-32768, 32767), "S": (0, 65535), "i": (-(2**31), 2**31 - 1), "I": (0, 2**32 - 1)}.get(t, (0, 0))
+            if t in "cCsSiI":
+                a["ival"] = rnd.choice((low, high, rnd.randint(low, high)))
+            elif t == "A":
+                a["sval"] = rnd.choice("!~x")
+            elif t == "f":
+                a["fval"] = struct.unpack("<f", struct.pack("<f", rnd.uniform(-9, 9)))[0]
+            elif t == "Z":
+                a["sval"] = rnd.choice(("", "text", "\u00fc mit Bl\u00e4nken", "y" * 700))
+            elif t == "H":
+                a["bval"] = rnd.choice((b"", b"\x1a\xe3", bytes(range(256))))
+            else:
+                sub = rnd.choice("cCsSiIf")
+                a["subtype"] = sub
+                if sub == "f":
+                    a["farr"] = [0.5 * x for x in range(rnd.randrange(4))]
+                elif sub == "C":
+                    a["iarr"] = list(fake)
+                else:
+                    a["iarr"] = [rnd.randrange(100) for _ in range(rnd.randrange(5))]
+            aux.append(a)
+        ops = [{"len": rnd.randrange(1 << rnd.randrange(1, 20)), "op": rnd.choice("MIDNSHP=XB")} for _ in range(rnd.choice((0, 1, 4, 30)))]
+        qual = [rnd.randrange(94) for _ in seq] if seq and rnd.random() < 0.7 else None
+        ref, pos = rnd.choice(((0, rnd.randrange(1 << 29)), (None, -1), (2, 0)))
+        out.append({"qname": name, "flag": rnd.randrange(4096), "ref_id": ref, "pos": pos, "mapq": rnd.randrange(256), "cigar": ops, "mate_ref_id": rnd.choice((None, 1)), "mate_pos": rnd.choice((-1, 77)), "tlen": rnd.randrange(-(2**31), 2**31), "seq": seq or None, "qual": qual, "aux": aux})
+    return out
+
+
+def _one_record(body):
+    """A record's body read field by field."""
+    ref, pos, n_name, mapq, _, n_ops, flag, n, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", body)
+    at = 32 + n_name
+    r = {"qname": body[32 : at - 1].decode(), "flag": flag, "ref_id": None if ref < 0 else ref, "pos": pos, "mapq": mapq, "mate_ref_id": None if mate < 0 else mate, "mate_pos": mate_pos, "tlen": tlen}
+    r["cigar"] = [{"len": p >> 4, "op": "MIDNSHP=XB"[p & 15]} for p in struct.unpack_from(f"<{n_ops}I", body, at)]
+    at += 4 * n_ops
+    r["seq"] = "".join("=ACMGRSVTWYHKDBN"[body[at + i // 2] >> (0 if i % 2 else 4) & 15] for i in range(n)) or None
+    at += (n + 1) // 2
+    r["qual"] = None if set(body[at : at + n]) <= {255} else list(body[at : at + n])
+    at, r["aux"] = at + n, []
+    while at < len(body):
+        a = dict.fromkeys(("tag", "type", "subtype", "sval", "ival", "fval", "iarr", "farr", "bval")) | {"tag": body[at : at + 2].decode(), "type": chr(body[at + 2])}
+        t, at = a["type"], at + 3
+        code = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+        if t in code:
+            a["fval" if t == "f" else "ival"] = struct.unpack_from("<" + code[t], body, at)[0]
+            at += struct.calcsize(code[t])
+        elif t == "A":
+            a["sval"], at = chr(body[at]), at + 1
+        elif t in "ZH":
+            end = body.index(0, at)
+            a["sval" if t == "Z" else "bval"] = body[at:end].decode() if t == "Z" else bytes.fromhex(body[at:end].decode())
+            at = end + 1
+        else:
+            sub, count = chr(body[at]), struct.unpack_from("<i", body, at + 1)[0]
+            a["subtype"], a["farr" if sub == "f" else "iarr"] = sub, list(struct.unpack_from(f"<{count}{code[sub]}", body, at + 5))
+            at += 5 + count * struct.calcsize(code[sub])
+        r["aux"].append(a)
+    return r
+
+
+_ARROW = pa.schema([(k, t) for k, t in (
+    ("qname", pa.string()), ("flag", pa.int32()), ("ref_id", pa.int32()), ("pos", pa.int64()), ("mapq", pa.int16()), ("cigar", columns._LISTS["cigar"]), ("mate_ref_id", pa.int32()), ("mate_pos", pa.int64()), ("tlen", pa.int32()),
+    ("seq", pa.string()), ("qual", columns._LISTS["qual"]), ("aux", columns._LISTS["aux"]),
+)])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_record_columns_against_field_by_field(seed):
+    want = _random_records(seed, 300)
+    for records in (want, want[:1], [r | {"aux": [], "cigar": [], "seq": None, "qual": None} for r in want[:5]], []):
+        data, ends = columns.encode(pa.RecordBatch.from_pylist(records, schema=_ARROW))
+        starts = np.array([4, *[e + 4 for e in ends[:-1]]][: len(ends)], np.int64)
+        sizes = np.array(ends, np.int64) - starts
+        bodies = [data[s : s + n] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        assert [_one_record(b) for b in bodies] == records
+        assert [struct.unpack_from("<i", data, s - 4)[0] for s in starts.tolist()] == sizes.tolist()
+        none = np.zeros(len(starts), np.int64)
+        got = columns.decode(np.frombuffer(data, np.uint8), starts, sizes, none, none, 0, ["a", "b", "c"], "none", _ARROW)
+        assert got.to_pylist() == records
+        for omit in ("aux", "variable"):
+            less = columns.decode(np.frombuffer(data, np.uint8), starts, sizes, none, none, 0, ["a", "b", "c"], omit, _ARROW).to_pylist()
+            gone = ("aux",) if omit == "aux" else ("aux", "seq", "qual")
+            assert less == [r | dict.fromkeys(gone) for r in records]
+
+
+def test_record_columns_refuse():
+    good = _random_records(3, 1)[0] | {"aux": [], "cigar": [], "seq": "AC", "qual": None}
+    tag = dict.fromkeys(("tag", "type", "subtype", "sval", "ival", "fval", "iarr", "farr", "bval")) | {"tag": "XX", "type": "c", "ival": 1}
+    for bad in ({"qname": None}, {"qname": ""}, {"qname": "x" * 255}, {"qual": [1]}, {"cigar": [{"len": 1, "op": "Q"}]}, {"cigar": [{"len": 1 << 28, "op": "M"}]}, {"pos": 1 << 31}, {"flag": 1 << 16},
+                {"aux": [tag | {"ival": 128}]}, {"aux": [tag | {"ival": None}]}, {"aux": [tag | {"type": "?"}]}, {"aux": [tag | {"tag": "XXX"}]}, {"aux": [tag | {"type": "A", "sval": ""}]}):
+        with pytest.raises(ValueError):
+            columns.encode(pa.RecordBatch.from_pylist([good | bad], schema=_ARROW))
+    data, ends = columns.encode(pa.RecordBatch.from_pylist([good | {"aux": [tag]}], schema=_ARROW))
+    for cut_ in (1, 2, 3):
+        with pytest.raises(bgzf.FormatError):
+            columns.decode(np.frombuffer(data, np.uint8), np.array([4]), np.array([ends[0] - 4 - cut_]), np.zeros(1), np.zeros(1), 0, ["a", "b", "c"], "none", _ARROW)
+
+
+@pytest.mark.parametrize(("split", "layout"), [(6000, "file"), (50_000, "folder"), (1 << 25, "file")])
+def test_every_split_gives_all_records(spark, tmp_path, split, layout):
+    records = _random_records(9, 800)
+    records[400]["aux"] = [dict.fromkeys(("tag", "type", "subtype", "sval", "ival", "fval", "iarr", "farr", "bval")) | {"tag": "XX", "type": "B", "subtype": "I", "iarr": [i * 7919 % (1 << 31) for i in range(90_000)]}]  # longer than a split
+    schema = StructType([f for f in StructType.fromDDL(bam.SCHEMA).fields if f.name in _ARROW.names])
+    df = spark.createDataFrame([tuple(r[k] if k != "aux" else [tuple(a.values()) for a in r[k]] for k in schema.names) for r in records], schema)
+    path, header = str(tmp_path / "x.bam"), "@HD\tVN:1.5\n" + "".join(f"@SQ\tSN:{x}\tLN:2000000000\n" for x in "abc")
+    df.withColumns({"rname": F.lit(None).cast("string"), "mate_rname": F.lit(None).cast("string")}).repartition(2).write.format("bam").mode("append").option("path", path).option("header", header).option("layout", layout).save()
+    names = files.list_files(path)
+    assert len(names) == (1 if layout == "file" else 2) and all(bgzf.has_eof(n) for n in names) and not (tmp_path / "x.bam.parts").exists()
+    got = spark.read.format("bam").option("path", path).option("splitBytes", split).load()
+    back = [r.asDict(True) for r in got.orderBy("_src_id", "_voff_begin").collect()]
+    key = lambda r: repr([r[k] for k in _ARROW.names])
+    assert sorted(map(key, back)) == sorted(map(key, records))
+    for a, b in zip(back, back[1:], strict=False):
+        assert a["_src_id"] != b["_src_id"] or a["_voff_end"] == b["_voff_begin"]
+
+
 @pytest.mark.parametrize("split", [700, 3000, 1 << 25])
 def test_binary_splits(spark, tmp_path, small, split):
     from readloom.plans import io
@@ -297,3 +429,96 @@ def test_streams(spark, tmp_path):
     lines = loading.stream_lines(spark, str(tmp_path / "in")).withColumn("id", F.lit(1).cast("bigint"))
     good, bad = loading.stream_records(lines, "id", "value")
     assert loading.run_once(good.select("qname", "pos")).count() == 6 and loading.run_once(bad).count() == 0
+
+
+def test_merged_references_keep_what_sources_know(spark):
+    schema = "_src_id INT, ref_id INT, sn STRING, ln INT, md5 BINARY, assembly STRING, species STRING, uri STRING, other_tags MAP<STRING, STRING>"
+    m = lambda c: bytes([c]) * 16
+    rows = [(1, 0, "a", 5, m(1), None, "s", None, None), (1, 1, "b", 6, None, "x", None, None, {"k": "v"}), (2, 0, "b", 6, None, "y", "t", None, None), (2, 1, "a", 5, None, "as", None, None, None), (3, 0, "a", 5, m(2), None, None, "u", None), (3, 1, "c", 9, None, None, None, None, {"z": "1"})]
+    merged, links = H.merge_references(spark.createDataFrame(rows, schema))
+    got = {r["sn"]: (r["new_id"], r["ln"], r["md5"] and bytes(r["md5"]), r["assembly"], r["species"], r["uri"], r["other_tags"]) for r in merged.collect()}
+    # what is alike changes nothing; what differs takes the place, with what was known beyond
+    assert got == {"a": (0, 5, m(2), None, "s", "u", None), "b": (1, 6, None, "y", "t", None, None), "c": (2, 9, None, None, None, None, {"z": "1"})}
+    assert sorted(tuple(r) for r in links.collect()) == [(1, 0, 0), (1, 1, 1), (2, 0, 1), (2, 1, 0), (3, 0, 0), (3, 1, 2)]
+    for bad in ((4, 0, "a", 7, None, None, None, None, None), (4, 0, "a", 5, m(9), None, None, None, {"q": "r"})):
+        with pytest.raises(Exception, match="different lengths or fields: a"):
+            H.merge_references(spark.createDataFrame([*rows, bad], schema))[0].collect()
+    groups = spark.createDataFrame([(1, "g"), (2, "h")], "_src_id INT, id STRING")
+    _, _, g, p = H.merge_headers(spark.createDataFrame(rows, schema), groups, groups.limit(0))
+    assert [r["id"] for r in g.collect()] == ["g"] and p.count() == 0
+
+
+def test_set_and_new_rows(spark):
+    t = spark.createDataFrame([("a", 5, None, {"XX": "1"}), ("b", 6, b"x" * 16, None)], "sn STRING, ln INT, md5 BINARY, other_tags MAP<STRING, STRING>")
+    some = lambda v: F.when(F.col("sn") == "a", F.lit(v))
+    assert [r["ln"] for r in H.set_tag(t, "SQ", "LN", some("77")).orderBy("sn").collect()] == [77, 6]
+    assert [r["other_tags"] for r in H.set_tag(t, "SQ", "XX", F.lit("")).orderBy("sn").collect()] == [{}, {}]
+    assert [r["other_tags"] for r in H.set_tag(t, "SQ", "YY", F.lit("2")).orderBy("sn").collect()] == [{"XX": "1", "YY": "2"}, {"YY": "2"}]
+    assert H.set_tag(t, "SQ", "M5", F.lit("0" * 32)).select(H.get_tag("SQ", "M5")).distinct().collect()[0][0] == "0" * 32
+    for tag, value, why in (("LN", "0", "bad LN"), ("LN", "x", "bad LN"), ("M5", "12", "bad M5"), ("SN", "", "keeps its name"), ("LN", "", "keeps its name")):
+        with pytest.raises(Exception, match=why):
+            H.set_tag(t, "SQ", tag, some(value)).collect()
+    new = H.new_rows(t.withColumn("place", F.lit(9) - F.col("ln")), "SQ", "place").collect()
+    assert [(r["ref_id"], r["sn"], r["species"]) for r in new] == [(0, "b", None), (1, "a", None)]
+    with pytest.raises(Exception, match="length out of range: a"):
+        H.new_rows(t.withColumn("ln", F.when(F.col("sn") == "a", 0).otherwise(F.col("ln"))), "SQ", "sn").collect()
+    with pytest.raises(Exception, match="name taken: b"):
+        H.add_rows(t.select(F.lit(0).alias("ref_id"), "sn"), spark.createDataFrame([(1, "b"), (2, "c")], "ref_id INT, sn STRING"), "ref_id", "sn", strict=True).collect()
+    with pytest.raises(Exception, match="_src_id 4: line 1"):
+        H.parse_headers(spark.createDataFrame([(3, "@RG\tID:x\tPI:7"), (4, "@RG\tPI:7")], "_src_id INT, text STRING"), "RG").collect()
+
+
+def test_new_aux_types(spark):
+    one = spark.range(1)
+    value = lambda *a, **k: one.select(T.format_aux(T.new_aux("XT", *a, **k))).head()[0]
+    got = [value(*x) for x in (("A", F.lit("q")), ("c", F.lit(-128)), ("C", F.lit(255)), ("s", F.lit(-32768)), ("S", F.lit(65535)), ("i", F.lit(-(1 << 31))), ("I", F.lit((1 << 32) - 1)), ("f", F.lit(1.5)), ("Z", F.lit("")), ("H", F.lit(b"\x1a\xe3")))]
+    assert got == ["XT:A:q", "XT:i:-128", "XT:i:255", "XT:i:-32768", "XT:i:65535", "XT:i:-2147483648", "XT:i:4294967295", "XT:f:1.5", "XT:Z:", "XT:H:1AE3"]
+    assert value("B", F.array(F.lit(-1), F.lit(7)), "c") == "XT:B:c,-1,7" and value("B", F.array(F.lit(0.5)), "f") == "XT:B:f,0.5"
+    kind = lambda t, v: one.select(T.new_aux("XT", t, F.lit(v))["type"]).head()[0]
+    assert [kind("int", v) for v in (0, 127, 128, -129, 40_000, 1 << 31)] == ["c", "c", "s", "s", "i", None] and [kind("uint", v) for v in (0, 255, 256, 70_000, -1, 1 << 32)] == ["C", "C", "S", "I", None, None]
+    assert [one.select(T.new_aux("XT", *x)).head()[0] for x in (("c", F.lit(128)), ("A", F.lit("ab")), ("Z", F.lit("a\tb")), ("B", F.array(F.lit(300)), "C"), ("B", F.expr("CAST(array() AS ARRAY<INT>)"), "C"), ("f", F.lit(None)))] == [None] * 6
+    with pytest.raises(ValueError):
+        T.new_aux("XT", "Q", F.lit(1))
+
+
+def test_index_of_long_records_and_many_regions(spark):
+    big = 10**12
+    r = spark.createDataFrame([(1, 5, big, 10, 20), (1, 40_000, 40_001, 30, 40), (1, 3_000_000, 9_000_000, 25, 30), (2, (1 << 29) + 5, (1 << 29) + 9, 1, 2)], "ref_id INT, beg LONG, end LONG, _voff_begin LONG, _voff_end LONG")
+    linear = X.build_linear(r, ["ref_id"], F.col("beg"), F.col("end"))
+    tiles = {(t["ref_id"], t["tile"]): t["voff"] for t in linear.collect()}
+    assert len(tiles) == X.TILES and set(tiles.values()) == {10} and {k[0] for k in tiles} == {1}
+    short = r.where("end < 10000000")
+    tiles = {t["tile"]: t["voff"] for t in X.build_linear(short, ["ref_id"], F.col("beg"), F.col("end")).collect()}
+    assert tiles == {2: 30} | {t: 25 for t in range(3_000_000 >> 14, (8_999_999 >> 14) + 1)}
+    rnd = random.Random(4)
+    known = {t: rnd.randrange(1000) for t in rnd.sample(range(X.TILES), 3000)}
+    linear = spark.createDataFrame([(1, t, v) for t, v in known.items()], "ref_id INT, tile LONG, voff LONG")
+    asked = [(i, 1, b, min(b + rnd.choice((1, 20_000, 5_000_000, 1 << 29)), 1 << 29)) for i in range(100_000) for b in (rnd.randrange(1 << 29),)]
+    floors = {f["region_id"]: f["floor"] for f in X.first_offsets(spark.createDataFrame(asked, "region_id LONG, ref_id INT, beg LONG, end LONG"), linear, ["ref_id"]).collect()}
+    for i, _, b, e in asked[:2000]:
+        assert floors.get(i) == min((v for t, v in known.items() if b >> 14 <= t <= (e - 1) >> 14), default=None)
+
+
+def test_strict_lookup(spark):
+    bins = spark.createDataFrame([("a", 4681, 10, 20, 10)], "name STRING, bin LONG, chunk_begin LONG, chunk_end LONG, left_voff LONG")
+    region = lambda n, b: spark.createDataFrame([(1, n, b, b + 5)], "region_id LONG, name STRING, beg LONG, end LONG")
+    assert X.lookup(region("a", 3), bins, None, ["name"], strict=True).count() == 1 and X.lookup(region("x", 3), bins, None, ["name"]).count() == 0
+    for n, b, why in (("x", 3, "unknown reference: x"), ("a", 1 << 29, "past the index: a")):
+        with pytest.raises(Exception, match=why):
+            X.lookup(region(n, b), bins, None, ["name"], strict=True).collect()
+
+
+def test_checkpoint_folder_of_a_cluster_is_given():
+    from readloom.session import checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session)
