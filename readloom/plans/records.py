@@ -495,8 +495,8 @@ _RG_COLUMNS = ["rg_id", "id", "center", "description", "date", "flow_order", "ke
 _PG_COLUMNS = ["pg_id", "uid", "name", "command", "previous", "version"]
 for _q, _k, _n, _t, _c in (("hdr03_read_groups", "RG", "id", "read_groups", _RG_COLUMNS), ("hdr04_programs", "PG", "uid", "programs", _PG_COLUMNS)):
     QUERIES[_q] = _parsed(_k, _n, _t, _c)
-    _cols = ", ".join(c if c in (_n, "insert_size") else f"nullif({c}, '') AS {c}" for c in _c[1:])
-    SQL[_q] = f"SELECT _src_id, (row_number() OVER (PARTITION BY _src_id ORDER BY {_n}) - 1)::INT AS {_c[0]}, {_cols}, coalesce(cardinality(other_tags), 0)::INT AS n_other FROM (SELECT *, row_number() OVER (PARTITION BY _src_id, {_n} ORDER BY row_id) AS i FROM {_t} WHERE {_n} <> '') WHERE i = 1"
+    _values = ", ".join(c if c in (_n, "insert_size") else f"nullif({c}, '') AS {c}" for c in _c[1:])
+    SQL[_q] = f"SELECT _src_id, (row_number() OVER (PARTITION BY _src_id ORDER BY {_n}) - 1)::INT AS {_c[0]}, {_values}, coalesce(cardinality(other_tags), 0)::INT AS n_other FROM (SELECT *, row_number() OVER (PARTITION BY _src_id, {_n} ORDER BY row_id) AS i FROM {_t} WHERE {_n} <> '') WHERE i = 1"
 
 QUERIES["hdr13_merge"] = lambda s, d: _links(s, d)[1]
 SQL["hdr13_merge"] = f"WITH {_LINKS} SELECT * FROM links"
