@@ -117,15 +117,43 @@ def lookup(
     return merge(hit, ["region_id"])
 
 
+#: Tiles of an interval up to which both sides are cut into them; with longer intervals about, they are laid out by nodes.
+FEW_TILES = 64
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], width: int | None = None) -> DataFrame:
-    """Pairs of left [beg, end) and right [rbeg, rend) that overlap and agree on the keys. left: on, beg, end; right: on, rbeg, rend.
+    """Pairs of left [beg, end) and right [rbeg, rend) that overlap and agree on the keys. left: on, beg, end; right: on, rbeg, rend; other names must differ.
 
     Without width an equi-join with a range condition, best while a key has few rows. With width both sides are cut into tiles of it and joined on (keys, tile),
-    so a hot key is spread; a pair is kept by the tile in which the later beginning lies, so it comes out once."""
+    so a hot key is spread; a pair is kept by the tile in which the later beginning lies, so it comes out once. In pairs with an interval of more than
+    FEW_TILES tiles, each is laid out as the few nodes of tiles that make it up, and meets the other's beginnings by (keys, node): a pair overlaps if one
+    begins within the other. Rows and arrays then grow with the logarithm of a length only. Empty intervals and null ends meet nothing."""
     meets = (F.col("beg") < F.col("rend")) & (F.col("rbeg") < F.col("end"))
     if width is None:
         return left.join(right, on).where(meets)
-    tiles = lambda b, e: F.explode(F.sequence(F.expr(f"{b} div {width}L"), F.expr(f"({e} - 1) div {width}L")))
-    a = left.where("end > beg").withColumn("__tile", tiles("beg", "end"))
-    b = right.where("rend > rbeg").withColumn("__tile", tiles("rbeg", "rend"))
-    return a.join(b, [*on, "__tile"]).where(meets & (F.col("__tile") == F.expr(f"greatest(beg, rbeg) div {width}L"))).drop("__tile")
+    tile_sql = lambda c: f"(({c} - pmod({c}, {width}L)) div {width}L)"
+    tile = lambda c: F.expr(tile_sql(c))
+    a, b = left.where("end > beg"), right.where("rend > rbeg")
+    spans = [(tile(f"({e} - 1)") - tile(x)) for x, e in (("beg", "end"), ("rbeg", "rend"))]
+    most = max(df.agg(F.max(n).alias("n")).head()["n"] or 0 for df, n in zip((a, b), spans, strict=True))
+    columns = [*on, *[c for c in left.columns if c not in on], *[c for c in right.columns if c not in on]]
+    tiles = lambda x, e: F.explode(F.sequence(tile(x), tile(f"({e} - 1)")))
+    short_a, short_b = a.where(spans[0] < FEW_TILES), b.where(spans[1] < FEW_TILES)
+    short = short_a.withColumn("__tile", tiles("beg", "end")).join(short_b.withColumn("__tile", tiles("rbeg", "rend")), [*on, "__tile"])
+    short = short.where(meets & (F.col("__tile") == tile("greatest(beg, rbeg)"))).select(*columns)
+    if most < FEW_TILES:
+        return short
+    levels = 1 + len(range(0, most.bit_length(), B.NODE_BITS))
+
+    def holding(outer: DataFrame, x: str, e: str, inner: DataFrame, at: str) -> DataFrame:
+        """Pairs whose inner interval begins at a tile of the outer one."""
+        nodes = outer.withColumn("__n", F.explode(B.tile_nodes(tile(x), tile(f"({e} - 1)"), levels)))
+        above = inner.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("__node", F.expr(f"shiftright({tile_sql(at)}, {B.NODE_BITS} * __level)"))
+        keyed = nodes.withColumn("__level", F.col("__n.level")).withColumn("__node", F.col("__n.node")).drop("__n")
+        return keyed.join(above, [*on, "__level", "__node"]).drop("__level", "__node")
+
+    def by_node(x: DataFrame, y: DataFrame) -> DataFrame:
+        one = holding(y, "rbeg", "rend", x, "beg").where(meets & (F.col("beg") >= F.col("rbeg"))).select(*columns)
+        return one.unionByName(holding(x, "beg", "end", y, "rbeg").where(meets & (F.col("beg") < F.col("rbeg"))).select(*columns))
+
+    return short.unionByName(by_node(a.where(spans[0] >= FEW_TILES), b)).unionByName(by_node(short_a, b.where(spans[1] >= FEW_TILES)))

@@ -522,3 +522,14 @@ def test_checkpoint_folder_of_a_cluster_is_given():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_dir(Session)
+
+
+@pytest.mark.parametrize("longest", [50, 5 * 10**12])
+def test_interval_join_of_long_intervals(spark, longest):
+    rnd = random.Random(longest)
+    make = lambda n: [(rnd.choice(("x", "y", None)), b, b + rnd.choice((0, 1, 7, 40, rnd.randrange(1, longest)))) for b in (rnd.choice((rnd.randrange(-300, 300), rnd.randrange(-300, 2000), rnd.randrange(1 << 40))) for _ in range(n))]
+    a, b = [(*r, i) for i, r in enumerate(make(150) + [("x", 3, None), ("y", 5, 5)])], [(*r, i) for i, r in enumerate(make(120) + [("x", 0, longest)] * 2)]
+    left, right = spark.createDataFrame(a, "k STRING, beg LONG, end LONG, i LONG"), spark.createDataFrame(b, "k STRING, rbeg LONG, rend LONG, j LONG")
+    want = sorted((x[3], y[3]) for x in a for y in b if x[0] is not None and x[0] == y[0] and x[2] is not None and x[1] < x[2] and y[1] < y[2] and x[1] < y[2] and y[1] < x[2])
+    got = X.interval_join(left, right, ["k"], 16)
+    assert got.columns == ["k", "beg", "end", "i", "rbeg", "rend", "j"] and sorted((r["i"], r["j"]) for r in got.collect()) == want and len(want) > 10
