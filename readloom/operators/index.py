@@ -72,16 +72,13 @@ TILES = (B.MAX_POS >> B.TILE_SHIFT) + 1
 def build_linear(records: DataFrame, keys: list[str], beg: Column, end: Column) -> DataFrame:
     """keys, tile, voff: the least offset of a record that overlaps the 16 kb tile.
 
-    Positions beyond the index (over 2^29 - 2) have no tile. A record is laid out as the few nodes that make up its tiles, and nodes are opened into tiles
-    once their offsets are combined, so neither rows nor arrays grow with the length of a record."""
+    Positions beyond the index (over 2^29 - 2) have no tile. A record is cut at blocks of 512 tiles, of which the index has 64; stretches of tiles are opened
+    once their offsets are combined. So a record has 64 rows at most, however long it is, and a short one has one."""
     first, last = F.shiftright(beg.cast("bigint"), B.TILE_SHIFT), F.shiftright(F.greatest(beg.cast("bigint"), end.cast("bigint") - 1), B.TILE_SHIFT)
-    short = last - first < 2
-    span = F.when(short, F.transform(F.sequence(first, F.when(short, last).otherwise(first)), lambda t: F.struct(F.lit(0).alias("level"), t.alias("node"))))
-    nodes = records.select(*keys, F.explode(span.otherwise(B.tile_nodes(first, F.least(last, F.lit(TILES - 1))))).alias("x"), "_voff_begin")
-    nodes = nodes.groupBy(*keys, "x.level", "x.node").agg(F.min("_voff_begin").alias("voff"))
-    low, wide = F.expr("shiftleft(node, 3 * level)"), F.expr("shiftleft(1L, 3 * level)")
-    tiles = nodes.select(*keys, F.explode(F.sequence(low, low + wide - 1)).alias("tile"), "voff").where(F.col("tile") < TILES)
-    return tiles.groupBy(*keys, "tile").agg(F.min("voff").alias("voff"))
+    ends = records.select(*keys, first.alias("__a"), F.least(last, F.lit(TILES - 1)).alias("__b"), "_voff_begin").where("__a <= __b")
+    block = ends.select("*", F.explode(F.expr("sequence(__a div 512, __b div 512)")).alias("__k"))
+    runs = block.groupBy(*keys, F.expr("greatest(__a, __k * 512)").alias("__a"), F.expr("least(__b, __k * 512 + 511)").alias("__b")).agg(F.min("_voff_begin").alias("voff"))
+    return runs.select(*keys, F.explode(F.sequence("__a", "__b")).alias("tile"), "voff").groupBy(*keys, "tile").agg(F.min("voff").alias("voff"))
 
 
 def first_offsets(regions: DataFrame, linear: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,7 +94,7 @@ def first_offsets(regions: DataFrame, linear: DataFrame, keys: list[str]) -> Dat
 def lookup(
     regions: DataFrame, bins: DataFrame, linear: DataFrame | None, keys: list[str], merge: Strategy = adjacent, min_shift: int = B.TILE_SHIFT, depth: int = B.DEPTH, strict: bool = False,
 ) -> DataFrame:
-    """region_id, chunk_begin, chunk_end: the chunks that may hold records meeting each region (a superset), merged by the strategy.
+    """region_id, keys, chunk_begin, chunk_end: the chunks that may hold records meeting each region (a superset), merged by the strategy.
 
     regions: region_id, keys, beg, end. With linear tiles a chunk must end after the least offset of the tiles that the region meets; without, after the
     bin's left offset. Regions without chunks, past the index or on unknown keys have no row; with strict the latter two raise when computed. The joins are
@@ -114,7 +111,7 @@ def lookup(
         hit = hit.where("chunk_end > left_voff")
     else:
         hit = hit.join(first_offsets(regions, linear, keys), "region_id").where("chunk_end > floor")
-    return merge(hit, ["region_id"])
+    return merge(hit, ["region_id", *keys])
 
 
 #: Tiles of an interval up to which both sides are cut into them; with longer intervals about, they are laid out by nodes.

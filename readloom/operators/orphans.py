@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from readloom.session import SMALL_ROWS, cut
 
-#: Key ranges of the dictionary; a range is numbered by one task and may hold any number of keys.
-KEY_RANGES = 256
+#: Key ranges of the dictionary a shuffle partition, so that they grow with the cluster; a range is numbered by one task and may hold any number of keys.
+KEY_RANGES = 16
 #: Referring rows of one surviving (key, period) that go to one task; more are spread.
 PAIR_ROWS = 100_000
 #: 64-bit words of the bitmap of open pairs: 16 million bits, 2 MB of them.
@@ -52,9 +52,10 @@ def find_orphans(refs: DataFrame, parents: DataFrame, few: int = SMALL_ROWS) ->
     broadcast.
     """
     key = ["target", "scope", "key"]
+    ranges = KEY_RANGES * int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = refs.where("key IS NOT NULL").select("tbl", "row_id", "field", "target", F.coalesce("scope", F.lit("?")).alias("scope"), "key", "t", F.coalesce(month_of(F.col("t")), F.lit("")).alias("period"))
     pairs = r.groupBy(*key, "period").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("rows"))
-    numbered = pairs.withColumn("range", F.pmod(F.xxhash64(*key), F.lit(KEY_RANGES)).cast("int")).withColumn(
+    numbered = pairs.withColumn("range", F.pmod(F.xxhash64(*key), F.lit(ranges)).cast("int")).withColumn(
         "n", (F.dense_rank().over(Window.partitionBy("target", "range").orderBy("scope", "key")) - 1).cast("bigint")
     )
     dictionary = cut(numbered)

@@ -142,21 +142,23 @@ for _n, _k in (("src14_bai_round_trip", "bai"), ("src15_csi_round_trip", "csi"),
     SQL[_n] = _INDEX_SQL + ("" if _k == "csi" else _TILE_SQL)
 
 
-def snk02_sam_lines(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "alignments").where("NOT exists(coalesce(aux, array()), x -> x.type = 'f' OR coalesce(x.subtype, '') = 'f')").select("row_id", sam.format_line().alias("line"))
+def sam_texts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "alignments").select("row_id", sam.format_line().alias("line"))
 
 
-SQL["snk02_sam_lines"] = f"""SELECT row_id, CASE WHEN coalesce(len(qual), 0) = 0 OR len(qual) = coalesce(length(seq), 0) THEN concat_ws(chr(9), coalesce(qname, '*'), coalesce(flag, 0)::VARCHAR, coalesce(rname, '*'), (coalesce(pos, -1) + 1)::VARCHAR, coalesce(mapq, 0)::VARCHAR,
-  CASE WHEN coalesce(len(cigar), 0) = 0 THEN '*' ELSE array_to_string(list_transform(cigar, lambda x: x.len::VARCHAR || x.op), '') END, CASE WHEN mate_rname IS NULL THEN '*' WHEN mate_rname = rname THEN '=' ELSE mate_rname END,
-  (coalesce(mate_pos, -1) + 1)::VARCHAR, coalesce(tlen, 0)::VARCHAR, CASE WHEN coalesce(length(seq), 0) = 0 THEN '*' ELSE seq END,
-  CASE WHEN qual IS NULL OR len(qual) = 0 OR list_min(qual) = 255 THEN '*' ELSE array_to_string(list_transform(qual, lambda q: chr((q + 33)::INT)), '') END)
-  || coalesce(array_to_string(list_transform(aux, lambda x: chr(9) || {_AUX1}), ''), '') END AS line
-  FROM alignments WHERE NOT coalesce(list_bool_or(list_transform(aux, lambda x: x.type = 'f' OR coalesce(x.subtype, '') = 'f')), FALSE)"""
+def snk02_sam_lines(s: SparkSession, d: str) -> DataFrame:
+    """The line of every alignment. Engines write floats differently, so float fields are cut out of the line, and their values compared as the numbers they are read as."""
+    t = sam_texts(s, d).withColumn("real", F.regexp_extract_all("line", F.lit(r"\t[A-Za-z][A-Za-z0-9]:(?:f:|B:f,)([^\t]*)"), F.lit(1)))
+    numbers = F.flatten(F.transform("real", lambda v: F.transform(F.split(v, ","), lambda x: x.try_cast("float").cast("double"))))
+    return t.select("row_id", F.regexp_replace("line", r"\t[A-Za-z][A-Za-z0-9]:(?:f:|B:f)[^\t]*", "").alias("line"), *[f(numbers).alias(n) for n, f in (("low", F.array_min), ("high", F.array_max))], F.size(F.filter(numbers, lambda v: v.isNotNull())).alias("n"))
 
 
-def snk02_sam_lines_all(s: SparkSession, d: str) -> DataFrame:
-    """The line of every alignment, float fields and all; float text differs between engines, so it has no SQL."""
-    return table(s, d, "alignments").select("row_id", sam.format_line().alias("line"))
+SQL["snk02_sam_lines"] = f"""SELECT row_id, CASE WHEN fits THEN concat_ws(chr(9), coalesce(qname, '*'), coalesce(flag, 0)::VARCHAR, coalesce(rname, '*'), (coalesce(pos, -1) + 1)::VARCHAR, coalesce(mapq, 0)::VARCHAR,
+  {_CIGAR1}, CASE WHEN mate_rname IS NULL THEN '*' WHEN mate_rname = rname THEN '=' ELSE mate_rname END,
+  (coalesce(mate_pos, -1) + 1)::VARCHAR, coalesce(tlen, 0)::VARCHAR, CASE WHEN coalesce(length(seq), 0) = 0 THEN '*' ELSE seq END, {_QUAL1})
+  || coalesce(array_to_string(list_transform(list_filter(aux, lambda x: x.type <> 'f' AND coalesce(x.subtype, '') <> 'f'), lambda x: chr(9) || {_AUX1}), ''), '') END AS line,
+  CASE WHEN fits THEN list_min({_REALS1})::DOUBLE END AS low, CASE WHEN fits THEN list_max({_REALS1})::DOUBLE END AS high, CASE WHEN fits THEN len({_REALS1})::INT END AS n
+  FROM (SELECT *, coalesce(len(qual), 0) = 0 OR len(qual) = coalesce(length(seq), 0) AS fits FROM alignments)"""
 
 
 def src01_sam_scan(s: SparkSession, d: str) -> DataFrame:
@@ -383,5 +385,5 @@ def stm03_first_deliveries(s: SparkSession, d: str) -> DataFrame:
 SQL["stm03_first_deliveries"] = "SELECT DISTINCT _src_id, _src_ord FROM alignments WHERE loaded_at IS NOT NULL"
 
 for _f in (src01_sam_scan, src02_inferred_references, src03_sam_decode, src04_bam_round_trip, src06_bam_omit, src07_region_scan, src10_cram_blocks, src11_eof_block, src20_line_offsets, stm03_first_deliveries, src12_fai_build, src13_fai_read, src18_fasta_ranges, src19_bgzf_lines,
-           src21_has_eof, snk02_sam_lines, snk02_sam_lines_all, snk04_header_text, stm01_windowed_counts, stm02_stream_rejects):
+           src21_has_eof, snk02_sam_lines, snk04_header_text, stm01_windowed_counts, stm02_stream_rejects):
     QUERIES[_f.__name__] = _f

@@ -139,11 +139,11 @@ per_row("seq04_qual", "SELECT row_id, CASE WHEN qual IS NULL OR len(qual) = 0 OR
 _AUXTEXT = """x.tag || ':' || CASE WHEN x.type IN ('c','C','s','S','i','I') THEN 'i' ELSE x.type END || ':' || coalesce(CASE WHEN x.type IN ('c','C','s','S','i','I') THEN x.ival::VARCHAR
   WHEN x.type = 'H' THEN hex(x.bval) WHEN x.type = 'B' THEN x.subtype || coalesce(array_to_string(list_transform(x.iarr, lambda v: ',' || v::VARCHAR), ''), '') ELSE x.sval END, '')"""
 _AUXROWS = "(SELECT row_id, unnest(aux) AS x, unnest(range(1, len(aux) + 1)) AS i FROM alignments)"
-QUERIES["aux01_parse"] = lambda s, d: (
-    aln(s, d).select("row_id", F.posexplode("aux").alias("i", "x")).where("x.type <> 'f' AND coalesce(x.subtype, '') <> 'f'").select("row_id", (F.col("i") + 1).cast("bigint").alias("i"), T.parse_aux(T.format_aux(F.col("x"))).alias("p")).select("row_id", "i", "p.tag", "p.type", "p.ival")
-)
+_ELEMENTS = lambda s, d: aln(s, d).select("row_id", F.posexplode("aux").alias("i", "x")).withColumn("i", (F.col("i") + 1).cast("bigint"))
+QUERIES["aux01_parse"] = lambda s, d: _ELEMENTS(s, d).select("row_id", "i", T.parse_aux(T.format_aux(F.col("x"))).alias("p")).select("row_id", "i", "p.tag", "p.type", "p.subtype", "p.ival", "p.fval", "p.iarr", "p.farr")
 SQL["aux01_parse"] = f"""SELECT row_id, i, x.tag AS tag, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN CASE WHEN x.ival BETWEEN 0 AND 255 THEN 'C' WHEN x.ival BETWEEN 0 AND 65535 THEN 'S' WHEN x.ival >= 0 THEN 'I'
-  WHEN x.ival >= -128 THEN 'c' WHEN x.ival >= -32768 THEN 's' ELSE 'i' END ELSE x.type END AS type, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN x.ival END AS ival FROM {_AUXROWS} WHERE x.type <> 'f' AND coalesce(x.subtype, '') <> 'f'"""
+  WHEN x.ival >= -128 THEN 'c' WHEN x.ival >= -32768 THEN 's' ELSE 'i' END ELSE x.type END AS type, x.subtype AS subtype, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN x.ival END AS ival,
+  CASE WHEN x.type = 'f' THEN x.fval END AS fval, CASE WHEN x.type = 'B' AND x.subtype <> 'f' THEN x.iarr END AS iarr, CASE WHEN x.type = 'B' AND x.subtype = 'f' THEN x.farr END AS farr FROM {_AUXROWS}"""
 per_row("aux02_new_int", "SELECT row_id, CASE WHEN tlen BETWEEN 0 AND 255 THEN 'C' WHEN tlen BETWEEN 0 AND 65535 THEN 'S' WHEN tlen >= 0 THEN 'I' WHEN tlen >= -128 THEN 'c' WHEN tlen >= -32768 THEN 's' WHEN tlen IS NOT NULL THEN 'i' END AS type FROM alignments",
         type=lambda: T.new_int_aux("XT", F.col("tlen"))["type"])
 _TYPED = {"c": (-128, 127), "C": (0, 255), "s": (-32768, 32767), "S": (0, 65535), "i": (-(2**31), 2**31 - 1), "I": (0, 2**32 - 1)}
@@ -157,16 +157,24 @@ per_row(
 )
 QUERIES["aux03_kinds"] = lambda s, d: aln(s, d).select(F.explode("aux").alias("x")).groupBy(F.col("x.tag").alias("tag"), T.kind(F.col("x.type")).alias("kind")).agg(F.count("*").alias("n"))
 SQL["aux03_kinds"] = "SELECT x.tag AS tag, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN 'i' ELSE x.type END AS kind, count(*) AS n FROM (SELECT unnest(aux) AS x FROM alignments) GROUP BY 1, 2"
-QUERIES["aux04_format"] = lambda s, d: aln(s, d).select("row_id", F.posexplode("aux").alias("i", "x")).where("x.type <> 'f' AND coalesce(x.subtype, '') <> 'f'").select("row_id", (F.col("i") + 1).cast("bigint").alias("i"), T.format_aux(F.col("x")).alias("text"))
-SQL["aux04_format"] = f"SELECT row_id, i, {_AUXTEXT} AS text FROM {_AUXROWS} WHERE x.type <> 'f' AND coalesce(x.subtype, '') <> 'f'"
+# engines write floats differently, so the text of a float field is compared up to its values, and the values as the numbers they are read as
+_REAL = "(x.type = 'f' OR coalesce(x.subtype, '') = 'f')"
+_VALUES = lambda text: F.split(F.regexp_extract(text, r"^..:(?:f:|B:f,)(.*)$", 1), ",")
 
-# the whole job, float fields with all others; the two queries above leave them out, as their SQL does. Float text differs between engines, so aux04 has no SQL here
-_ELEMENTS = lambda s, d: aln(s, d).select("row_id", F.posexplode("aux").alias("i", "x")).withColumn("i", (F.col("i") + 1).cast("bigint"))
-QUERIES["aux01_parse_all"] = lambda s, d: _ELEMENTS(s, d).select("row_id", "i", T.parse_aux(T.format_aux(F.col("x"))).alias("p")).select("row_id", "i", "p.tag", "p.type", "p.subtype", "p.ival", "p.fval", "p.iarr", "p.farr")
-SQL["aux01_parse_all"] = f"""SELECT row_id, i, x.tag AS tag, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN CASE WHEN x.ival BETWEEN 0 AND 255 THEN 'C' WHEN x.ival BETWEEN 0 AND 65535 THEN 'S' WHEN x.ival >= 0 THEN 'I'
-  WHEN x.ival >= -128 THEN 'c' WHEN x.ival >= -32768 THEN 's' ELSE 'i' END ELSE x.type END AS type, x.subtype AS subtype, CASE WHEN x.type IN ('c','C','s','S','i','I') THEN x.ival END AS ival,
-  CASE WHEN x.type = 'f' THEN x.fval END AS fval, CASE WHEN x.type = 'B' AND x.subtype <> 'f' THEN x.iarr END AS iarr, CASE WHEN x.type = 'B' AND x.subtype = 'f' THEN x.farr END AS farr FROM {_AUXROWS}"""
-QUERIES["aux04_format_all"] = lambda s, d: _ELEMENTS(s, d).select("row_id", "i", T.format_aux(F.col("x")).alias("text"))
+
+def aux_texts(s: SparkSession, d: str) -> DataFrame:
+    return _ELEMENTS(s, d).select("row_id", "i", T.format_aux(F.col("x")).alias("text"))
+
+
+def _aux_format(s: SparkSession, d: str) -> DataFrame:
+    numbers = F.transform(_VALUES(F.col("text")), lambda v: v.try_cast("float").cast("double"))
+    t = aux_texts(s, d).withColumn("real", F.col("text").rlike("^..:(f:|B:f)"))
+    return t.select("row_id", "i", F.when(F.col("real"), F.regexp_extract("text", "^(..:(?:f|B:f)).*$", 1)).otherwise(F.col("text")).alias("text"), F.when(F.col("real"), F.array_min(numbers)).alias("low"), F.when(F.col("real"), F.array_max(numbers)).alias("high"), F.when(F.col("real"), F.size(F.filter(numbers, lambda v: v.isNotNull()))).alias("n"))
+
+
+QUERIES["aux04_format"] = _aux_format
+SQL["aux04_format"] = f"""SELECT row_id, i, CASE WHEN x.type = 'f' THEN x.tag || ':f' WHEN {_REAL} THEN x.tag || ':B:f' ELSE {_AUXTEXT} END AS text, CASE WHEN {_REAL} THEN list_min(v)::DOUBLE END AS low, CASE WHEN {_REAL} THEN list_max(v)::DOUBLE END AS high,
+  CASE WHEN {_REAL} THEN len(v)::INT END AS n FROM (SELECT *, CASE WHEN x.type = 'f' THEN [x.fval] WHEN x.subtype = 'f' THEN x.farr END AS v FROM {_AUXROWS})"""
 
 # --- order
 _COORD = "(ref_id IS NULL OR coalesce(pos, -1) = -1), rname NULLS FIRST, pos NULLS FIRST, _src_id, _src_ord, row_id"
@@ -315,11 +323,10 @@ def _merge_sql(cond: str, keys: str, src: str) -> str:
 
 
 _CAND = f", {_REGION}, cand AS (SELECT _src_id, ref_id, b AS rb, unnest({_BINS_OF}) AS bin FROM r)"
-_by_src = lambda df, s, d: df.join(regions(s, d).select("region_id", *_KEYS), "region_id").select(*_KEYS, "chunk_begin", "chunk_end")
-QUERIES["idx09_bai_lookup"] = lambda s, d: _by_src(X.lookup(regions(s, d), *_bai(s, d), _KEYS), s, d)
+QUERIES["idx09_bai_lookup"] = lambda s, d: X.lookup(regions(s, d), *_bai(s, d), _KEYS).select(*_KEYS, "chunk_begin", "chunk_end")
 SQL["idx09_bai_lookup"] = _build_sql(_bin_sql("pos", "e")) + f""", {_TILES} {_CAND}, fl AS (SELECT r._src_id, r.ref_id, min(voff) AS fl FROM r JOIN tiles t ON r._src_id = t._src_id AND r.ref_id = t.ref_id AND t.tile BETWEEN (r.b >> 14) AND ((r.b + 2999999) >> 14) GROUP BY 1, 2),
     hit AS (SELECT c._src_id, c.ref_id, x.chunk_begin, x.chunk_end FROM cand c JOIN bins x ON c._src_id = x._src_id AND c.ref_id = x.ref_id AND c.bin = x.bin JOIN fl ON fl._src_id = c._src_id AND fl.ref_id = c.ref_id WHERE x.chunk_end > fl.fl), """ + _merge_sql("r < b", "_src_id, ref_id", "hit")
-QUERIES["idx10_csi_lookup"] = lambda s, d: _by_src(X.lookup(regions(s, d), _bai(s, d)[0], None, _KEYS), s, d)
+QUERIES["idx10_csi_lookup"] = lambda s, d: X.lookup(regions(s, d), _bai(s, d)[0], None, _KEYS).select(*_KEYS, "chunk_begin", "chunk_end")
 SQL["idx10_csi_lookup"] = _build_sql(_bin_sql("pos", "e")) + f"{_CAND}, hit AS (SELECT c._src_id, c.ref_id, x.chunk_begin, x.chunk_end FROM cand c JOIN bins x ON c._src_id = x._src_id AND c.ref_id = x.ref_id AND c.bin = x.bin WHERE x.chunk_end > x.left_voff), " + _merge_sql("r < b", "_src_id, ref_id", "hit")
 
 
@@ -328,7 +335,7 @@ def _by_name(s: SparkSession, d: str) -> DataFrame:
     bins, linear = (x.join(names, _KEYS).drop("ref_id") for x in _bai(s, d))
     linear = linear.groupBy("_src_id", "rname", "tile").agg(F.min("voff").alias("voff"))
     wanted = regions(s, d).join(names, _KEYS).drop("ref_id")
-    return X.lookup(wanted, bins, linear, ["_src_id", "rname"]).join(wanted, "region_id").select("_src_id", "rname", "chunk_begin", "chunk_end")
+    return X.lookup(wanted, bins, linear, ["_src_id", "rname"]).select("_src_id", "rname", "chunk_begin", "chunk_end")
 
 
 QUERIES["idx11_tabix_lookup"] = _by_name

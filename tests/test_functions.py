@@ -162,7 +162,7 @@ def test_float_fields_are_in_the_lines(spark, small, tmp_path):
 
     d = _float_alignments(spark, tmp_path, small)
     source, floats = _float_fields(spark, d)
-    lines = {r["row_id"]: r["line"] for r in io.QUERIES["snk02_sam_lines_all"](spark, d).collect()}
+    lines = {r["row_id"]: r["line"] for r in io.sam_texts(spark, d).collect()}
     assert set(lines) == set(source)
     bad = {k for k, r in source.items() if r["qual"] and len(r["qual"]) != len(r["seq"] or "")}
     assert {k for k, v in lines.items() if v is None} == bad
@@ -175,8 +175,8 @@ def test_float_fields_are_parsed_and_formatted(spark, small, tmp_path):
 
     d = _float_alignments(spark, tmp_path, small)
     source, floats = _float_fields(spark, d)
-    parsed = {(r["row_id"], r["i"]): r for r in records.QUERIES["aux01_parse_all"](spark, d).collect()}
-    text = {(r["row_id"], r["i"]): r["text"] for r in records.QUERIES["aux04_format_all"](spark, d).collect()}
+    parsed = {(r["row_id"], r["i"]): r for r in records.QUERIES["aux01_parse"](spark, d).collect()}
+    text = {(r["row_id"], r["i"]): r["text"] for r in records.aux_texts(spark, d).collect()}
     assert set(parsed) == set(text) == {(k, i) for k, r in source.items() for i in range(1, len(r["aux"] or []) + 1)}
     for (k, i), want in floats.items():
         x, p = source[k]["aux"][i - 1], parsed[k, i]
