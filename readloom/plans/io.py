@@ -13,7 +13,7 @@ from readloom.functions import sequences as S
 from readloom.functions import tags as T
 from readloom.operators import flagstat as FS
 from readloom.operators import index as X
-from readloom.operators.header import format_header, line_expression, parse_header
+from readloom.operators.header import SCHEMAS, format_header, line_expression, parse_header, parse_headers
 from readloom.operators.rejects import load_records
 from readloom.plans.general import P2_CTE, P2_SQL
 from readloom.plans.records import LINE_SQL, _bin_sql, _OPS
@@ -302,6 +302,22 @@ def src11_eof_block(s: SparkSession, d: str) -> DataFrame:
 SQL["src11_eof_block"] = "SELECT 0 AS container_no, -1 AS ref_id, 4542278 AS start, 0 AS block_no, 1::TINYINT AS block_type, 6 AS raw_size, 1258382318::BIGINT AS crc32"
 
 
+def src11_header_block(s: SparkSession, d: str) -> DataFrame:
+    """The reference dictionary as the header block of a container file, read and parsed again."""
+    indexes.register(s)
+    refs = table(s, d, "ref_seqs").where("sn IS NOT NULL AND ln > 0")
+    refs = refs.groupBy("sn").agg(F.min_by(F.struct(*[c for c in refs.columns if c not in ("sn", "loaded_at", "removed_at")]), "ref_id").alias("x")).select("sn", "x.*")
+    none = {k: s.createDataFrame([], SCHEMAS[k]) for k in ("RG", "PG")}
+    path = files.scratch(s, "header.cram")
+    with files.open_output(path) as out:
+        out.write(cram.FILE_HEAD + cram.encode_container([(1, 0, 0, cram.header_block(format_header("1.6", "unknown", "none", refs, none["RG"], none["PG"], [])))]) + cram.EOF_CONTAINER)
+    texts = s.read.format("cram_blocks").option("path", path).option("decompress", "true").load().where("block_type = 0").select(F.lit(0).alias("_src_id"), cram.header_text_of(F.col("data")).alias("text"))
+    return parse_headers(texts, "SQ").select("ref_id", line_expression("SQ").alias("line"))
+
+
+SQL["src11_header_block"] = f"WITH rs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sn ORDER BY ref_id) AS i FROM ref_seqs WHERE sn IS NOT NULL AND ln > 0) WHERE i = 1) SELECT (row_number() OVER (ORDER BY ref_id) - 1)::INT AS ref_id, {LINE_SQL['SQ']} FROM rs"
+
+
 def _as_fasta(s: SparkSession, d: str) -> str:
     """Every read's bases as a sequence of its own, 30 to a line."""
     indexes.register(s)
@@ -360,12 +376,12 @@ SQL["snk04_header_text"] = "WITH rs AS (SELECT * FROM (SELECT *, row_number() OV
 
 
 def stm01_windowed_counts(s: SparkSession, d: str) -> DataFrame:
-    """Deliveries a day and source as a stream."""
+    """Deliveries a day and source as a stream: the days that the watermark has passed, which are final."""
     a = loading.stream_table(s, d, "alignments", table(s, d, "alignments").schema).select("loaded_at", "_src_id")
-    return loading.run_once(loading.windowed_counts(a, "loaded_at", "1 day", ["_src_id"], "30 days"), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "_src_id", "n")
+    return loading.run_once(loading.windowed_counts(a, "loaded_at", "1 day", ["_src_id"], "30 days")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "_src_id", "n")
 
 
-SQL["stm01_windowed_counts"] = "SELECT strftime(loaded_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, _src_id, count(*) AS n FROM alignments WHERE loaded_at IS NOT NULL GROUP BY 1, 2"
+SQL["stm01_windowed_counts"] = "SELECT strftime(loaded_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, _src_id, count(*) AS n FROM alignments WHERE loaded_at IS NOT NULL AND date_trunc('day', loaded_at AT TIME ZONE 'UTC') + INTERVAL 1 DAY <= (SELECT max(loaded_at AT TIME ZONE 'UTC') - INTERVAL 30 DAY FROM alignments) GROUP BY 1, 2"
 
 
 def stm02_stream_rejects(s: SparkSession, d: str) -> DataFrame:
@@ -384,6 +400,6 @@ def stm03_first_deliveries(s: SparkSession, d: str) -> DataFrame:
 
 SQL["stm03_first_deliveries"] = "SELECT DISTINCT _src_id, _src_ord FROM alignments WHERE loaded_at IS NOT NULL"
 
-for _f in (src01_sam_scan, src02_inferred_references, src03_sam_decode, src04_bam_round_trip, src06_bam_omit, src07_region_scan, src10_cram_blocks, src11_eof_block, src20_line_offsets, stm03_first_deliveries, src12_fai_build, src13_fai_read, src18_fasta_ranges, src19_bgzf_lines,
+for _f in (src01_sam_scan, src02_inferred_references, src03_sam_decode, src04_bam_round_trip, src06_bam_omit, src07_region_scan, src10_cram_blocks, src11_eof_block, src11_header_block, src20_line_offsets, stm03_first_deliveries, src12_fai_build, src13_fai_read, src18_fasta_ranges, src19_bgzf_lines,
            src21_has_eof, snk02_sam_lines, snk04_header_text, stm01_windowed_counts, stm02_stream_rejects):
     QUERIES[_f.__name__] = _f

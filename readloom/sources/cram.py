@@ -9,6 +9,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readloom.functions.codecs import read_itf8, read_ltf8, write_itf8, write_ltf8
@@ -116,6 +118,18 @@ def encode_container(blocks: list[tuple[int, int, int, bytes]], ref_id: int = -1
     return head + struct.pack("<I", zlib.crc32(head)) + bytes(body)
 
 
+def header_block(text: str) -> bytes:
+    """Data of a block of type 0."""
+    raw = text.encode()
+    return struct.pack("<i", len(raw)) + raw
+
+
+def header_text_of(data: Column) -> Column:
+    """Header text of the data of a block of type 0."""
+    size = F.conv(F.concat(*[F.hex(F.substring(data, i, 1)) for i in (4, 3, 2, 1)]), 16, 10).cast("int")
+    return F.decode(data.substr(F.lit(5), size), "UTF-8")
+
+
 def header_text(data: bytes) -> str:
     """Header text of a block of type 0."""
     n = struct.unpack_from("<i", data)[0]
