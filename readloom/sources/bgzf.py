@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readloom.sources import files
@@ -157,6 +159,10 @@ def parse_chunks(text: str) -> list[tuple[int, int]]:
     return [tuple(map(int, x.split("-"))) for x in text.split(",") if x]
 
 
+#: Columns of lines, and rows of an Arrow batch of them.
+LINES, BATCH = pa.schema([("_src_id", pa.int32()), ("_voff_begin", pa.int64()), ("_voff_end", pa.int64()), ("line", pa.string())]), 8192
+
+
 class LinesReader(DataSourceReader):
     """Lines of block-compressed text with their virtual offsets. A line belongs to the range in which its first byte's block starts."""
 
@@ -168,7 +174,12 @@ class LinesReader(DataSourceReader):
             return [RangePartition(p, i, b, e, 0) for i, p in enumerate(files.list_files(self.path)) for b, e in self.chunks]
         return byte_ranges(self.path, self.split)
 
-    def read(self, part: RangePartition):
+    def read(self, part: RangePartition) -> Iterator[pa.RecordBatch]:
+        rows = self._rows(part)
+        while some := list(itertools.islice(rows, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), LINES.types, strict=True)], schema=LINES)
+
+    def _rows(self, part: RangePartition) -> Iterator[tuple[int, int, int, str]]:
         size = files.size_of(part.path)
         with files.open_input(part.path) as f:
             if part.first is not None:
