@@ -83,12 +83,12 @@ def build_linear(records: DataFrame, keys: list[str], beg: Column, end: Column)
 
 def first_offsets(regions: DataFrame, linear: DataFrame, keys: list[str]) -> DataFrame:
     """region_id, floor: the least offset of the tiles that a region meets; no row for a region without tiles. An equi-join on (keys, node): tiles are
-    combined into nodes of 8, 64 and more, and a region asks for the few nodes that make up its tiles."""
+    combined into nodes of 8, 64 and more, and a region asks for the few nodes that make up its tiles. The join exchanges both sides, see lookup."""
     t0, t1 = F.shiftright(F.greatest(F.col("beg"), F.lit(0)), B.TILE_SHIFT), F.shiftright(F.least(F.col("end") - 1, F.lit(B.MAX_POS)), B.TILE_SHIFT)
     asked = regions.where("end > beg").select("region_id", *keys, F.explode(B.tile_nodes(t0, t1)).alias("x")).select("region_id", *keys, "x.level", "x.node")
     levels = F.explode(F.sequence(F.lit(0), F.lit(B.DEPTH))).alias("level")
     known = linear.select(*keys, "tile", "voff", levels).groupBy(*keys, "level", F.expr("shiftright(CAST(tile AS BIGINT), 3 * level)").alias("node")).agg(F.min("voff").alias("voff"))
-    return asked.join(known, [*keys, "level", "node"]).groupBy("region_id").agg(F.min("voff").alias("floor"))
+    return asked.hint("merge").join(known, [*keys, "level", "node"]).groupBy("region_id").agg(F.min("voff").alias("floor"))
 
 
 def lookup(
@@ -98,7 +98,8 @@ def lookup(
 
     regions: region_id, keys, beg, end. With linear tiles a chunk must end after the least offset of the tiles that the region meets; without, after the
     bin's left offset. Regions without chunks, past the index or on unknown keys have no row; with strict the latter two raise when computed. The joins are
-    equi-joins on (keys, bin) and (keys, node)."""
+    equi-joins on (keys, bin) and (keys, node). Both exchange their sides: the planner takes opened regions for as large as the regions were, and would
+    broadcast through the driver what has hundreds of rows a region."""
     if strict:
         known = bins.select(*keys).distinct().withColumn("__known", F.lit(True))
         checked = regions.join(known, keys, "left")
@@ -106,7 +107,7 @@ def lookup(
         failure = F.raise_error(F.concat(problem, F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))).cast("bigint")
         regions = checked.withColumn("beg", F.when(problem.isNull(), F.col("beg").cast("bigint")).otherwise(failure)).drop("__known")
     wanted = regions.where("end > beg").select("region_id", *keys, F.col("beg"), F.explode(B.overlapping_bins(F.col("beg"), F.col("end"), min_shift, depth)).alias("bin"))
-    hit = wanted.join(bins.select(*keys, "bin", "chunk_begin", "chunk_end", "left_voff"), [*keys, "bin"])
+    hit = wanted.hint("merge").join(bins.select(*keys, "bin", "chunk_begin", "chunk_end", "left_voff"), [*keys, "bin"])
     if linear is None:
         hit = hit.where("chunk_end > left_voff")
     else:

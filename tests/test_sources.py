@@ -1,6 +1,7 @@
 """Formats: golden bytes, splits, damaged input, headers."""
 
 import random
+import re
 import struct
 
 import numpy as np
@@ -499,6 +500,17 @@ def test_index_of_long_records_and_many_regions(spark):
         assert floors.get(i) == min((v for t, v in known.items() if b >> 14 <= t <= (e - 1) >> 14), default=None)
 
 
+@pytest.mark.parametrize("name", ["idx09_bai_lookup"])
+def test_opened_regions_are_not_broadcast(spark, small, name):
+    """A region has hundreds of bins, a row each, and the planner doesn't count them: no join on bins or nodes may go through the driver."""
+    import __spark_entry__ as entry
+
+    df = entry.queries()[name](spark, small)
+    assert df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not re.findall(r"Broadcast\w+Join \[[^\]]*\b(?:bin|node)#", ran) and re.search(r"Join \[[^\]]*\bbin#", ran)
+
+
 def test_strict_lookup(spark):
     bins = spark.createDataFrame([("a", 4681, 10, 20, 10)], "name STRING, bin LONG, chunk_begin LONG, chunk_end LONG, left_voff LONG")
     region = lambda n, b: spark.createDataFrame([(1, n, b, b + 5)], "region_id LONG, name STRING, beg LONG, end LONG")
