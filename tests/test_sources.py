@@ -500,7 +500,7 @@ def test_index_of_long_records_and_many_regions(spark):
         assert floors.get(i) == min((v for t, v in known.items() if b >> 14 <= t <= (e - 1) >> 14), default=None)
 
 
-@pytest.mark.parametrize("name", ["idx09_bai_lookup", "idx11_tabix_lookup"])
+@pytest.mark.parametrize("name", ["idx09_bai_lookup", "idx10_csi_lookup", "idx11_tabix_lookup"])
 def test_opened_regions_are_not_broadcast(spark, small, name):
     """A region has hundreds of bins, a row each, and the planner doesn't count them: no join on bins or nodes may go through the driver."""
     import __spark_entry__ as entry
