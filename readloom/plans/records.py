@@ -267,7 +267,7 @@ def placed(s: SparkSession, d: str) -> DataFrame:
 def regions(s: SparkSession, d: str) -> DataFrame:
     """A region on every reference of every indexed source, over the middle of the reference."""
     r = table(s, d, "index_stats").where("ref_id IS NOT NULL").select(*_KEYS).distinct()
-    beg = (F.col("ref_id").cast("bigint") * 7919 + F.col("_src_id") * 104729) % 40 * 1_000_000
+    beg = (F.col("ref_id").cast("bigint") * 7919 + F.col("_src_id").cast("bigint") * 104729) % 40 * 1_000_000  # past 32 bits from source 20,506 on
     return r.select(F.xxhash64("_src_id", "ref_id").alias("region_id"), *_KEYS, beg.alias("beg"), (beg + 3_000_000).alias("end"))
 
 

@@ -511,6 +511,26 @@ def test_opened_regions_are_not_broadcast(spark, small, name):
     assert not re.findall(r"Broadcast\w+Join \[[^\]]*\b(?:bin|node)#", ran) and re.search(r"Join \[[^\]]*\bbin#", ran)
 
 
+def _far_sources(spark, tmp_path):
+    """Indexed sources of large numbers, each with a record that meets its region and one past it; the regions as numbers."""
+    keys = [(s, r) for s in (0, 20_505, 20_506, 90_000, (1 << 31) - 1) for r in (0, 7, (1 << 31) - 1)]
+    beg = {(s, r): (r * 7919 + s * 104729) % 40 * 1_000_000 for s, r in keys}
+    spark.createDataFrame(keys, "_src_id INT, ref_id INT").write.parquet(f"{tmp_path}/index_stats.parquet")
+    rows = [(i, s, r, 0, beg[s, r] + at) for i, ((s, r), at) in enumerate((k, at) for k in keys for at in (2_999_990, 3_000_000))]
+    records = spark.createDataFrame(rows, "row_id LONG, _src_id INT, ref_id INT, flag INT, pos LONG")
+    records.withColumn("cigar", F.expr("array(named_struct('len', 30L, 'op', 'M'))")).write.parquet(f"{tmp_path}/alignments.parquet")
+    return str(tmp_path), beg
+
+
+def test_bins_of_regions_of_many_sources(spark, tmp_path):
+    from readloom.plans import records
+
+    d, beg = _far_sources(spark, tmp_path)
+    levels = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
+    want = sorted((*k, off + i) for k, b in beg.items() for off, s in levels for i in range(b >> s, ((b + 2_999_999) >> s) + 1))
+    assert sorted(tuple(x) for x in records.QUERIES["idx02_overlapping_bins"](spark, d).collect()) == want
+
+
 def test_strict_lookup(spark):
     bins = spark.createDataFrame([("a", 4681, 10, 20, 10)], "name STRING, bin LONG, chunk_begin LONG, chunk_end LONG, left_voff LONG")
     region = lambda n, b: spark.createDataFrame([(1, n, b, b + 5)], "region_id LONG, name STRING, beg LONG, end LONG")
