@@ -531,6 +531,14 @@ def test_bins_of_regions_of_many_sources(spark, tmp_path):
     assert sorted(tuple(x) for x in records.QUERIES["idx02_overlapping_bins"](spark, d).collect()) == want
 
 
+@pytest.mark.parametrize("name", ["ivl01_interval_join"])
+def test_interval_join_of_many_sources(spark, tmp_path, name):
+    from readloom.plans import records
+
+    d, beg = _far_sources(spark, tmp_path)
+    assert sorted(tuple(x) for x in records.QUERIES[name](spark, d).select("_src_id", "ref_id", "n", "bases").collect()) == sorted((*k, 1, 10) for k in beg)
+
+
 def test_strict_lookup(spark):
     bins = spark.createDataFrame([("a", 4681, 10, 20, 10)], "name STRING, bin LONG, chunk_begin LONG, chunk_end LONG, left_voff LONG")
     region = lambda n, b: spark.createDataFrame([(1, n, b, b + 5)], "region_id LONG, name STRING, beg LONG, end LONG")
