@@ -531,7 +531,7 @@ def test_bins_of_regions_of_many_sources(spark, tmp_path):
     assert sorted(tuple(x) for x in records.QUERIES["idx02_overlapping_bins"](spark, d).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["ivl01_interval_join"])
+@pytest.mark.parametrize("name", ["ivl01_interval_join", "ivl02_interval_join_tiles"])
 def test_interval_join_of_many_sources(spark, tmp_path, name):
     from readloom.plans import records
 
